@@ -6,50 +6,32 @@ string "7" and reads "NaN" as a double. Here every field is checked by its JSON
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Calendar date, 'T', time of day and a zone are all demanded.
-TIME_PATTERN = (
-    r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)\z"
-)
-
-# The common spelling, which Spark reads as it is.
-PLAIN_TIME_PATTERN = r"\A[^,]*(Z|[+-]\d{2}:\d{2})\z"
+# Calendar date, 'T', time of day and a zone are all demanded. The first pattern is
+# the common spelling, which Spark reads as it is; the second allows for the rarer ones.
+_CLOCK = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+PLAIN_TIME_PATTERN = _CLOCK + r"(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})\z"
+TIME_PATTERN = _CLOCK + r"([.,]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)\z"
 
 MEMBERS = "map<string,variant>"
 
 NUMBER_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
 
 
-def _with_parsed(text: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of the parsed text, boxed as the only element of an array, if it is one value.
-
-    The parser stops at the end of the first value and ignores what follows, so the text is put
-    in brackets: junk then breaks the array. Only a text that itself contains ``]`` could close
-    the array early; such texts must also parse as an object member. The lambda keeps the parsed
-    value, so the text is parsed once.
-    """
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    unbroken = F.is_valid_utf8(text) & (~F.contains(text, F.lit("]")) | as_member.isNotNull())
-
-    def checked(box: Column) -> Column:
-        return F.when(F.try_variant_get(box, "$[1]", "variant").isNull(), use(box))
-
-    return F.get(F.transform(F.array(F.when(unbroken, boxed)), checked), F.lit(0))
-
-
 def parse_document(text: Column) -> Column:
-    """VARIANT of ``text`` when it is exactly one JSON value, else NULL."""
-    return _with_parsed(text, lambda box: F.try_variant_get(box, "$[0]", "variant"))
-
+    """VARIANT of ``text`` when it is exactly one JSON value, else NULL.
 
-def parse_members(text: Column) -> Column:
-    """Top-level members of a text that is exactly one JSON object, else NULL."""
-    return _with_parsed(text, lambda box: F.try_variant_get(box, "$[0]", MEMBERS))
+    The parser stops at the end of the first value and ignores what follows, so the text must
+    also be a list of one element when put in brackets: junk breaks that list. Only a text that
+    itself contains ``]`` could close the list early; such texts must also be an object's only
+    member.
+    """
+    elements = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    keys = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = (elements == 1) & (~F.contains(text, F.lit("]")) | (F.size(keys) == 1))
+    return F.when(F.is_valid_utf8(text) & alone, F.try_parse_json(text))
 
 
 def members(document: Column) -> Column:
@@ -57,6 +39,12 @@ def members(document: Column) -> Column:
     return F.try_variant_get(document, "$", MEMBERS)
 
 
+def named_members(document: Column, names: list[str]) -> Column:
+    """STRUCT of the named members as VARIANT; NULL when the document is not an object."""
+    fields = ", ".join(f"`{name}`: variant" for name in names)
+    return F.try_variant_get(document, "$", f"struct<{fields}>")
+
+
 def json_type(value: Column) -> Column:
     """JSON type of a VARIANT: STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID, ..."""
     return F.schema_of_variant(value)
@@ -94,8 +82,9 @@ def as_time(value: Column, kind: Column | None = None) -> Column:
     spelled = F.regexp_replace(text, ",", ".")
     spelled = F.regexp_replace(spelled, r"([+-]\d{2})(\d{2})$", "$1:$2")
     spelled = F.regexp_replace(spelled, r"(T.*[+-]\d{2})$", "$1:00")
-    plain = F.when(text.rlike(PLAIN_TIME_PATTERN), text).otherwise(spelled)
-    return F.when(text.rlike(TIME_PATTERN), F.try_to_timestamp(plain))
+    return F.when(text.rlike(PLAIN_TIME_PATTERN), F.try_to_timestamp(text)).when(
+        text.rlike(TIME_PATTERN), F.try_to_timestamp(spelled)
+    )
 
 
 def quoted(text: Column) -> Column:

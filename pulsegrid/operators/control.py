@@ -10,7 +10,7 @@ from pulsegrid.functions.strict_json import (
     as_text,
     json_type,
     members,
-    parse_members,
+    parse_document,
 )
 from pulsegrid.functions.topics import config_user, control_route, manage_user
 from pulsegrid.operators.once import computed_once
@@ -32,7 +32,7 @@ def route_control(messages: DataFrame) -> DataFrame:
 
 def parse_config_update(routed: DataFrame) -> DataFrame:
     """Rule updates: adds ``user_id, rules, error``. A missing list means no rules."""
-    m = parse_members(F.col("payload"))
+    m = members(parse_document(F.col("payload")))
     listed = F.try_element_at("_m", F.lit("rules"))
     routed = computed_once(routed.where(F.col("route") == "config"), _m=m)
     return (
@@ -67,7 +67,7 @@ def parse_command(routed: DataFrame) -> DataFrame:
     minutes = member("duration_minutes")
     unset = minutes.isNull() | (json_type(minutes) == "VOID")
     routed = computed_once(
-        routed.where(F.col("route") == "manage"), _m=parse_members(F.col("payload"))
+        routed.where(F.col("route") == "manage"), _m=members(parse_document(F.col("payload")))
     )
     return (
         routed.withColumn("user_id", manage_user(F.col("topic")))

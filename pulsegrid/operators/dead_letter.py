@@ -14,11 +14,13 @@ def to_dead_letter(rejected: DataFrame, at: Column | None = None) -> DataFrame:
     ``value`` is JSON with original_topic, error, timestamp (ISO-8601 UTC) and payload_base64.
     """
     at = F.current_timestamp() if at is None else at
+    # Spark may break base64 into lines.
+    encoded = F.replace(F.base64(F.encode("payload", "UTF-8")), F.lit("\r\n"), F.lit(""))
     record = F.struct(
         F.col("topic").alias("original_topic"),
         F.col("error"),
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
-        F.base64(F.encode("payload", "UTF-8")).alias("payload_base64"),
+        encoded.alias("payload_base64"),
     )
     return rejected.select(F.col("topic").alias("key"), F.to_json(record).alias("value"))
 

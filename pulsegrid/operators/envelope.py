@@ -9,8 +9,8 @@ from pulsegrid.functions.strict_json import (
     as_text,
     json_type,
     members,
+    named_members,
     parse_document,
-    parse_members,
     quoted,
 )
 from pulsegrid.functions.trace import header_text
@@ -46,7 +46,7 @@ def bridge_wrap_enriched(raw: DataFrame, now: Column | None = None) -> DataFrame
     """
     now = F.current_timestamp() if now is None else now
     stamped = (
-        computed_once(raw, _members=F.size(parse_members(F.col("message"))))
+        computed_once(raw, _members=F.size(members(parse_document(F.col("message")))))
         .withColumn("trace_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
         .withColumn("span_id", F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
         .withColumn("ingest_timestamp", F.unix_millis(now))
@@ -81,26 +81,29 @@ def bridge_wrap_enriched(raw: DataFrame, now: Column | None = None) -> DataFrame
 
 
 def decode_envelope(messages: DataFrame) -> DataFrame:
-    """Open the envelope in ``value``; adds ``source_topic, payload, traceparent, skip_reason``.
-
-    The message's own ``topic`` is the stream it came from; the device topic inside the envelope
-    replaces it, and the former stays as ``source_topic``. A payload that is a JSON string gives
-    its raw text, any other payload its compact JSON text with numbers spelled as received. Rows
-    that are no envelope keep NULL topic and payload and a ``skip_reason``; they are counted, not
-    sent to the dead-letter table.
+    """Open the envelope in ``value``.
+
+    Adds ``source_topic, topic, payload, document, traceparent, skip_reason``. The message's own
+    topic is the stream it came from; the device topic inside the envelope replaces it, and the
+    former stays as ``source_topic``. ``payload`` is the raw text of a payload that is a JSON
+    string, and for any other payload its compact JSON text with numbers spelled as received;
+    ``document`` is its parsed form. Rows that are no envelope keep NULL topic and payload and a
+    ``skip_reason``; they are counted, not sent to the dead-letter table.
     """
     text = F.col("value").cast("string")
-    opened = (
-        computed_once(
-            messages.withColumn("_text", text), _m=parse_members(F.col("_text"))
-        )
-        .withColumn("_payload", F.try_element_at("_m", F.lit("payload")))
-        .withColumn("_topic", as_text(F.try_element_at("_m", F.lit("topic"))))
-        .withColumn("_ok", F.col("_topic").isNotNull() & F.col("_payload").isNotNull())
+    opened = computed_once(
+        messages.withColumn("_text", text),
+        _e=named_members(parse_document(F.col("_text")), ["topic", "payload"]),
+    )
+    opened = opened.withColumns(
+        {"_topic": as_text(F.col("_e.topic")), "_payload": F.col("_e.payload")}
     )
+    ok = F.col("_topic").isNotNull() & F.col("_payload").isNotNull()
     payload = F.when(json_type(F.col("_payload")) == "VOID", F.lit("null")).otherwise(
         F.get_json_object("_text", "$.payload")
     )
+    inner = as_text(F.col("_payload"))
+    document = F.when(inner.isNotNull(), parse_document(inner)).otherwise(F.col("_payload"))
     keep = [c for c in messages.columns if c not in ("value", "topic", "headers", "key")]
     traceparent = (
         header_text(F.col("headers"), "traceparent")
@@ -108,11 +111,12 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
         else F.lit(None).cast("string")
     )
     source = [F.col("topic").alias("source_topic")] if "topic" in messages.columns else []
-    return opened.select(
+    return opened.withColumn("_ok", ok).select(
         *keep,
         *source,
         F.when(F.col("_ok"), F.col("_topic")).alias("topic"),
         F.when(F.col("_ok"), payload).alias("payload"),
+        F.when(F.col("_ok"), document).alias("document"),
         traceparent.alias("traceparent"),
         F.when(~F.col("_ok"), F.lit("not_an_envelope")).alias("skip_reason"),
     )

@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.strict_json import READERS, json_type, members, parse_members
+from pulsegrid.functions.strict_json import (
+    READERS,
+    json_type,
+    members,
+    named_members,
+    parse_document,
+)
 from pulsegrid.functions.topics import user_id_from_topic
 from pulsegrid.operators.once import computed_once
 from pulsegrid.schemas import TELEMETRY, DomainSpec, Field
@@ -16,49 +22,44 @@ UNKNOWN_USER = "unknown"
 
 
 def _member(field: Field) -> Column:
-    return F.try_element_at(F.col("_m"), F.lit(field.name))
+    return F.col(f"_f.{field.name}")
 
 
 def _problem(field: Field) -> Column:
-    """First thing wrong with one field, NULL when it is fine; needs its typed column and type."""
-    kind = F.col(f"_type_{field.name}")
-    wrong = F.col(field.name).isNull() & kind.isNotNull()
-    if not field.required:
-        wrong = wrong & (kind != "VOID")
-    text = F.concat(F.lit(f"Invalid JSON: invalid value for `{field.name}` of type "), kind)
+    """What is wrong with a field whose typed column is NULL, if anything."""
+    kind = json_type(_member(field))
+    wrong = F.concat(F.lit(f"Invalid JSON: invalid value for `{field.name}` of type "), kind)
     if field.required:
         missing = F.lit(f"Invalid JSON: missing field `{field.name}`")
-        return F.when(kind.isNull(), missing).when(wrong, text)
-    return F.when(wrong, text)
+        found = F.when(_member(field).isNull(), missing).otherwise(wrong)
+    else:
+        found = F.when(kind != "VOID", wrong)
+    return F.when(F.col(field.name).isNull(), found)
 
 
 def parse_readings(decoded: DataFrame, spec: DomainSpec = TELEMETRY) -> DataFrame:
-    """Type the JSON in ``payload``; adds the spec's columns, ``extras``, ``extra_data``, ``error``.
+    """Type the JSON in ``document`` (or, without that column, in the text ``payload``).
 
-    ``error`` is NULL for a valid row, else the first failing check. Unknown top-level members go
-    to ``extras`` (MAP<STRING, VARIANT>) and, as JSON text, to ``extra_data`` (``{}`` if none).
-    One projection, no shuffle.
+    Adds the spec's columns, ``extras``, ``extra_data`` and ``error``, which is NULL for a valid
+    row, else the first failing check. Unknown top-level members go to ``extras`` (MAP<STRING,
+    VARIANT>) and, as JSON text, to ``extra_data`` (``{}`` if none). No shuffle.
     """
-    parsed = computed_once(decoded, _m=parse_members(F.col("payload")))
-    kinds = computed_once(
-        parsed, **{f"_type_{f.name}": json_type(_member(f)) for f in spec.fields}
-    )
-    typed = computed_once(
-        kinds,
-        **{f.name: READERS[f.kind](_member(f), F.col(f"_type_{f.name}")) for f in spec.fields},
-    )
-    checks = [F.when(F.col("_m").isNull(), F.lit("Invalid JSON: not an object"))]
+    if "document" not in decoded.columns:
+        decoded = computed_once(decoded, document=parse_document(F.col("payload")))
+    opened = computed_once(decoded, _f=named_members(F.col("document"), spec.names))
+    typed = computed_once(opened, **{f.name: READERS[f.kind](_member(f)) for f in spec.fields})
+    checks = [F.when(F.col("_f").isNull(), F.lit("Invalid JSON: not an object"))]
     checks += [_problem(f) for f in spec.fields]
     checks += [
         F.when(F.col(f.name) == "", F.lit(f"Empty {f.name}")) for f in spec.fields if f.non_empty
     ]
     known = spec.names
-    extras = F.map_filter("_m", lambda name, _: ~name.isin(known))
+    extras = F.map_filter(members(F.col("document")), lambda name, _: ~name.isin(known))
     return (
         typed.withColumn("error", F.coalesce(*checks))
         .withColumn("extras", extras)
         .withColumn("extra_data", F.to_json("extras"))
-        .drop("_m", *[f"_type_{f.name}" for f in spec.fields])
+        .drop("_f")
     )
 
 

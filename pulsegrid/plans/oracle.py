@@ -23,7 +23,7 @@ TEXT = """
 texts AS (
   SELECT *, '{"battery":' || k || ',"device_id":"'
     || CASE WHEN fault = 'no_device' THEN '' ELSE event_type END
-    || '","ingest_timestamp":' || epoch_ms(ts) || ',"k":' || k
+    || '","ingest_timestamp":' || (epoch_us(ts) // 1000) || ',"k":' || k
     || CASE WHEN fault = 'no_sequence' THEN '' ELSE ',"sequence_id":' || event_id END
     || ',"temperature":'
     || CASE WHEN fault = 'text_temperature' THEN '"' || value || '"' ELSE '' || value END
@@ -233,8 +233,8 @@ def oracles() -> dict[str, str]:
         "bridge_wrap_enriched_fields": f"""{base} SELECT event_id,
             CASE WHEN fault = 'truncated' THEN 'not_json' END AS error,
             CASE WHEN fault <> 'truncated' THEN topic END AS topic,
-            CASE WHEN fault <> 'truncated' THEN k END AS k,
-            epoch_ms(ts) AS sent_ms, 32 AS trace_digits, 55 AS context_length FROM e""",
+            CAST(CASE WHEN fault <> 'truncated' THEN k END AS DOUBLE) AS k,
+            epoch_us(ts) // 1000 AS sent_ms, 32 AS trace_digits, 55 AS context_length FROM e""",
         "to_otlp_spans_fields": f"""{base} SELECT
             lpad(printf('%x', event_id), 32, '0') AS trace_id,
             lpad(printf('%x', event_id), 16, '0') AS span_id, 'mqtt_ingress' AS name,
@@ -270,14 +270,15 @@ def oracles() -> dict[str, str]:
             uid AS user_id, CASE WHEN fault <> 'truncated' THEN ts END AS time,
             CASE fault WHEN 'truncated' THEN NULL WHEN 'no_device' THEN '' ELSE event_type END
               AS device_id,
-            CASE WHEN fault NOT IN ('truncated', 'no_sequence') THEN event_id END AS sequence_id,
+            CAST(CASE WHEN fault NOT IN ('truncated', 'no_sequence') THEN event_id END AS DOUBLE)
+              AS sequence_id,
             CASE WHEN fault NOT IN ('truncated', 'text_temperature') THEN value END AS temperature,
-            CAST(CASE WHEN fault <> 'truncated' THEN k END AS INTEGER) AS battery,
+            CAST(CASE WHEN fault <> 'truncated' THEN k END AS DOUBLE) AS battery,
             CASE fault WHEN 'good' THEN NULL WHEN 'no_device' THEN 'Empty device_id'
                  ELSE 'Invalid JSON' END AS error
             FROM e WHERE fault <> 'no_topic'""",
         "collect_extras": f"""{base} SELECT event_id AS sequence_id,
-            '{{"ingest_timestamp":' || epoch_ms(ts) || ',"k":' || k || '}}' AS extra_data
+            '{{"ingest_timestamp":' || (epoch_us(ts) // 1000) || ',"k":' || k || '}}' AS extra_data
             FROM good""",
         "valid_device": f"""{base} SELECT uid AS user_id, event_id AS sequence_id,
             'Empty device_id' AS error FROM e WHERE fault = 'no_device'""",
@@ -326,7 +327,7 @@ def oracles() -> dict[str, str]:
         "parse_config_update": f"""{configs} SELECT 'users/' || uid || tail AS topic,
             CAST(seq AS BIGINT) AS sequence_id, CASE WHEN seq < 3 THEN uid END AS user_id,
             CAST(CASE WHEN seq = 2 THEN NULL WHEN seq = 3 THEN 0 WHEN seq = 1 THEN 1
-                 WHEN user_number % 5 = 1 THEN 0 ELSE 2 END AS BIGINT) AS n_rules,
+                 WHEN user_number % 5 = 1 THEN 0 ELSE 2 END AS DOUBLE) AS n_rules,
             CASE WHEN seq IN (2, 3) OR (seq = 0 AND user_number % 5 = 1) THEN NULL
                  ELSE 'temperature' END AS first_key,
             CASE WHEN seq = 1 THEN 50.0::DOUBLE WHEN seq > 1 THEN NULL
@@ -400,7 +401,7 @@ def oracles() -> dict[str, str]:
         "payload_size_stats": f"""{text} SELECT topic, {_stats("octet_length(encode(payload))")}
             FROM payloads WHERE fault <> 'no_topic' GROUP BY 1""",
         "ingress_latency": f"""{base} SELECT event_type AS device_id,
-            {_stats("epoch_ms(arrival) - epoch_ms(ts)")} FROM good GROUP BY 1""",
+            {_stats("epoch_us(arrival) // 1000 - epoch_us(ts) // 1000")} FROM good GROUP BY 1""",
         "message_rate": f"""{arrived} SELECT {minute} AS window_start, count(*) AS messages,
             count(*) / 60 AS per_second FROM arrived GROUP BY 1""",
         "message_rate_sliding": f"""{arrived}, slid AS (
@@ -437,7 +438,7 @@ def oracles() -> dict[str, str]:
             count(*) AS messages, count(*) / 3600 AS per_second FROM firsts GROUP BY 1""",
         "consumer_lag": f"""{base}, parts AS (SELECT part, max(off) AS newest FROM e GROUP BY 1)
             SELECT 'iot-stream' AS topic, part AS partition, newest,
-              CASE WHEN part <> 3 THEN newest - part * 10 END AS committed,
+              CAST(CASE WHEN part <> 3 THEN newest - part * 10 END AS DOUBLE) AS committed,
               CASE WHEN part <> 3 THEN part * 10 ELSE newest + 1 END AS lag FROM parts""",
         "threshold_band": f"""{base}, parts AS (SELECT part, max(off) AS newest FROM e GROUP BY 1),
             total AS (SELECT CAST(sum(CASE WHEN part <> 3 THEN part * 10 ELSE newest + 1 END)

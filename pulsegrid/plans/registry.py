@@ -78,7 +78,7 @@ def bridge_wrap_enriched_fields(spark, sf_dir):
         "event_id",
         "error",
         F.get_json_object("value", "$.topic").alias("topic"),
-        F.get_json_object("value", "$.payload.k").cast("bigint").alias("k"),
+        F.get_json_object("value", "$.payload.k").cast("double").alias("k"),
         F.unix_millis("ts").alias("sent_ms"),
         F.length("trace_id").alias("trace_digits"),
         F.length("traceparent").alias("context_length"),
@@ -165,9 +165,9 @@ def parse_telemetry(spark, sf_dir):
         "user_id",
         "time",
         "device_id",
-        "sequence_id",
+        F.col("sequence_id").cast("double").alias("sequence_id"),
         "temperature",
-        "battery",
+        F.col("battery").cast("double").alias("battery"),
         parse.error_class(F.col("error")).alias("error"),
     )
 
@@ -310,6 +310,7 @@ def message_counts(spark, sf_dir):
 # Control messages and rules
 
 
+@fx.plan_once
 def _routed(spark, sf_dir):
     return control.route_control(fx.control_messages(spark, sf_dir))
 
@@ -328,7 +329,7 @@ def parse_config_update(spark, sf_dir):
         "topic",
         "sequence_id",
         "user_id",
-        F.size("rules").cast("bigint").alias("n_rules"),
+        F.size("rules").cast("double").alias("n_rules"),
         F.get("rules", F.lit(0))["key"].alias("first_key"),
         F.get("rules", F.lit(0))["threshold"].alias("first_threshold"),
         "error",
@@ -343,6 +344,7 @@ def parse_command(spark, sf_dir):
     )
 
 
+@fx.plan_once
 def config_changes(spark, sf_dir) -> DataFrame:
     """Valid rule updates: ``user_id, rules, time, sequence_id``."""
     parsed = control.parse_config_update(_routed(spark, sf_dir))
@@ -351,6 +353,7 @@ def config_changes(spark, sf_dir) -> DataFrame:
     )
 
 
+@fx.plan_once
 def commands(spark, sf_dir) -> DataFrame:
     """Valid alert commands with ``time`` and ``sequence_id``."""
     parsed = control.parse_command(_routed(spark, sf_dir))
@@ -359,11 +362,13 @@ def commands(spark, sf_dir) -> DataFrame:
     )
 
 
+@fx.plan_once
 def first_configs(spark, sf_dir) -> DataFrame:
     """The first stored rules per user, before any change."""
     return config_changes(spark, sf_dir).where(F.col("sequence_id") == 0).select("user_id", "rules")
 
 
+@fx.plan_once
 def evaluations(spark, sf_dir) -> DataFrame:
     """All rules evaluated on all accepted readings, with the first stored rules."""
     ruled = rules.rules_for_user(fx.accepted(spark, sf_dir), first_configs(spark, sf_dir))
@@ -519,6 +524,7 @@ def alerts_per_minute(spark, sf_dir):
 # Storing
 
 
+@fx.plan_once
 def _offered(spark, sf_dir):
     rows = fx.with_copies(fx.accepted(spark, sf_dir))
     return rows.select(*storing.STORED, *storing.ARRIVAL)
@@ -562,6 +568,7 @@ def quarantine_split(spark, sf_dir):
 # Operational analytics
 
 
+@fx.plan_once
 def _arrived(spark, sf_dir):
     rows = fx.decoded(spark, sf_dir).where(F.col("skip_reason").isNull())
     return rows.select("topic", F.col("timestamp").alias("ts"))
@@ -663,7 +670,12 @@ def _lag(spark, sf_dir):
 
 @query
 def consumer_lag(spark, sf_dir):
-    return _lag(spark, sf_dir).withColumn("partition", F.col("partition").cast("bigint"))
+    return _lag(spark, sf_dir).withColumns(
+        {
+            "partition": F.col("partition").cast("bigint"),
+            "committed": F.col("committed").cast("double"),
+        }
+    )
 
 
 @query
