@@ -18,6 +18,7 @@ from pulsegrid.operators.parse import parse_telemetry, split_accept_reject
 from pulsegrid.session import configure
 
 STREAM = "iot-stream"
+CONTROL = "iot-control"
 PARTITIONS = 4
 CHANGE_AT = "2024-01-15 00:00:00"
 CONFIG_AT = "2023-12-31 00:00:00"
@@ -252,6 +253,23 @@ def control_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_messages(spark, sf_dir).unionByName(command_messages(spark, sf_dir))
 
 
+def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control messages as message stream rows that arrive at their own time."""
+    body = F.concat(
+        F.lit('{"payload":'), F.col("payload"), F.lit(',"topic":'), quoted(F.col("topic")), F.lit("}")
+    )
+    header = "array<struct<key:string,value:binary>>"
+    return control_messages(spark, sf_dir).select(
+        F.lit(None).cast("binary").alias("key"),
+        body.cast("binary").alias("value"),
+        F.lit(CONTROL).alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("sequence_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+        F.lit(None).cast(header).alias("headers"),
+    )
+
+
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per event type that climbs with the event id and falls back every 1000 events."""
     return events(spark, sf_dir).select(

@@ -133,7 +133,7 @@ steps AS (
 
 
 MACHINE = _machine()
-MACHINE_ARRIVAL = _machine("arrival", "arrival")
+MACHINE_ARRIVAL = _machine("arrival", "time")
 
 HISTORY_OF_STEPS = """
 SELECT time AS event_time, user_id, device_id, rule_id, 'Rule:' || rule_id AS alert_type,
@@ -141,6 +141,12 @@ SELECT time AS event_time, user_id, device_id, rule_id, 'Rule:' || rule_id AS al
        CASE WHEN emitted = 'Triggered' THEN value END AS value, emitted AS status
 FROM steps WHERE emitted IS NOT NULL"""
 
+# Live: rules as they stood at arrival, commands at their own time, everything by arrival.
+LIVE = _evaluations(
+    "CASE WHEN g.user_number % 5 = 2 AND g.arrival >= TIMESTAMP '2024-01-15' THEN 5 "
+    "ELSE g.user_number % 5 END"
+)
+
 STATE_OF_STEPS = """
 SELECT user_id, device_id, rule_id, started AS start_time, seen AS last_seen, state AS status,
        CASE WHEN state = 'Snoozed' THEN until END AS snooze_until, current_value
@@ -210,6 +216,7 @@ def oracles() -> dict[str, str]:
     history = _with(EVENTS, RULES, EVALUATIONS, CHANGES)
     dynamic = _with(EVENTS, RULES, DYNAMIC, CHANGES)
     machine = _with(EVENTS, RULES, EVALUATIONS, COMMANDS, MACHINE, recursive=True)
+    live = _with(EVENTS, RULES, LIVE, COMMANDS, MACHINE_ARRIVAL, recursive=True)
     copies, arrived = _with(EVENTS, COPIES), _with(EVENTS, ARRIVED)
     configs, access = _with(EVENTS, CONFIGS), _with(EVENTS, ACCESS)
     minute = "date_trunc('minute', ts)"
@@ -376,6 +383,20 @@ def oracles() -> dict[str, str]:
             device_id, alert_type, status, value FROM history""",
         "alert_history_with_commands": f"{machine} {HISTORY_OF_STEPS}",
         "active_alerts_with_commands": f"{machine} {STATE_OF_STEPS}",
+        "alert_stream": f"{live} {HISTORY_OF_STEPS}",
+        "alert_stream_state": f"{live} {STATE_OF_STEPS}",
+        "stream_ingest": f"""{base} SELECT ts AS time, uid AS user_id, event_type AS device_id,
+            event_id AS sequence_id, value AS temperature,
+            '{{"ingest_timestamp":' || (epoch_us(ts) // 1000) || ',"k":' || k || '}}' AS extra_data
+            FROM good""",
+        "stream_dead_letters": f"{base} SELECT topic AS key, reason AS error FROM bad",
+        "message_rate_stream": f"""{_with(EVENTS, CONFIGS)}, arrived AS (
+              SELECT arrival AS ts FROM e WHERE fault <> 'no_topic'
+              UNION ALL SELECT ts FROM e WHERE event_type = 'error' AND event_id % 50 IN (7, 9, 11)
+              UNION ALL SELECT CASE seq WHEN 0 THEN TIMESTAMP '2023-12-31'
+                ELSE TIMESTAMP '2024-01-15' END FROM sent)
+            SELECT {minute} AS window_start, count(*) AS messages, count(*) / 60 AS per_second
+            FROM arrived GROUP BY 1""",
         "alerts_by_rule_user": f"""{history} SELECT rule_id, user_id, count(*) AS alerts
             FROM history WHERE status = 'Triggered' GROUP BY ALL""",
         "alerts_per_minute": f"""{history} SELECT date_trunc('minute', event_time) AS window_start,

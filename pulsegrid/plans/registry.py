@@ -14,6 +14,10 @@ from pulsegrid.operators import access, alerts, control, dead_letter, metrics, p
 from pulsegrid.operators import envelope, storing, traces
 from pulsegrid.plans import fixtures as fx
 from pulsegrid.schemas import ALERT_KEYS, DomainSpec, Field
+from pulsegrid.session import fresh_folder
+from pulsegrid.sources.messages import file_source
+from pulsegrid.sources.tables import read_telemetry
+from pulsegrid.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -712,3 +716,52 @@ def status_map(spark, sf_dir):
 def acl_audit(spark, sf_dir):
     audited = access.acl_audit(fx.access_log(spark, sf_dir), fx.access_list(spark, sf_dir))
     return audited.select("event_id", "username", "action", "topic", "allowed")
+
+
+# Streams: the same messages in two deliveries, the second after a restart from the checkpoint
+
+
+def _delivered(spark, sf_dir, name, start):
+    """Run a live query over all messages, half a month at a time; returns its tables."""
+    folder = fresh_folder(spark, name)
+    store, inbox = live.Store(f"{folder}/store"), f"{folder}/inbox"
+    everything = fx.message_rows(spark, sf_dir).unionByName(fx.control_rows(spark, sf_dir))
+    middle = F.lit(fx.CHANGE_AT).cast("timestamp")
+    for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
+        everything.where(part).write.mode("append").parquet(inbox)
+        start(file_source(spark, inbox), store, availableNow=True).awaitTermination()
+    return store
+
+
+@query
+def alert_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "alert_stream", live.start_alerts)
+    return spark.read.parquet(store.history).drop("batch_id", "created_at")
+
+
+@query
+def alert_stream_state(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "alert_stream_state", live.start_alerts)
+    return store.active(spark).latest()
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "stream_ingest", live.start_ingest)
+    return read_telemetry(spark, store.telemetry).select(
+        "time", "user_id", "device_id", "sequence_id", "temperature", "extra_data"
+    )
+
+
+@query
+def stream_dead_letters(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "stream_dead_letters", live.start_ingest)
+    return spark.read.parquet(store.dead_letters).select(
+        "key", parse.error_class(F.get_json_object("value", "$.error")).alias("error")
+    )
+
+
+@query
+def message_rate_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "message_rate_stream", live.start_message_rate)
+    return live.read_message_rate(spark, store)
