@@ -16,6 +16,7 @@ from pulsegrid.operators.envelope import decode_envelope
 from pulsegrid.operators.once import computed_once
 from pulsegrid.operators.parse import parse_telemetry, split_accept_reject
 from pulsegrid.session import configure
+from pulsegrid.sources.messages import spread
 
 STREAM = "iot-stream"
 CONTROL = "iot-control"
@@ -48,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @plan_once
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("user_number"),

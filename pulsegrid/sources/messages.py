@@ -43,6 +43,18 @@ def file_source(
     return reader.parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a source with fewer files than the cluster has cores, spread over the cores.
+
+    Parsing text is bound by the processor, and one file is often one task. A source of many
+    files is returned as it is: there a shuffle of raw rows would only cost.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def write_kafka(messages: DataFrame, brokers: str, topic: str | None = None, **options) -> None:
     """Send ``key, value`` rows to Kafka; without ``topic``, each row names its own."""
     writer = messages.write.format("kafka").option("kafka.bootstrap.servers", brokers)

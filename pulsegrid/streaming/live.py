@@ -7,7 +7,8 @@ or by the row key: a micro-batch repeated after a lost executor or a restart cha
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -94,19 +95,25 @@ def start_ingest(
         readings = parse.parse_telemetry(telemetry).drop("document", "extras")
         if bounds:
             readings = parse.range_validate(readings, bounds)
-        # Three outputs share the parsed rows; a lost copy is computed again from the source.
-        readings = readings.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with _kept(readings) as readings:
             good, bad = storing.quarantine_split(readings)
             write_telemetry(good, store.telemetry)
             append_batch(dead_letter.to_dead_letter(bad), store.dead_letters, batch_id)
             append_batch(skipped_messages(decoded), store.skipped, batch_id)
-        finally:
-            readings.unpersist()
 
     return _start(messages, batch, store.checkpoint("ingest"), trigger)
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows that several outputs share; a lost copy is computed again from the source."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _arrival(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sequence_id", F.col("offset"))
 
@@ -131,62 +138,65 @@ def start_alerts(
     def batch(rows: DataFrame, batch_id: int) -> None:
         configure(rows.sparkSession)
         decoded = decode_envelope(rows).withColumn("route", control_route(F.col("topic")))
-        decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
-        followed = None
-        try:
+        with _kept(decoded) as decoded:
             known_rules, known_alerts = configs.before(batch_id), active.before(batch_id)
             updates = control.parse_config_update(decoded).where(F.col("error").isNull())
             updates = updates.select("user_id", "rules", "timestamp", "offset")
+            changed = not updates.isEmpty()
             commands = _arrival(control.parse_command(decoded)).where(F.col("error").isNull())
             readings = parse.parse_telemetry(decoded.where(F.col("route").isNull()))
-            readings = readings.where(F.col("error").isNull())
-
-            evaluated = rules.evaluate_rules(
-                _with_rules(readings, known_rules, updates), carry=("timestamp", "offset")
+            readings = readings.where(F.col("error").isNull()).select(
+                "rule_user",
+                "user_id",
+                "device_id",
+                "time",
+                "temperature",
+                "battery",
+                "extras",
+                "timestamp",
+                F.col("offset").alias("sequence_id"),
             )
-            inputs = _arrival(evaluated)
-            touched = inputs.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
-            touched = touched.distinct()
-            followed = alerts.follow_alerts(
-                inputs,
-                commands,
-                known_alerts.join(touched, ALERT_KEYS, "left_semi"),
-                clock="timestamp",
-            ).persist(StorageLevel.MEMORY_AND_DISK)
-            history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
-            history = history.withColumn("created_at", F.current_timestamp())
-            append_batch(history, store.history, batch_id)
-            if publish is not None:
-                publish(alerts.publish_alerts(history))
-            after = alerts.alert_state_after(followed).unionByName(
-                known_alerts.join(touched, ALERT_KEYS, "left_anti")
-            )
-            active.write(after, batch_id)
-            if not updates.isEmpty():
+            if changed:
+                ruled = _rules_in_batch(readings, known_rules, updates)
+            else:
+                ruled = rules.rules_for_user(readings, known_rules)
+            with _kept(rules.evaluate_rules(ruled, carry=("timestamp",))) as evaluated:
+                touched = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
+                touched = touched.distinct()
+                followed = alerts.follow_alerts(
+                    evaluated,
+                    commands,
+                    known_alerts.join(touched, ALERT_KEYS, "left_semi"),
+                    clock="timestamp",
+                )
+                with _kept(followed) as followed:
+                    history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
+                    history = history.withColumn("created_at", F.current_timestamp())
+                    append_batch(history, store.history, batch_id)
+                    if publish is not None:
+                        publish(alerts.publish_alerts(history))
+                    after = alerts.alert_state_after(followed).unionByName(
+                        known_alerts.join(touched, ALERT_KEYS, "left_anti")
+                    )
+                    active.write(after, batch_id)
+            if changed:
                 newest = rules.upsert_config(known_rules, updates, ["timestamp", "offset"])
                 configs.write(newest, batch_id)
-        finally:
-            if followed is not None:
-                followed.unpersist()
-            decoded.unpersist()
 
     return _start(messages, batch, store.checkpoint("alerts"), trigger)
 
 
-def _with_rules(readings: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
+def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
     """Rules per reading: those known before the batch, then the updates within it."""
-    if updates.isEmpty():
-        return rules.rules_for_user(readings, known)
     users = readings.select(F.col("rule_user").alias("user_id")).distinct()
     earlier = known.join(users, "user_id", "left_semi").select(
         "user_id",
         "rules",
         F.lit(None).cast("timestamp").alias("timestamp"),
-        F.lit(None).cast("bigint").alias("offset"),
-    )
-    return rules.rules_as_of(
-        readings, earlier.unionByName(updates), at="timestamp", tie=("offset",)
+        F.lit(None).cast("bigint").alias("sequence_id"),
     )
+    changes = earlier.unionByName(updates.withColumnRenamed("offset", "sequence_id"))
+    return rules.rules_as_of(readings, changes, at="timestamp")
 
 
 def start_message_rate(
