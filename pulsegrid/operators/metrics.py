@@ -117,14 +117,18 @@ def top_topics(
     length: str = MINUTE,
     slide: str | None = None,
 ) -> DataFrame:
-    """The ``k`` busiest topics of each window, ties by topic name.
+    """The ``k`` busiest topics of each window, ties by topic name."""
+    return rank_topics(topic_counts(rows, ts, length, slide), k)
+
+
+def rank_topics(counts: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of ``topic_counts`` per window.
 
     Spark keeps only ``k`` rows per window and task before the shuffle.
     """
     ranked = Window.partitionBy("window").orderBy(F.desc("messages"), "topic")
     return (
-        topic_counts(rows, ts, length, slide)
-        .withColumn("rank", F.row_number().over(ranked))
+        counts.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
         .select(F.col("window.start").alias("window_start"), "rank", "topic", "messages")
     )
@@ -158,7 +162,7 @@ def idle_topics(rows: DataFrame, ts: str = "ts", seconds: int = 60) -> DataFrame
         .agg(F.sum("_active").alias("_active"), F.sum("_new").alias("_new"))
     )
     # One row of bounds, then the windows of each day, exploded where the day lives.
-    bounds = rows.agg(F.min(start).alias("low"), F.max(start).alias("high"))
+    bounds = seen.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high"))
     days = bounds.select(
         "low",
         "high",

@@ -188,6 +188,14 @@ sent AS (
   UNION ALL SELECT uid, user_number, 3, '/settings/config' FROM people
             WHERE user_number % 7 = 1)"""
 
+DELIVERED = """
+arrived AS (
+  SELECT topic, arrival AS ts FROM e WHERE fault <> 'no_topic'
+  UNION ALL SELECT 'users/' || uid || '/alerts/manage', ts FROM e
+            WHERE event_type = 'error' AND event_id % 50 IN (7, 9, 11)
+  UNION ALL SELECT 'users/' || uid || tail, CASE seq WHEN 0 THEN TIMESTAMP '2023-12-31'
+            ELSE TIMESTAMP '2024-01-15' END FROM sent)"""
+
 ACCESS = """
 log AS (
   SELECT event_id, user_number,
@@ -219,6 +227,7 @@ def oracles() -> dict[str, str]:
     live = _with(EVENTS, RULES, LIVE, COMMANDS, MACHINE_ARRIVAL, recursive=True)
     copies, arrived = _with(EVENTS, COPIES), _with(EVENTS, ARRIVED)
     configs, access = _with(EVENTS, CONFIGS), _with(EVENTS, ACCESS)
+    delivered = _with(EVENTS, CONFIGS, DELIVERED)
     minute = "date_trunc('minute', ts)"
     all_rows = "event_time, user_id, device_id, rule_id, alert_type, message, value, status"
     n_rules = "CASE user_number % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END"
@@ -390,13 +399,21 @@ def oracles() -> dict[str, str]:
             '{{"ingest_timestamp":' || (epoch_us(ts) // 1000) || ',"k":' || k || '}}' AS extra_data
             FROM good""",
         "stream_dead_letters": f"{base} SELECT topic AS key, reason AS error FROM bad",
-        "message_rate_stream": f"""{_with(EVENTS, CONFIGS)}, arrived AS (
-              SELECT arrival AS ts FROM e WHERE fault <> 'no_topic'
-              UNION ALL SELECT ts FROM e WHERE event_type = 'error' AND event_id % 50 IN (7, 9, 11)
-              UNION ALL SELECT CASE seq WHEN 0 THEN TIMESTAMP '2023-12-31'
-                ELSE TIMESTAMP '2024-01-15' END FROM sent)
+        "message_rate_stream": f"""{delivered}
             SELECT {minute} AS window_start, count(*) AS messages, count(*) / 60 AS per_second
             FROM arrived GROUP BY 1""",
+        "active_topics_stream": f"""{delivered}
+            SELECT date_trunc('hour', ts) AS window_start, count(DISTINCT topic) AS active
+            FROM arrived GROUP BY 1
+            HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
+              <= (SELECT max(ts) FROM arrived) - INTERVAL 10 MINUTE""",
+        "top_topics_stream": f"""{delivered}, counted AS (
+              SELECT date_trunc('day', ts) AS window_start, topic, count(*) AS messages
+              FROM arrived GROUP BY ALL),
+            ranked AS (SELECT window_start, row_number() OVER (PARTITION BY window_start
+                ORDER BY messages DESC, topic) AS rank, topic, messages FROM counted)
+            SELECT * FROM ranked WHERE rank <= 5 AND window_start + INTERVAL 1 DAY
+              <= (SELECT max(ts) FROM arrived) - INTERVAL 10 MINUTE""",
         "alerts_by_rule_user": f"""{history} SELECT rule_id, user_id, count(*) AS alerts
             FROM history WHERE status = 'Triggered' GROUP BY ALL""",
         "alerts_per_minute": f"""{history} SELECT date_trunc('minute', event_time) AS window_start,

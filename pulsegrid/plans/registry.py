@@ -765,3 +765,22 @@ def stream_dead_letters(spark, sf_dir):
 def message_rate_stream(spark, sf_dir):
     store = _delivered(spark, sf_dir, "message_rate_stream", live.start_message_rate)
     return live.read_message_rate(spark, store)
+
+
+@query
+def active_topics_stream(spark, sf_dir):
+    def start(messages, store, **trigger):
+        return live.start_complete_windows(messages, store, "active_topics", "1 hour", **trigger)
+
+    store = _delivered(spark, sf_dir, "active_topics_stream", start)
+    return spark.read.parquet(store.measure("active_topics")).drop("batch_id")
+
+
+@query
+def top_topics_stream(spark, sf_dir):
+    def start(messages, store, **trigger):
+        return live.start_top_topics(messages, store, length="1 day", **trigger)
+
+    store = _delivered(spark, sf_dir, "top_topics_stream", start)
+    rows = spark.read.parquet(store.measure("top_topics")).drop("batch_id")
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))

@@ -57,12 +57,11 @@ def write_telemetry(rows: DataFrame, path: str) -> None:
     Large dates are written by several tasks, small ones share a task.
     """
     spark = rows.sparkSession
-    firsts = with_date(dedupe_first_wins(rows.select(*STORED, "partition", "offset")))
-    dates = [
-        r.dt for r in firsts.select("dt").distinct().limit(LISTED_DATES + 1).collect()
-    ]
+    dated = with_date(rows).select("dt").distinct()
+    dates = [r.dt for r in dated.limit(LISTED_DATES + 1).collect()]
     if not dates:
         return
+    firsts = with_date(dedupe_first_wins(rows.select(*STORED, "partition", "offset")))
     stored = read_telemetry(spark, path)
     same_dates = touched(stored, firsts, dates if len(dates) <= LISTED_DATES else None)
     new = anti_join_existing(firsts, same_dates, KEY)

@@ -49,9 +49,8 @@ class Store:
     def history(self) -> str:
         return f"{self.root}/alerts_history"
 
-    @property
-    def rates(self) -> str:
-        return f"{self.root}/message_rates"
+    def measure(self, name: str) -> str:
+        return f"{self.root}/measures/{name}"
 
     def configs(self, spark: SparkSession) -> Snapshots:
         return Snapshots(spark, f"{self.root}/user_configs", CONFIGS)
@@ -199,26 +198,81 @@ def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -
     return rules.rules_as_of(readings, changes, at="timestamp")
 
 
+def _arrived(messages: DataFrame, delay: str) -> DataFrame:
+    """Topic and arrival time of every enveloped message, with a watermark."""
+    decoded = decode_envelope(messages).where(F.col("skip_reason").isNull())
+    return decoded.select("topic", F.col("timestamp").alias("ts")).withWatermark("ts", delay)
+
+
 def start_message_rate(
-    messages: DataFrame, store: Store, length: str = "1 minute", delay: str = "10 minutes", **trigger
+    messages: DataFrame,
+    store: Store,
+    length: str = "1 minute",
+    delay: str = "10 minutes",
+    **trigger,
 ) -> StreamingQuery:
     """Message rate per window, renewed as messages arrive.
 
     A window is kept open for ``delay`` after its end; messages later than that are not counted.
     """
     configure(messages.sparkSession)
-    decoded = decode_envelope(messages).where(F.col("skip_reason").isNull())
-    arrived = decoded.withWatermark("timestamp", delay)
-    rates = metrics.message_rate(arrived, "timestamp", length)
+    rates = metrics.message_rate(_arrived(messages, delay), length=length)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        append_batch(rows, store.rates, batch_id)
+        append_batch(rows, store.measure("message_rate"), batch_id)
 
     return _start(rates, batch, store.checkpoint("message_rate"), trigger, mode="update")
 
 
 def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
     """Newest count of every window."""
-    rows = spark.read.parquet(store.rates)
+    rows = spark.read.parquet(store.measure("message_rate"))
     newest = storing.latest_by_key(rows, ["window_start"], [F.col("batch_id")])
     return newest.drop("batch_id")
+
+
+# Measures of complete windows. Each is an aggregation of topic counts, which Spark carries on in
+# a second aggregation once the watermark has closed a window.
+COMPLETE_WINDOWS = {
+    "active_topics": metrics.active_topics,
+    "avg_topic_rate": metrics.avg_topic_rate,
+}
+
+
+def start_complete_windows(
+    messages: DataFrame,
+    store: Store,
+    measure: str,
+    length: str = "1 minute",
+    delay: str = "10 minutes",
+    **trigger,
+) -> StreamingQuery:
+    """Write ``active_topics`` or ``avg_topic_rate`` of every window once, when it is complete."""
+    configure(messages.sparkSession)
+    rows = COMPLETE_WINDOWS[measure](_arrived(messages, delay), length=length)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        append_batch(rows, store.measure(measure), batch_id)
+
+    return _start(rows, batch, store.checkpoint(measure), trigger)
+
+
+def start_top_topics(
+    messages: DataFrame,
+    store: Store,
+    k: int = 5,
+    length: str = "1 minute",
+    delay: str = "10 minutes",
+    **trigger,
+) -> StreamingQuery:
+    """Write the ``k`` busiest topics of every window once, when it is complete.
+
+    Ranking is no streaming operation, so the counts of complete windows are ranked per batch.
+    """
+    configure(messages.sparkSession)
+    counts = metrics.topic_counts(_arrived(messages, delay), length=length)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        append_batch(metrics.rank_topics(rows, k), store.measure("top_topics"), batch_id)
+
+    return _start(counts, batch, store.checkpoint("top_topics"), trigger)

@@ -143,3 +143,27 @@ def test_published_alerts(spark, rows, tmp_path):
     store = deliver(spark, rows, [], str(tmp_path), start)
     assert len(seen) == spark.read.parquet(store.history).count()
     assert {r.topic for r in seen} == {"users/a/alerts", "users/b/alerts"}
+
+
+def test_complete_windows_are_written_once(spark, rows, tmp_path):
+    def start(messages, store, **trigger):
+        return live.start_complete_windows(
+            messages, store, "active_topics", "10 minutes", "10 minutes", **trigger
+        )
+
+    store = deliver(spark, rows, [80, 160], str(tmp_path), start)
+    got = {r.window_start: r.active for r in spark.read.parquet(store.measure("active_topics")).collect()}
+    want = {}
+    for row in rows[:-1]:
+        want.setdefault(row[5] - timedelta(minutes=row[5].minute % 10), set()).add(json.loads(row[1])["topic"])
+    last = rows[-2][5]
+    want = {k: len(v) for k, v in want.items() if k + timedelta(minutes=20) <= last}
+    assert got == want
+    assert spark.read.parquet(store.measure("active_topics")).count() == len(want)
+
+
+def test_kafka_needs_its_connector(spark):
+    from pulsegrid.sources.messages import kafka_source
+
+    with pytest.raises(Exception, match="(?i)kafka"):
+        kafka_source(spark, "localhost:9092", "iot-stream", max_offsets=10)
