@@ -31,6 +31,7 @@ class OrderedGroups:
     order: list[str]
     plain: DataFrame | None
     sliced: DataFrame | None
+    steps: int = 0
 
     def last_before(self, **values: Column) -> OrderedGroups:
         """Add columns: the last non-NULL value strictly before the row, within its group."""
@@ -38,8 +39,11 @@ class OrderedGroups:
         if plain is not None:
             plain = plain.select("*", *self._running(self.keys, values))
         if sliced is not None:
+            # Each step reads its rows twice. Steps on steps would double that every time, so
+            # what the earlier step made is written down first.
+            sliced = sliced.checkpoint() if self.steps else sliced
             sliced = self._across_slices(sliced, values)
-        return replace(self, plain=plain, sliced=sliced)
+        return replace(self, plain=plain, sliced=sliced, steps=self.steps + 1)
 
     def with_columns(self, **columns: Column) -> OrderedGroups:
         return self.transform(lambda df: df.withColumns(columns))

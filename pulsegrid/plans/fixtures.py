@@ -59,6 +59,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = table(spark, sf_dir, "events").select(F.col("user_id").alias("user_number"))
+    return numbers.distinct()
+
+
 def user_name(number: str = "user_number") -> Column:
     return F.concat(F.lit("user_"), F.col(number).cast("string"))
 
@@ -195,7 +200,6 @@ def with_copies(rows: DataFrame) -> DataFrame:
 @plan_once
 def config_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule updates of every user: ``topic, payload, ts, sequence_id``."""
-    users = events(spark, sf_dir).select("user_number").distinct()
     group = F.col("user_number") % 5
     text = F.lit(None).cast("string")
     for number, payload in RULES_JSON.items():
@@ -216,7 +220,7 @@ def config_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_number") % 11 == 3, sent("own", F.lit(BROKEN_JSON), CHANGE_AT, 2)),
         F.when(F.col("user_number") % 7 == 1, sent("foreign", F.lit("{}"), CHANGE_AT, 3)),
     )
-    return users.select(F.inline(F.filter(everything, lambda m: m.isNotNull())))
+    return users(spark, sf_dir).select(F.inline(F.filter(everything, lambda m: m.isNotNull())))
 
 
 @plan_once
@@ -310,8 +314,7 @@ def access_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         "username string, permission string, topic string",
     )
-    users = events(spark, sf_dir).select("user_number").distinct()
-    own = users.where(F.col("user_number") % 3 == 0).select(
+    own = users(spark, sf_dir).where(F.col("user_number") % 3 == 0).select(
         user_name().alias("username"),
         F.lit("all").alias("permission"),
         F.concat(

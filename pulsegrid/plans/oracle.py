@@ -237,7 +237,7 @@ def oracles() -> dict[str, str]:
     )
     changed = "user_number % 5 = 2 AND ts >= TIMESTAMP '2024-01-15'"
     return {
-        "match_filter": f"""{access} SELECT event_id,
+        "match_topic_filter": f"""{access} SELECT event_id,
             regexp_full_match(topic, 'users/[^/]*/devices/[^/]*/telemetry') AS telemetry,
             regexp_full_match(topic, 'users/[^/]*/config') AS config,
             regexp_full_match(topic, 'users/user_1(/.*)?') AS user_1 FROM log""",
@@ -302,7 +302,7 @@ def oracles() -> dict[str, str]:
             CASE event_id % 4 WHEN 2 THEN 'unknown' ELSE split_part(topic, '/', 2) END AS user_id,
             CASE event_id % 4 WHEN 2 THEN NULL ELSE split_part(topic, '/', 2) END AS rule_user
             FROM log""",
-        "rule_values": f"""{base} SELECT event_id AS sequence_id, value AS value_temperature,
+        "rule_value": f"""{base} SELECT event_id AS sequence_id, value AS value_temperature,
             CAST(k AS DOUBLE) AS value_battery, CAST(k AS DOUBLE) AS value_k,
             NULL::DOUBLE AS value_device_id FROM good""",
         "split_accept_reject": f"""{base} SELECT

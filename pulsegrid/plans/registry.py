@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.functions.rules import rule_value
-from pulsegrid.functions.topics import match_topic_filter
+from pulsegrid.functions import topics
+from pulsegrid.functions.rules import rule_value as value_of
 from pulsegrid.operators import access, alerts, control, dead_letter, metrics, parse, rules
 from pulsegrid.operators import envelope, storing, traces
 from pulsegrid.plans import fixtures as fx
@@ -47,14 +47,14 @@ def query(build: Query) -> Query:
 
 
 @query
-def match_filter(spark, sf_dir):
+def match_topic_filter(spark, sf_dir):
     rows = fx.access_log(spark, sf_dir)
     topic = F.col("topic")
     return rows.select(
         "event_id",
-        match_topic_filter(topic, "users/+/devices/+/telemetry").alias("telemetry"),
-        match_topic_filter(topic, "users/+/config").alias("config"),
-        match_topic_filter(topic, "users/user_1/#").alias("user_1"),
+        topics.match_topic_filter(topic, "users/+/devices/+/telemetry").alias("telemetry"),
+        topics.match_topic_filter(topic, "users/+/config").alias("config"),
+        topics.match_topic_filter(topic, "users/user_1/#").alias("user_1"),
     )
 
 
@@ -205,12 +205,12 @@ def user_id_from_topic(spark, sf_dir):
 
 
 @query
-def rule_values(spark, sf_dir):
+def rule_value(spark, sf_dir):
     rows = fx.accepted(spark, sf_dir)
     return rows.select(
         "sequence_id",
         *[
-            rule_value(F.lit(key), F.col("extras")).alias(f"value_{key}")
+            value_of(F.lit(key), F.col("extras")).alias(f"value_{key}")
             for key in ("temperature", "battery", "k", "device_id")
         ],
     )
