@@ -104,88 +104,74 @@ def active_alerts_asof(
 
 def _inputs(evaluations: DataFrame, commands: DataFrame, clock: str) -> DataFrame:
     """Evaluations and commands as one kind of row; commands follow evaluations of their time."""
-    as_evaluations = evaluations.select(
+    as_evaluations = evaluations.selectExpr(
         *ALERT_KEYS,
-        F.col(clock).alias("clock"),
-        F.lit(0).alias("kind"),
+        f"{clock} AS clock",
+        "0 AS kind",
         "sequence_id",
         "pos",
         "time",
         "value",
         "message",
         "triggered",
-        F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("timestamp").alias("until"),
-        F.lit(True).alias("fresh"),
+        "CAST(NULL AS STRING) AS action",
+        "CAST(NULL AS TIMESTAMP) AS until",
+        "true AS fresh",
     )
-    until = F.timestamp_micros(
-        F.unix_micros(F.col(clock)) + F.col("duration_minutes") * F.lit(60_000_000)
-    )
-    as_commands = commands.select(
+    as_commands = commands.selectExpr(
         *ALERT_KEYS,
-        F.col(clock).alias("clock"),
-        F.lit(1).alias("kind"),
+        f"{clock} AS clock",
+        "1 AS kind",
         "sequence_id",
-        F.lit(0).alias("pos"),
-        F.lit(None).cast("timestamp").alias("time"),
-        F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("message"),
-        F.lit(None).cast("boolean").alias("triggered"),
+        "0 AS pos",
+        "CAST(NULL AS TIMESTAMP) AS time",
+        "CAST(NULL AS DOUBLE) AS value",
+        "CAST(NULL AS STRING) AS message",
+        "CAST(NULL AS BOOLEAN) AS triggered",
         "action",
-        F.when(F.col("action") == "SNOOZE", until).alias("until"),
-        F.lit(True).alias("fresh"),
+        f"""CASE WHEN action = 'SNOOZE'
+            THEN timestamp_micros(unix_micros({clock}) + duration_minutes * 60000000)
+            END AS until""",
+        "true AS fresh",
     )
     return as_evaluations.unionByName(as_commands)
 
 
 def _from_state(active: DataFrame) -> DataFrame:
-    """Stored alerts as the inputs that lead to them, placed before everything else."""
-    started = F.struct(
-        F.lit(0).alias("pos"),
-        F.col("start_time").alias("time"),
-        F.lit(True).alias("triggered"),
-        F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("timestamp").alias("until"),
-    )
-    seen = F.struct(
-        F.lit(1).alias("pos"),
-        F.col("last_seen").alias("time"),
-        F.lit(True).alias("triggered"),
-        F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("timestamp").alias("until"),
-    )
-    command = F.struct(
-        F.lit(2).alias("pos"),
-        F.lit(None).cast("timestamp").alias("time"),
-        F.lit(None).cast("boolean").alias("triggered"),
-        F.when(F.col("status") == "Snoozed", F.lit("SNOOZE")).otherwise("DISABLE").alias("action"),
-        F.col("snooze_until").alias("until"),
-    )
-    steps = F.when(F.col("status") == "Active", F.array(started, seen)).otherwise(
-        F.array(started, seen, command)
-    )
-    return active.select(*ALERT_KEYS, "current_value", F.inline(steps)).select(
+    """Stored alerts as the inputs that lead to them, placed before everything else.
+
+    A true evaluation at the start, one when last seen, and the command that gave the status.
+    """
+    steps = """
+        stack(3, 0, start_time, true, CAST(NULL AS STRING), CAST(NULL AS TIMESTAMP),
+                 1, last_seen, true, NULL, NULL,
+                 2, CAST(NULL AS TIMESTAMP), CAST(NULL AS BOOLEAN),
+                    CASE status WHEN 'Snoozed' THEN 'SNOOZE' WHEN 'Disabled' THEN 'DISABLE' END,
+                    snooze_until)
+        AS (pos, time, triggered, action, until)"""
+    replayed = active.selectExpr(*ALERT_KEYS, "current_value", steps)
+    return replayed.where("triggered OR action IS NOT NULL").selectExpr(
         *ALERT_KEYS,
-        F.lit(None).cast("timestamp").alias("clock"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("bigint").alias("sequence_id"),
+        "CAST(NULL AS TIMESTAMP) AS clock",
+        "0 AS kind",
+        "CAST(NULL AS BIGINT) AS sequence_id",
         "pos",
         "time",
-        F.when(F.col("triggered"), F.col("current_value")).alias("value"),
-        F.lit(None).cast("string").alias("message"),
+        "CASE WHEN triggered THEN current_value END AS value",
+        "CAST(NULL AS STRING) AS message",
         "triggered",
         "action",
         "until",
-        F.lit(False).alias("fresh"),
+        "false AS fresh",
     )
 
 
 INPUT_ORDER = ["clock", "kind", "sequence_id", "pos"]
 
 
-def _ran_out(until: Column, now: Column) -> Column:
-    """Whether a snooze is over; one without an end never is."""
-    return F.coalesce(until < now, F.lit(False))
+def _in_epoch(what: str) -> Column:
+    """Whether the named earlier row lies in the current epoch."""
+    return F.expr(f"{what} IS NOT NULL AND (_snooze IS NULL OR {what}.at > _snooze.at)")
 
 
 def follow_alerts(
@@ -204,63 +190,64 @@ def follow_alerts(
     inputs = _inputs(evaluations, commands, clock)
     if active is not None:
         inputs = inputs.unionByName(_from_state(active))
-    place = F.struct(*[F.col(c) for c in INPUT_ORDER])
-    evaluated = F.col("triggered").isNotNull()
-    snooze = F.col("action") == "SNOOZE"
-    disable = F.col("action") == "DISABLE"
-
-    def in_epoch(what: str) -> Column:
-        """Whether the named earlier row lies in the current epoch."""
-        return F.col(what).isNotNull() & (
-            F.col("_snooze").isNull() | (F.col(f"{what}.at") > F.col("_snooze.at"))
-        )
-
     rows = (
         ordered_groups(inputs, ALERT_KEYS, INPUT_ORDER, group_rows)
-        .with_columns(_at=place)
+        .with_columns(_at=F.struct(*INPUT_ORDER))
         .last_before(
-            _snooze=F.when(snooze, F.struct(F.col("_at").alias("at"), F.col("until"))),
-            _eval=F.when(
-                evaluated,
-                F.struct(F.col("_at").alias("at"), F.col("triggered"), F.col("clock")),
+            _snooze=F.expr("CASE WHEN action = 'SNOOZE' THEN struct(_at AS at, until) END"),
+            _eval=F.expr(
+                "CASE WHEN triggered IS NOT NULL THEN struct(_at AS at, triggered, clock) END"
             ),
-            _false=F.when(~F.col("triggered"), F.struct(F.col("_at").alias("at"))),
-        )
-        .with_columns(
-            _evaluated=in_epoch("_eval"),
-            _last_true=in_epoch("_eval") & F.col("_eval.triggered"),
-            _had_false=in_epoch("_false"),
+            _false=F.expr("CASE WHEN NOT triggered THEN struct(_at AS at) END"),
         )
+        .with_columns(_evaluated=_in_epoch("_eval"), _had_false=_in_epoch("_false"))
+        .with_columns(_last_true=F.expr("_evaluated AND _eval.triggered"))
         # A disable after a true evaluation works; one before any evaluation works if the alert
         # existed when the epoch began; one after a false evaluation finds nothing.
         .last_before(
-            _disabled=F.when(disable & F.col("_last_true"), F.struct(F.col("_at").alias("at"))),
-            _maybe=F.when(disable & ~F.col("_evaluated"), F.struct(F.col("_at").alias("at"))),
+            _disabled=F.expr(
+                "CASE WHEN action = 'DISABLE' AND _last_true THEN struct(_at AS at) END"
+            ),
+            _maybe=F.expr(
+                "CASE WHEN action = 'DISABLE' AND NOT _evaluated THEN struct(_at AS at) END"
+            ),
         )
-        .with_columns(_disabled_in=in_epoch("_disabled"), _maybe_in=in_epoch("_maybe"))
-    )
-    # What an ended epoch says about the existence of the alert; NULL leaves it as it was.
-    outcome = F.when(F.col("_disabled_in") | F.col("_last_true"), F.lit(True)).when(
-        F.col("_evaluated") & ~F.col("_maybe_in"), F.lit(False)
+        .with_columns(_disabled_in=_in_epoch("_disabled"), _maybe_in=_in_epoch("_maybe"))
+        # What an ended epoch says about the existence of the alert; NULL leaves it as it was.
+        .last_before(
+            _existed=F.expr(
+                """CASE WHEN action = 'SNOOZE' THEN
+                     CASE WHEN _disabled_in OR _last_true THEN true
+                          WHEN _evaluated AND NOT _maybe_in THEN false END
+                   END"""
+            )
+        )
+        .rows()
     )
-    rows = rows.last_before(_existed=F.when(snooze, outcome)).rows()
-
-    existed = F.coalesce("_existed", F.lit(False))
-    blocked = F.col("_disabled_in") | (F.col("_maybe_in") & existed)
-    exists = blocked | F.col("_last_true") | (~F.col("_evaluated") & existed)
-    # Snoozed: the epoch's snooze found an alert, and nothing has resolved or woken it since.
-    ran_out_before = F.col("_evaluated") & _ran_out(
-        F.col("_snooze.until"), F.col("_eval.clock")
+    rows = rows.withColumn("_existed", F.expr("coalesce(_existed, false)"))
+    rows = rows.withColumns(
+        {
+            "blocked": F.expr("_disabled_in OR (_maybe_in AND _existed)"),
+            # A snooze without an end never runs out.
+            "_over": F.expr("coalesce(_snooze.until < clock, false)"),
+            "_over_before": F.expr("_evaluated AND coalesce(_snooze.until < _eval.clock, false)"),
+        }
     )
-    snoozed = (
-        existed & ~blocked & ~F.col("_had_false") & F.col("_snooze").isNotNull() & ~ran_out_before
+    rows = rows.withColumns(
+        {
+            "existed": F.expr("blocked OR _last_true OR (NOT _evaluated AND _existed)"),
+            # The epoch's snooze found an alert, and nothing has resolved or woken it since.
+            "snoozed": F.expr(
+                """_existed AND NOT blocked AND NOT _had_false AND _snooze IS NOT NULL
+                   AND NOT _over_before"""
+            ),
+        }
     )
-    rows = rows.withColumns({"blocked": blocked, "existed": exists, "snoozed": snoozed})
-    wakes = F.col("snoozed") & _ran_out(F.col("_snooze.until"), F.col("clock"))
-    status = F.when(
-        F.col("triggered") & ~F.col("blocked") & (~F.col("existed") | wakes), F.lit("Triggered")
-    ).when(~F.col("triggered") & ~F.col("blocked") & F.col("existed"), F.lit("Resolved"))
-    return rows.withColumn("status", F.when(F.col("fresh"), status))
+    status = """
+        CASE WHEN NOT fresh OR blocked THEN NULL
+             WHEN triggered AND (NOT existed OR (snoozed AND _over)) THEN 'Triggered'
+             WHEN NOT triggered AND existed THEN 'Resolved' END"""
+    return rows.withColumn("status", F.expr(status))
 
 
 def alert_history_with_commands(
@@ -277,47 +264,28 @@ def alert_history_with_commands(
 
 def alert_state_after(followed: DataFrame) -> DataFrame:
     """Snapshot of all alerts after the inputs of ``follow_alerts``."""
-    at = F.col("_at")
-    snooze = F.col("action") == "SNOOZE"
-    disable = F.col("action") == "DISABLE"
-    true_now = F.col("triggered")
-    exists_after = (
-        F.when(true_now, F.lit(True))
-        .when(~true_now, F.col("blocked"))
-        .otherwise(F.col("existed"))
-    )
-    # The alert's life began at the first true evaluation that found none.
-    begins = true_now & ~F.col("existed")
-    status_after = (
-        F.when(snooze, F.lit("Snoozed"))
-        .when(disable, F.lit("Disabled"))
-        .when(F.col("blocked"), F.lit("Disabled"))
-        .when(
-            F.col("snoozed") & ~_ran_out(F.col("_snooze.until"), F.col("clock")),
-            F.lit("Snoozed"),
-        )
-        .otherwise(F.lit("Active"))
-    )
-    until_after = F.when(snooze, F.col("until")).otherwise(F.col("_snooze.until"))
-    last = F.max(
-        F.struct(at, exists_after.alias("exists"), status_after.alias("s"), until_after.alias("u"))
-    )
-    # While disabled, a false evaluation changes nothing; a true one refreshes the alert.
-    seen = F.max(F.when(true_now, F.struct(at, F.col("time"), F.col("value"))))
+    exists = "CASE WHEN triggered THEN true WHEN NOT triggered THEN blocked ELSE existed END"
+    status = """
+        CASE WHEN action = 'SNOOZE' THEN 'Snoozed'
+             WHEN action = 'DISABLE' OR blocked THEN 'Disabled'
+             WHEN snoozed AND NOT _over THEN 'Snoozed' ELSE 'Active' END"""
+    until = "CASE WHEN action = 'SNOOZE' THEN until ELSE _snooze.until END"
     return (
         followed.groupBy(*ALERT_KEYS)
         .agg(
-            last.alias("_last"),
-            F.max(F.when(begins, F.struct(at, F.col("time")))).alias("_start"),
-            seen.alias("_seen"),
+            F.expr(f"max(struct(_at, {exists} AS live, {status} AS s, {until} AS u)) AS _last"),
+            # An alert begins with the true evaluation that found none.
+            F.expr("max(CASE WHEN triggered AND NOT existed THEN struct(_at, time) END) AS _start"),
+            # A true evaluation refreshes the alert, whatever its status.
+            F.expr("max(CASE WHEN triggered THEN struct(_at, time, value) END) AS _seen"),
         )
-        .where(F.col("_last.exists"))
-        .select(
+        .where("_last.live")
+        .selectExpr(
             *ALERT_KEYS,
-            F.col("_start.time").alias("start_time"),
-            F.col("_seen.time").alias("last_seen"),
-            F.col("_last.s").alias("status"),
-            F.when(F.col("_last.s") == "Snoozed", F.col("_last.u")).alias("snooze_until"),
-            F.col("_seen.value").alias("current_value"),
+            "_start.time AS start_time",
+            "_seen.time AS last_seen",
+            "_last.s AS status",
+            "CASE WHEN _last.s = 'Snoozed' THEN _last.u END AS snooze_until",
+            "_seen.value AS current_value",
         )
     )

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsegrid.functions.topics import control_route
 from pulsegrid.operators import alerts, control, dead_letter, metrics, parse, rules, storing
 from pulsegrid.operators.envelope import decode_envelope, skipped_messages
+from pulsegrid.operators.ordered_groups import GROUP_ROWS
 from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES
 from pulsegrid.session import configure
 from pulsegrid.sources.tables import Snapshots, append_batch, write_telemetry
@@ -142,6 +143,7 @@ def start_alerts(
             updates = control.parse_config_update(decoded).where(F.col("error").isNull())
             updates = updates.select("user_id", "rules", "timestamp", "offset")
             changed = not updates.isEmpty()
+            few_messages = decoded.count() <= GROUP_ROWS
             commands = _arrival(control.parse_command(decoded)).where(F.col("error").isNull())
             readings = parse.parse_telemetry(decoded.where(F.col("route").isNull()))
             readings = readings.where(F.col("error").isNull()).select(
@@ -156,10 +158,13 @@ def start_alerts(
                 F.col("offset").alias("sequence_id"),
             )
             if changed:
-                ruled = _rules_in_batch(readings, known_rules, updates)
+                ruled = _rules_in_batch(
+                    readings, known_rules, updates, None if few_messages else GROUP_ROWS
+                )
             else:
                 ruled = rules.rules_for_user(readings, known_rules)
             with _kept(rules.evaluate_rules(ruled, carry=("timestamp",))) as evaluated:
+                few_inputs = few_messages and evaluated.count() <= GROUP_ROWS
                 touched = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
                 touched = touched.distinct()
                 followed = alerts.follow_alerts(
@@ -167,6 +172,8 @@ def start_alerts(
                     commands,
                     known_alerts.join(touched, ALERT_KEYS, "left_semi"),
                     clock="timestamp",
+                    # A small batch has no large group; else the groups are counted.
+                    group_rows=None if few_inputs else GROUP_ROWS,
                 )
                 with _kept(followed) as followed:
                     history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
@@ -185,7 +192,9 @@ def start_alerts(
     return _start(messages, batch, store.checkpoint("alerts"), trigger)
 
 
-def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
+def _rules_in_batch(
+    readings: DataFrame, known: DataFrame, updates: DataFrame, group_rows: int | None
+) -> DataFrame:
     """Rules per reading: those known before the batch, then the updates within it."""
     users = readings.select(F.col("rule_user").alias("user_id")).distinct()
     earlier = known.join(users, "user_id", "left_semi").select(
@@ -195,7 +204,7 @@ def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -
         F.lit(None).cast("bigint").alias("sequence_id"),
     )
     changes = earlier.unionByName(updates.withColumnRenamed("offset", "sequence_id"))
-    return rules.rules_as_of(readings, changes, at="timestamp")
+    return rules.rules_as_of(readings, changes, at="timestamp", group_rows=group_rows)
 
 
 def _arrived(messages: DataFrame, delay: str) -> DataFrame:
