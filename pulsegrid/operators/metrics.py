@@ -161,7 +161,8 @@ def idle_topics(rows: DataFrame, ts: str = "ts", seconds: int = 60) -> DataFrame
         .groupBy("window_start")
         .agg(F.sum("_active").alias("_active"), F.sum("_new").alias("_new"))
     )
-    # One row of bounds, then the windows of each day, exploded where the day lives.
+    # One row of bounds, then a row per day, spread out before it is exploded to windows.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     bounds = seen.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high"))
     days = bounds.select(
         "low",
@@ -175,6 +176,7 @@ def idle_topics(rows: DataFrame, ts: str = "ts", seconds: int = 60) -> DataFrame
     last = F.least(F.col("high"), _first_window(F.date_add("day", 1), seconds) - step)
     spine = (
         days.where(first <= last)
+        .repartition(cores, "day")
         .select(F.explode(F.sequence(first, last, step)).alias("window_start"))
         .withColumn("day", F.to_date("window_start"))
     )

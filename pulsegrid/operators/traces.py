@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.trace import trace_context
@@ -73,9 +73,9 @@ def to_otlp_spans(wrapped: DataFrame, start: Column | None = None) -> DataFrame:
 def ingress_latency(
     rows: DataFrame, received: Column, sent_ms: Column, groups: list[str]
 ) -> DataFrame:
-    """Milliseconds from ``ingest_timestamp`` to receipt: count, average, median, p95, maximum.
+    """Milliseconds from ``ingest_timestamp`` to receipt: count, average, median, p95, extremes.
 
-    Equal latencies are counted first, so the percentile sees distinct values, not rows.
+    Equal latencies are counted first, so later steps see distinct values, not rows.
     """
     latency = (F.unix_millis(received) - sent_ms).alias("latency_ms")
     counted = (
@@ -88,15 +88,37 @@ def ingress_latency(
 
 
 def _summary(counted: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    n = F.col("_n")
-    return counted.groupBy(*groups).agg(
-        F.sum(n).alias("n"),
-        (F.sum(F.col(value) * n) / F.sum(n)).alias("mean"),
-        F.percentile(value, 0.5, n).alias("p50"),
-        F.percentile(value, 0.95, n).alias("p95"),
+    """Statistics of counted values (``_n`` times each) per group; no group column is NULL.
+
+    Percentiles interpolate linearly. They come from running counts over the sorted distinct
+    values, which spill to disk where there are very many, rather than from one collection in
+    memory per group.
+    """
+    totals = counted.groupBy(*groups).agg(
+        F.sum("_n").alias("n"),
+        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
     )
+    running = Window.partitionBy(*groups).orderBy(value)
+    up_to = counted.withColumn("_upto", F.sum("_n").over(running))
+    placed = up_to.join(totals.select(*groups, F.col("n").alias("_all")), groups)
+
+    def at(share: float, rounding) -> Column:
+        place = rounding(F.lit(share) * (F.col("_all") - 1))
+        return F.min(F.when(F.col("_upto") > place, F.col(value)))
+
+    def percentile(share: float) -> Column:
+        exact = F.max(F.lit(share) * (F.col("_all") - 1))
+        low, high = at(share, F.floor), at(share, F.ceil)
+        return low + (high - low) * (exact - F.floor(exact))
+
+    shares = placed.groupBy(*groups).agg(
+        percentile(0.5).alias("p50"), percentile(0.95).alias("p95")
+    )
+    return totals.join(shares, groups).select(
+        *groups, "n", "mean", "p50", "p95", "lowest", "highest"
+    )
 
 
 def payload_size_stats(decoded: DataFrame) -> DataFrame:

@@ -98,5 +98,5 @@ def test_gauges(spark):
 def test_latency(spark):
     rows = spark.createDataFrame([(at(0), d) for d in (1, 2, 3, 4, 100)], "ts timestamp, delay int")
     received = F.timestamp_micros(F.unix_micros("ts") + F.col("delay") * 1000)
-    row = traces.ingress_latency(rows, received, F.unix_millis("ts"), []).collect()[0]
+    row = traces.ingress_latency(rows, received, F.unix_millis("ts"), ["ts"]).collect()[0]
     assert (row.n, row.mean, row.p50, row.lowest, row.highest) == (5, 22.0, 3.0, 1, 100)

@@ -85,8 +85,6 @@ def test_quarantine(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    from pulsegrid.schemas import RULES  # noqa: F401
-
     schema = spark.createDataFrame([], "k string, v int").schema
     path = str(tmp_path / "snap")
     table = tables.Snapshots(spark, path, schema)
