@@ -14,14 +14,10 @@ REQUIRED_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# Generated methods above 8000 bytes are never compiled by the JVM; Spark then had better use
-# smaller ones. Affects speed only.
-TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on; safe to repeat."""
-    for name, value in {**REQUIRED_SETTINGS, **TUNING}.items():
+    for name, value in REQUIRED_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
 

@@ -80,11 +80,17 @@ def _start(
 
 
 def start_ingest(
-    messages: DataFrame, store: Store, bounds: dict | None = None, **trigger
+    messages: DataFrame,
+    store: Store,
+    bounds: dict | None = None,
+    send_failed: Callable[[DataFrame], None] | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Store valid readings once, failed ones as dead letters, and count what was skipped.
 
-    ``bounds`` adds range checks. The trigger is ``availableNow=True`` or ``processingTime=...``.
+    ``bounds`` adds range checks. ``send_failed`` also gets the dead letters of each batch, say to
+    write them to a Kafka topic; it may see them again if the batch is repeated. The trigger is
+    ``availableNow=True`` or ``processingTime=...``.
     """
     configure(messages.sparkSession)
 
@@ -98,7 +104,10 @@ def start_ingest(
         with _kept(readings) as readings:
             good, bad = storing.quarantine_split(readings)
             write_telemetry(good, store.telemetry)
-            append_batch(dead_letter.to_dead_letter(bad), store.dead_letters, batch_id)
+            letters = dead_letter.to_dead_letter(bad)
+            append_batch(letters, store.dead_letters, batch_id)
+            if send_failed is not None:
+                send_failed(letters)
             append_batch(skipped_messages(decoded), store.skipped, batch_id)
 
     return _start(messages, batch, store.checkpoint("ingest"), trigger)
