@@ -12,6 +12,7 @@ from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups
 from pulsegrid.schemas import DEFAULT_RULE, RULES
 
 RULE_TYPE = RULES.simpleString()
+SPREAD_GROUPS = 4096
 
 
 def default_rules() -> Column:
@@ -94,37 +95,36 @@ def rules_as_of(
     ``changes`` has ``user_id, rules, <at>`` and may carry the ``tie`` columns; a change at the
     very time of a reading counts for it. Users without any earlier change get the default rule.
     """
-    kinds = {c: readings.schema[c].dataType for c in readings.columns}
-    named = readings.where(F.col("rule_user").isNotNull()).withColumns(
-        {"_kind": F.lit(1), "_change": F.lit(None).cast(RULE_TYPE)}
+    # Readings of no user have no rules to look up: they go through in many small groups.
+    spread = F.concat(
+        F.lit("\0"), F.pmod(F.xxhash64(at, *tie), F.lit(SPREAD_GROUPS)).cast("string")
     )
-    # Not a column named 'rules': the running value takes that name.
+    as_readings = readings.withColumns(
+        {
+            "_group": F.coalesce("rule_user", spread),
+            "_kind": F.lit(1),
+            "_change": F.lit(None).cast(RULE_TYPE),
+        }
+    )
+    order = [at, *[c for c in tie if c in changes.columns]]
     as_rows = changes.select(
-        *[
-            F.col("user_id").alias(c)
-            if c == "rule_user"
-            else (
-                F.col(c)
-                if c == at or (c in tie and c in changes.columns)
-                else F.lit(None).cast(kinds[c])
-            ).alias(c)
-            for c in readings.columns
-        ],
+        *order,
+        F.col("user_id").alias("_group"),
         F.lit(0).alias("_kind"),
         F.col("rules").alias("_change"),
     )
     followed = ordered_groups(
-        named.unionByName(as_rows), ["rule_user"], [at, "_kind", *tie], group_rows
+        as_readings.unionByName(as_rows, allowMissingColumns=True),
+        ["_group"],
+        [at, "_kind", *tie],
+        group_rows,
     ).last_before(_rules=F.col("_change"))
-    current = (
+    rules = F.when(F.col("rule_user").isNotNull(), F.coalesce("_rules", default_rules()))
+    return (
         followed.rows()
         .where(F.col("_kind") == 1)
-        .select(*readings.columns, F.coalesce("_rules", default_rules()).alias("rules"))
-    )
-    unnamed = readings.where(F.col("rule_user").isNull()).withColumn(
-        "rules", F.lit(None).cast(RULE_TYPE)
+        .select(*readings.columns, rules.alias("rules"))
     )
-    return current.unionByName(unnamed)
 
 
 def explode_rules(readings: DataFrame) -> DataFrame:
