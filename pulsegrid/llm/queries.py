@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import counts, packing, token_files
+from pulsegrid.llm import counts, mixing, packing, token_files
 from pulsegrid.session import fresh_folder
 
 
@@ -20,6 +21,15 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(spark, stored)
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    stored = fresh_folder(spark, "sizes")
+    docs = mixing.with_size(table(spark, folder, "documents"))
+    docs.select("doc_id", "source", "size").write.parquet(stored)
+    mixed = mixing.mix(spark.read.parquet(stored))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,8 +43,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_mixing": op3_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_mixing": mixing.ORACLE}
