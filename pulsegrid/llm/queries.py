@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import counts, mixing, packing, shingle_join, token_files
+from pulsegrid.llm import counts, mixing, packing, shingle_join, token_files, windows
 from pulsegrid.session import fresh_folder
 
 
@@ -30,6 +30,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op6_windows(spark: SparkSession, folder: str) -> DataFrame:
+    found = windows.cleaned(table(spark, folder, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     found = shingle_join.similar_groups(table(spark, folder, "documents"), n=5, percent=75)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -49,6 +54,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
+    "op6_windows": op6_windows,
     "op7_shingle_join": op7_shingle_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
