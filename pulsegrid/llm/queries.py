@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import counts, mixing, packing, shingle_join, token_files, windows
+from pulsegrid.llm import counts, mixing, packing, quality, shingle_join, token_files, windows
 from pulsegrid.session import fresh_folder
 
 
@@ -21,6 +21,15 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(spark, stored)
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    stored = fresh_folder(spark, "features")
+    quality.feature_rows(table(spark, folder, "documents")).write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    found = quality.scored(rows, quality.train(rows, table(spark, folder, "labels")))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     stored = fresh_folder(spark, "sizes")
     docs = mixing.with_size(table(spark, folder, "documents"))
@@ -53,6 +62,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op6_windows": op6_windows,
     "op7_shingle_join": op7_shingle_join,
