@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fractions of a copy are whole numbers of this unit, so sums are exact.
 UNIT = 1 << 24
 KEY = ["source", "_size", "_block"]
+RESULTS = ("source_size", "target", "copies")
 
 
 def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
@@ -55,9 +56,11 @@ def mix(docs: DataFrame, counts: DataFrame | None = None, most: int = 3, seed: s
 
     Rows without a source are a source of their own; rows without a doc_id and repeated rows are
     sampled like others; a document of no words may be taken without counting. A rerun takes the same.
-    ``counts`` may hold the result of ``group_counts`` if it was stored before.
+    ``counts`` may hold the result of ``group_counts`` if it was stored before. Other columns named
+    like a result, or starting with ``_``, are left out.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in RESULTS and not c.startswith("_")]
+    docs = docs.select(*names)
     keyed = _keyed(docs)
     counts = group_counts(docs) if counts is None else counts
     before = Window.unboundedPreceding

@@ -307,12 +307,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Rows (doc_id, text_hash, n_shingles, component_id), one per row of ``docs`` (doc_id, text, others).
+    """Rows (doc_id, text_hash, n_shingles, group, component_id), one per row of ``docs`` (doc_id, text, others).
 
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets; the component
     is the smallest doc_id reachable. Null and empty texts, and texts of spaces, link with nothing.
     Rows without a doc_id link like others, but give no component its name; a component of none but
-    such rows has none. Repeated rows and equal doc_ids all stay.
+    such rows has none. ``group`` names the component in any case (null: the row links with nothing).
+    Repeated rows and equal doc_ids all stay.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     named = _write(members(rows, n), "members")
@@ -321,4 +322,21 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     least = own.filter("n_shingles > 0").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     named = own.join(least, "_group", "left")
     label = F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "text_hash", "n_shingles", label.alias("component_id"))
+    group = F.when(F.col("n_shingles") > 0, F.col("_group")).alias("group")
+    return named.select("doc_id", "text_hash", "n_shingles", group, label.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one of the smallest doc_id, then text hash.
+
+    Rows without words are no copies of anything and all stay. All columns are kept as they are.
+    """
+    least = (1 << 63) - 1
+    groups = similar_groups(docs, n, percent).filter("group IS NOT NULL")
+    name = F.struct(F.coalesce("doc_id", F.lit(least)).alias("_id"), F.col("text_hash").alias("_hash"))
+    chosen = groups.groupBy("group").agg(F.min(name).alias("_first")).select("_first.*").distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("_id")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(worded).select(F.struct("*").alias("_row"), key, F.xxhash64("text").alias("_hash"))
+    kept = rows.join(chosen, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.select("_row.*").unionByName(docs.filter(~worded))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.session import fresh_folder
 
@@ -287,22 +288,24 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[at].tolist(), reach[np.append(at[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-CLEANED = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept binary"
-
-
 def cleaned(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, any others) with its bytes kept and what was removed.
 
     Each byte inside a ``length``-byte string that starts anywhere else too, in the same text or
     another, is removed; matches never cross texts. Null texts are empty; a repeated row is another
-    place of its strings. Bytes are cut without regard to characters.
+    place of its strings. Bytes are cut without regard to characters: ``kept`` has the bytes, and
+    ``kept_text`` the whole characters among them. All other columns are in the struct ``row``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    spans = repeated_spans(rows, length, **options)
-    lists = spans.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"),
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        "text",
+        F.struct(*others).alias("row"),
     )
-    met = _meet(rows, lists, "left").select("doc_id", "text_hash", "text", "spans.start", "spans.end")
+    spans = repeated_spans(rows.drop("row"), length, **options)
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    met = _meet(rows, lists, "left").select("doc_id", "text_hash", "text", "spans.start", "spans.end", "row")
 
     def run(batches):
         for batch in batches:
@@ -313,13 +316,16 @@ def cleaned(docs: DataFrame, length: int = 200, **options) -> DataFrame:
                     raw = (text or "").encode()
                     cut = merged(np.array(start), np.array(end)) if start else []
                     edges = [0, *(x for span in cut for x in span), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((len(raw), len(raw) - len(kept), len(cut), kept))
-                columns = [part.column(0), part.column(1)]
-                columns += [pa.array(c) for c in zip(*out, strict=True)]
-                names = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept"]
+                    parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                    kept = b"".join(parts)
+                    whole = "".join(x.decode("utf-8", "ignore") for x in parts)
+                    out.append((len(raw), len(raw) - len(kept), len(cut), kept, whole))
+                columns = [part.column(0), part.column(1), *(pa.array(c) for c in zip(*out, strict=True)), part.column(5)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return met.mapInArrow(run, CLEANED)
-
-
+    names = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "row"]
+    kinds = ["long", "long", "long", "long", "long", "binary", "string", rows.schema["row"].dataType]
+    shape = StructType()
+    for name, kind in zip(names, kinds, strict=True):
+        shape = shape.add(name, kind)
+    return met.mapInArrow(run, shape)
