@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import counts, mixing, packing, quality, shingle_join, token_files, windows
+from pulsegrid.llm import counts, mixing, one_bit, packing, projections, quality, shingle_join, token_files, windows
 from pulsegrid.session import fresh_folder
 
 
@@ -39,6 +39,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, folder, "embeddings"), cosine=0.95)
+
+
 def op6_windows(spark: SparkSession, folder: str) -> DataFrame:
     found = windows.cleaned(table(spark, folder, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,6 +53,10 @@ def op7_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_one_bit(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit.search(one_bit.index(table(spark, folder, "embeddings")), every=20, k=20)
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,10 +72,12 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_projections": op4_projections,
     "op6_windows": op6_windows,
     "op7_shingle_join": op7_shingle_join,
+    "op8_one_bit": op8_one_bit,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op3_mixing": mixing.ORACLE}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op4_projections": projections.ORACLE}
