@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import counts, mixing, one_bit, packing, projections, quality, shingle_join, token_files, windows
+from pulsegrid.llm import chat, counts, mixing, one_bit, packing, projections, quality, shingle_join, token_files, windows
 from pulsegrid.session import fresh_folder
 
 
@@ -43,6 +43,10 @@ def op4_projections(spark: SparkSession, folder: str) -> DataFrame:
     return projections.near_duplicates(table(spark, folder, "embeddings"), cosine=0.95)
 
 
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_calls(*chat.turns_as_calls(table(spark, folder, "conversations")), chat.ANSWER)
+
+
 def op6_windows(spark: SparkSession, folder: str) -> DataFrame:
     found = windows.cleaned(table(spark, folder, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_projections": op4_projections,
+    "op5_chat": op5_chat,
     "op6_windows": op6_windows,
     "op7_shingle_join": op7_shingle_join,
     "op8_one_bit": op8_one_bit,
