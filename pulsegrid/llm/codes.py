@@ -30,7 +30,7 @@ SPACE, LETTER, DIGIT, OTHER, BREAK, ODD = range(6)
 UNSEEN = 255
 BLOCK_CHARS = 1 << 20
 LONG_WORD = 32
-TABLE_WORDS = 2_000_000
+TABLE_WORDS = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -57,6 +57,13 @@ def slices(text: str, limit: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def small_batches(batches, rows: int = 256):
+    """Arrow batches of few rows, so that what is made of long texts is never held for many at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Cutter:
     """Classes of code points and pre-token bounds of one tokenizer."""
 
@@ -64,7 +71,7 @@ class Cutter:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.spec = spec
+        self.model = spec["model"]
         pre = spec["pre_tokenizer"]
         parts = pre.get("pretokenizers", [pre])
         self.spaced = parts[0]["type"] == SPACED_PATTERN
@@ -157,6 +164,7 @@ class Encoder(Cutter):
 
     def __init__(self, path: str):
         super().__init__(path)
+        del self.model  # the library has its own
         self._powers = np.ones(1, np.uint64)
         self._inverse = np.ones(1, np.uint64)
         self._clear()

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.codes import BLOCK_CHARS, BREAK, BYTE_CHARS, ODD, SPACE, Cutter, slices
+from pulsegrid.llm.codes import BLOCK_CHARS, BREAK, BYTE_CHARS, ODD, SPACE, Cutter, slices, small_batches
 
 CHUNK = 128
 MOST_STATES = 250_000
+SPARE_STATES = 50_000
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -33,7 +34,7 @@ class Machine(Cutter):
 
     def __init__(self, path: str):
         super().__init__(path)
-        model = self.spec["model"]
+        model = self.model
         self.ending = model.get("end_of_word_suffix") or ""
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.rank = {pair: i for i, pair in enumerate(pairs)}
@@ -42,6 +43,7 @@ class Machine(Cutter):
         for token in self.vocabulary:
             plain = token.removesuffix(self.ending) if self.ending else token
             self.prefixes.update(plain[:i] for i in range(1, len(plain)))
+        del self.model
         self._clear()
 
     def _clear(self) -> None:
@@ -49,10 +51,10 @@ class Machine(Cutter):
         self.states = [("", (None,), (0,))]
         self.number = {self.states[0]: 0}
         self.symbol = np.zeros(512, np.int64)
-        self.symbols = [None]  # column 0 pads: it leads to the start and counts nothing
-        self.next = np.full((1 << 12, 64), -1, np.int32)
-        self.emit = np.zeros((1 << 12, 64), np.int16)
-        self.next[:, 0] = 0
+        self.symbols = [None]  # column 0 pads: it counts nothing
+        # next state + 1; 0 where no transition is made yet. Unused rows take no memory.
+        self.next = np.zeros((MOST_STATES + SPARE_STATES, 128), np.int32)
+        self.emit = np.zeros(self.next.shape, np.int16)
 
     def merged(self, parts: list[str]) -> list[str]:
         """Byte-pair encoding of a list of symbols: the lowest-ranked pair first, the leftmost of equals."""
@@ -108,37 +110,35 @@ class Machine(Cutter):
             self.states.append(key)
         return place, counts[0]
 
-    def _grow(self, rows: int, columns: int) -> None:
-        if rows > self.next.shape[0] or columns > self.next.shape[1]:
-            shape = self.next.shape
-            wide = (max(shape[0], rows) * (2 if rows > shape[0] else 1), max(shape[1], columns))
-            for name, empty in (("next", -1), ("emit", 0)):
+    def _widen(self, rows: int, columns: int) -> None:
+        shape = self.next.shape
+        if rows > shape[0] or columns > shape[1]:
+            for name in ("next", "emit"):
                 old = getattr(self, name)
-                new = np.full(wide, empty, old.dtype)
+                new = np.zeros((max(shape[0], 2 * rows if rows > shape[0] else rows), max(shape[1], columns)), old.dtype)
                 new[: shape[0], : shape[1]] = old
                 setattr(self, name, new)
-            self.next[:, 0] = 0
 
     def _columns(self, stream: np.ndarray) -> np.ndarray:
         for value in np.flatnonzero(np.bincount(stream, minlength=512)):
             if not self.symbol[value]:
                 self.symbol[value] = len(self.symbols)
                 self.symbols.append((chr(BYTE_CHARS[int(value) & 255]), value > 255))
-        self._grow(1, -(-len(self.symbols) // 64) * 64)
+        self._widen(1, -(-len(self.symbols) // 64) * 64)
         return self.symbol[stream]
 
     def _advance(self, states: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        after = self.next[states, columns]
-        missing = np.flatnonzero(after < 0)
+        after = self.next[states, columns] - 1
+        missing = np.flatnonzero((after < 0) & (columns > 0))
         if len(missing):
             width = self.next.shape[1]
             for pair in np.unique(states[missing] * width + columns[missing]).tolist():
                 state, column = divmod(pair, width)
                 place, count = self.step(state, column)
-                self._grow(place + 1, 1)
-                self.next[state, column], self.emit[state, column] = place, count
-            after = self.next[states, columns]
-        return after.astype(np.int64), self.emit[states, columns]
+                self._widen(place + 1, 1)
+                self.next[state, column], self.emit[state, column] = place + 1, count
+            after = self.next[states, columns] - 1
+        return np.maximum(after, 0).astype(np.int64), self.emit[states, columns]
 
     def run(self, stream: np.ndarray) -> np.ndarray:
         """Counts emitted at every symbol of a stream that ends with a word end."""
@@ -239,7 +239,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
 
     def run(batches):
         counts = machine(tokenizer)
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             found = counts.count(batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array(found), pa.array(found > limit)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])

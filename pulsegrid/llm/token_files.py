@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.codes import encoder
+from pulsegrid.llm.codes import encoder, small_batches
 
 STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 DIGEST = "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long"
@@ -29,7 +29,7 @@ def encode_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         code, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, bounds = code.encode(batch.column(1).to_pylist())
             flat, at, n = with_end(ids, bounds, end_id)
             starts = pa.array(before + at[:-1])
