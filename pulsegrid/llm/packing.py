@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.codes import encoder
+from pulsegrid.llm.codes import encoder, small_batches
 from pulsegrid.llm.token_files import with_end
 
 PIECES = "doc_id long, part int, number long, start long, doc_tokens long, length int, ids array<int>"
@@ -46,32 +46,28 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0
     def run(batches):
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(longest.bit_length(), np.int64)
-        for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            # a few documents at a time, so that a batch of long texts is not held twice
-            for at in range(0, len(texts), 500):
-                ids, bounds = code.encode(texts[at : at + 500])
-                flat, begins, totals = with_end(ids, bounds, end_id)
-                owners, sizes = cut(totals, longest)
-                ends = np.cumsum(sizes)
-                level = np.log2(sizes).astype(np.int64)
-                number = np.empty(len(sizes), np.int64)
-                for k in np.unique(level):
-                    own = level == k
-                    number[own] = seen[k] + np.arange(own.sum())
-                    seen[k] += own.sum()
-                columns = [
-                    pa.array(names[at : at + 500][owners], pa.int64(), from_pandas=True),
-                    pa.array(np.full(len(sizes), part, np.int32)),
-                    pa.array(number),
-                    pa.array(ends - sizes - begins[owners]),
-                    pa.array(totals[owners]),
-                    pa.array(sizes.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat)),
-                ]
-                names_out = ["doc_id", "part", "number", "start", "doc_tokens", "length", "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names_out)
+        for batch in small_batches(batches):
+            ids, bounds = code.encode(batch.column(1).to_pylist())
+            flat, begins, totals = with_end(ids, bounds, end_id)
+            owners, sizes = cut(totals, longest)
+            ends = np.cumsum(sizes)
+            level = np.log2(sizes).astype(np.int64)
+            number = np.empty(len(sizes), np.int64)
+            for k in np.unique(level):
+                own = level == k
+                number[own] = seen[k] + np.arange(own.sum())
+                seen[k] += own.sum()
+            columns = [
+                batch.column(0).take(pa.array(owners)),
+                pa.array(np.full(len(sizes), part, np.int32)),
+                pa.array(number),
+                pa.array(ends - sizes - begins[owners]),
+                pa.array(totals[owners]),
+                pa.array(sizes.astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat)),
+            ]
+            names = ["doc_id", "part", "number", "start", "doc_tokens", "length", "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, PIECES)
