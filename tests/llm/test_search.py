@@ -1,0 +1,51 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import one_bit
+from tests.llm.test_duplicates import VECTORS, ok, vectors
+
+
+def brute(rows, every, k):
+    use = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and ok(v)]
+    found = {}
+    for q, (name, v) in enumerate(use):
+        if name % every == 0:
+            scores = sorted((-float(v @ x), i) for r, (i, x) in enumerate(use) if r != q and len(x) == len(v))
+            found.setdefault(name, []).append([(i, -s) for s, i in scores[:k]])
+    return found
+
+
+@pytest.mark.parametrize("blocks", [(2048, 8192), (7, 50)])
+def test_search_against_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(one_bit, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(one_bit, "ROW_BLOCK", blocks[1])
+    rows = vectors()
+    frame = spark.createDataFrame(rows, VECTORS).withColumn("size", F.lit("clash")).withColumn("row", F.lit(0))
+    got = one_bit.search(one_bit.index(frame), every=20, k=20).collect()
+    want = brute(rows, 20, 20)
+    hits = total = 0
+    for name, lists in want.items():
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == name)
+        assert len(own) == sum(map(len, lists))
+        hits += len({v for _, v, _ in own} & {v for x in lists for v, _ in x})
+        total += len({v for x in lists for v, _ in x})
+        if len(lists) == 1:
+            assert [r for r, _, _ in own] == list(range(1, len(own) + 1))
+            assert own[0][2] == pytest.approx(lists[0][0][1])
+    assert hits >= 0.95 * total and {r.query_id for r in got} == set(want)
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(1)
+    rows, queries = rnd.standard_normal((500, 32)), rnd.standard_normal((50, 32))
+    centre = rows.mean(axis=0)
+    codes, length, agree = one_bit.encode(rows, centre, 128)
+    guess, error = one_bit.estimates(queries, centre, codes, length, agree, 128)
+    assert (np.abs(guess - queries @ rows.T) <= error).mean() > 0.99
+
+
+def test_search_of_nothing(spark):
+    assert one_bit.search(one_bit.index(spark.createDataFrame([], VECTORS))).count() == 0
+    one = spark.createDataFrame([(20, [1.0, 2.0], 0)], VECTORS)
+    assert one_bit.search(one_bit.index(one)).count() == 0
