@@ -28,7 +28,7 @@ PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 SPACE, LETTER, DIGIT, OTHER, BREAK, ODD = range(6)
 UNSEEN = 255
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 LONG_WORD = 32
 TABLE_WORDS = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15

@@ -123,15 +123,19 @@ def search(coded: DataFrame, every: int = 20, k: int = 20, bits: int = 256) -> D
     rows = coded.withColumn("rows", F.pmod(deal, F.lit(row_blocks))).withColumn(
         "queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))
     )
-    asked = queries.select("row", "vec_id", "size", "embedding").withColumn("queries", F.pmod(deal, F.lit(query_blocks)))
-    asked = asked.withColumn("rows", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<long>")))
+    # names of their own: the two sides come from one table, and Spark prunes columns by identity
+    asked = queries.withColumn("q_queries", F.pmod(deal, F.lit(query_blocks))).select(
+        "q_queries", *[F.col(c).alias(f"q_{c}") for c in ("row", "vec_id", "size", "embedding")]
+    )
+    asked = asked.withColumn("q_rows", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<long>")))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
-            size = left.column("size")[0].as_py()
-            q, x = (t.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size) for t in (left, right))
+            size = left.column("q_size")[0].as_py()
+            pair = (left.column("q_embedding"), right.column("embedding"))
+            q, x = (c.combine_chunks().flatten().to_numpy().reshape(-1, size) for c in pair)
             raw = b"".join(right.column("code").to_pylist())
             codes = np.frombuffer(raw, np.uint8).reshape(len(x), -1)
             length, agree = (right.column(c).to_numpy() for c in ("length", "agree"))
@@ -139,14 +143,14 @@ def search(coded: DataFrame, every: int = 20, k: int = 20, bits: int = 256) -> D
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
                 guess, error = estimates(some, centres[size], codes, length, agree, max(bits, size))
-                me = left.column("row").to_numpy()[at : at + 256]
+                me = left.column("q_row").to_numpy()[at : at + 256]
                 guess[me[:, None] == own[None, :]] = -np.inf
                 low = guess - error
                 place = max(0, low.shape[1] - k)
                 reached = np.partition(low, place, axis=1)[:, place]
                 near = guess + error >= reached[:, None]
                 near &= me[:, None] != own[None, :]
-                names = left.column("vec_id").to_numpy()[at : at + 256]
+                names = left.column("q_vec_id").to_numpy()[at : at + 256]
                 for i in range(len(some)):
                     hits = np.flatnonzero(near[i])
                     score = x[hits] @ some[i]
@@ -157,7 +161,7 @@ def search(coded: DataFrame, every: int = 20, k: int = 20, bits: int = 256) -> D
         return pa.table({n: np.concatenate(c) for n, c in zip(["row", "query_id", "vec_id", "score"], columns, strict=True)})
 
     keys = ["queries", "rows", "size"]
-    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(compare, NEAREST)
+    found = asked.groupBy(*[f"q_{k}" for k in keys]).cogroup(rows.groupBy(*keys)).applyInArrow(compare, NEAREST)
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -306,7 +306,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
     return first.union(_linked(more, docs, n, percent))
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = None) -> DataFrame:
     """Rows (doc_id, text_hash, n_shingles, group, component_id), one per row of ``docs`` (doc_id, text, others).
 
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets; the component
@@ -317,7 +317,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     named = _write(members(rows, n), "members")
-    found = components(links(rows, n, percent)).withColumnRenamed("node", "set_id")
+    found = components(links(rows, n, percent, blocks)).withColumnRenamed("node", "set_id")
     own = named.join(found, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
     least = own.filter("n_shingles > 0").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     named = own.join(least, "_group", "left")
