@@ -10,16 +10,24 @@ from pulsegrid.functions.strict_json import as_number
 # Fixed value: double precision machine epsilon, the tolerance of ``==``.
 EPSILON = 2.220446049250313e-16
 
+# Fixed value: paths that VARIANT accepts below the top-level name.
+PATH = (
+    r"\A\$(\.[^.\[\s][^.\[]*|\[[0-9]{1,9}\]|\['[^'?\s][^'?]*'\]|"
+    r'\["[^"?\s][^"?]*"\])*\z'
+)
+
 
 def rule_value(key: Column, extras: Column) -> Column:
     """Number a rule looks at: temperature, battery, or a numeric extra of that name.
 
     ``extras`` is MAP<STRING, VARIANT>. A key starting with ``$.`` that no extra carries
-    literally is read as a JSON path, which reaches nested fields.
+    literally is read as a JSON path, which reaches nested fields; a malformed path finds nothing.
     """
     literal = F.try_element_at(extras, key)
     first, rest = nested_parts(key)
-    nested = F.try_variant_get(F.try_element_at(extras, first), rest, "variant")
+    # A malformed path would stop the query, not just give NULL.
+    path = F.when(rest.rlike(PATH), rest)
+    nested = F.try_variant_get(F.try_element_at(extras, first), path, "variant")
     return (
         F.when(key == "temperature", F.col("temperature"))
         .when(key == "battery", F.col("battery").cast("double"))

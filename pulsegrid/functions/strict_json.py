@@ -17,6 +17,9 @@ TIME_PATTERN = _CLOCK + r"([.,]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)\z"
 
 MEMBERS = "map<string,variant>"
 
+# Texts that may hold a number beyond double precision: a long exponent or very many digits.
+HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+
 NUMBER_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
 
 
@@ -26,12 +29,16 @@ def parse_document(text: Column) -> Column:
     The parser stops at the end of the first value and ignores what follows, so the text must
     also be a list of one element when put in brackets: junk breaks that list. Only a text that
     itself contains ``]`` could close the list early; such texts must also be an object's only
-    member.
+    member. A number out of range, which the parser reads as infinite, makes the text invalid.
     """
     elements = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
     keys = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
     alone = (elements == 1) & (~F.contains(text, F.lit("]")) | (F.size(keys) == 1))
-    return F.when(F.is_valid_utf8(text) & alone, F.try_parse_json(text))
+    document = F.try_parse_json(text)
+    word = F.lit("Infinity")
+    infinite = F.regexp_count(F.to_json(document), word) > F.regexp_count(text, word)
+    in_range = ~F.coalesce(text.rlike(HUGE_NUMBER) & infinite, F.lit(False))
+    return F.when(F.is_valid_utf8(text) & alone & in_range, document)
 
 
 def members(document: Column) -> Column:
@@ -55,11 +62,12 @@ def is_number(value: Column, kind: Column | None = None) -> Column:
 
 
 def as_number(value: Column, kind: Column | None = None) -> Column:
-    """Double of a JSON number; NULL for any other JSON type.
+    """Double of a finite JSON number; NULL for anything else.
 
     Here and below, ``kind`` is the value's JSON type where it is already known.
     """
-    return F.when(is_number(value, kind), F.try_variant_get(value, "$", "double"))
+    number = F.try_variant_get(value, "$", "double")
+    return F.when(is_number(value, kind) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def as_text(value: Column, kind: Column | None = None) -> Column:

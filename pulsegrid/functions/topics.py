@@ -41,7 +41,8 @@ def match_topic_levels(topic: Column, pattern: Column, substitutes: dict[str, Co
     def level_matches(have: Column, want: Column) -> Column:
         filled = want
         for mark, value in substitutes.items():
-            filled = F.replace(filled, F.lit(mark), value)
+            named = F.contains(filled, F.lit(mark))
+            filled = F.when(named, F.replace(filled, F.lit(mark), value)).otherwise(filled)
         return F.coalesce((want == "+") | (have == filled), F.lit(False))
 
     head = F.slice(topic_levels, 1, F.size(fixed))

@@ -8,39 +8,86 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.topics import match_topic_levels
 
 EVERYONE = "$all"
+SUBJECT = ["username", "clientid", "action", "topic"]
+HOLE = "*"
 
 
 def acl_audit(log: DataFrame, access: DataFrame) -> DataFrame:
     """Add ``allowed`` to rows of ``username, clientid, action, topic``.
 
-    ``access`` has ``username, permission, topic``: permission is publish, subscribe or all, and
-    the topic filter may hold ``+``, ``#``, ``%u`` (user name) and ``%c`` (client id). Rows for
-    ``$all`` hold for everyone; what no row allows is denied.
+    ``access`` has ``username, permission, topic`` and may have ``action`` (allow or deny; missing
+    or NULL is allow) and ``id``. Permission is publish, subscribe or all; the topic filter may hold
+    ``+``, ``#``, ``%u`` (user name) and ``%c`` (client id); rows for ``$all`` hold for everyone. The
+    fitting row of the lowest ``id`` decides; of equal or missing ids, a deny. What no row fits is
+    denied, and so is what has no action or topic; a missing user or client only fits ``$all`` rows
+    that do not name it.
 
-    Equal accesses are decided once, so a client with very many log rows costs one check. The
-    checks are semi joins: they stop at the first filter that fits and emit no pairs.
+    Equal accesses are decided once. Filters are found by equality of their literal levels, so an
+    access meets only the filters that agree with it in all of these, never the whole list.
     """
-    subject = ["username", "clientid", "action", "topic"]
-    asked = log.select(*subject).distinct()
-    granted = access.select(
-        F.col("username").alias("_user"),
-        F.explode(
-            F.when(
-                F.col("permission") == "all", F.array(F.lit("publish"), F.lit("subscribe"))
-            ).otherwise(F.array("permission"))
-        ).alias("_action"),
-        F.col("topic").alias("_filter"),
-    ).distinct()
-    fits = (F.col("action") == F.col("_action")) & match_topic_levels(
-        F.col("topic"), F.col("_filter"), {"%u": F.col("username"), "%c": F.col("clientid")}
+    asked = log.select(*SUBJECT).distinct().where("action IS NOT NULL AND topic IS NOT NULL")
+    rules = _rules(access)
+    met = _keyed(asked, rules).join(rules, ["_who", "_action", "_levels", "_open", "_holes", "_literal"])
+    placeholders = {"%u": F.col("username"), "%c": F.col("clientid")}
+    fits = match_topic_levels(F.col("topic"), F.col("_filter"), placeholders)
+    decided = met.where(fits).groupBy(*SUBJECT).agg(F.min(F.struct("_id", "_allow"))["_allow"].alias("_allow"))
+    renamed = decided.withColumnsRenamed({c: f"_{c}_" for c in SUBJECT})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in SUBJECT]
+    return log.join(renamed, same, "left").select(
+        *log.columns, F.coalesce(F.col("_allow") == 1, F.lit(False)).alias("allowed")
     )
-    own = asked.join(granted, (F.col("username") == F.col("_user")) & fits, "left_semi")
-    general = asked.join(granted.where(F.col("_user") == EVERYONE), fits, "left_semi")
-    allowed = own.union(general).distinct().withColumn("_allowed", F.lit(True))
-    return log.join(allowed, subject, "left").select(
-        *log.columns, _denied_unless(F.col("_allowed")).alias("allowed")
+
+
+def _rules(access: DataFrame) -> DataFrame:
+    """One row per filter and action, with the shape of the filter.
+
+    The shape is the number of levels before a final ``#``, whether there is one, and which levels
+    are no literals; ``_literal`` is the filter with a hole in their place.
+    """
+    verdict = F.col("action") if "action" in access.columns else F.lit("allow")
+    number = F.col("id") if "id" in access.columns else F.lit(0)
+    both = F.array(F.lit("publish"), F.lit("subscribe"))
+    levels = F.split("topic", "/", -1)
+    ended = F.element_at(levels, -1) == "#"
+    fixed = F.when(ended, F.slice(levels, 1, F.size(levels) - 1)).otherwise(levels)
+
+    def literal(level: Column) -> Column:
+        return (level != "+") & ~F.contains(level, F.lit("%u")) & ~F.contains(level, F.lit("%c"))
+
+    return (
+        access.where("username IS NOT NULL AND topic IS NOT NULL")
+        .select(
+            F.col("username").alias("_who"),
+            F.explode(F.when(F.col("permission") == "all", both).otherwise(F.array("permission"))).alias("_action"),
+            F.col("topic").alias("_filter"),
+            number.alias("_id"),
+            (F.coalesce(F.lower(verdict), F.lit("allow")) == "allow").cast("int").alias("_allow"),
+            fixed.alias("_fixed"),
+            ended.alias("_open"),
+        )
+        .select(
+            "*",
+            F.size("_fixed").alias("_levels"),
+            F.transform("_fixed", lambda x: ~literal(x)).alias("_holes"),
+            F.array_join(F.transform("_fixed", lambda x: F.when(literal(x), x).otherwise(HOLE)), "/").alias("_literal"),
+        )
+        .drop("_fixed")
+        .distinct()
     )
 
 
-def _denied_unless(allowed: Column) -> Column:
-    return F.coalesce(allowed, F.lit(False))
+def _keyed(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """Accesses with the keys under which fitting filters lie, one row per shape in the list."""
+    shapes = rules.select("_levels", "_open", "_holes").distinct()
+    levels = F.split("topic", "/", -1)
+    depth = F.size(levels)
+    closed = F.array(F.struct(depth.alias("_levels"), F.lit(False).alias("_open")))
+    opened = F.transform(F.sequence(F.lit(0), depth), lambda n: F.struct(n.alias("_levels"), F.lit(True).alias("_open")))
+    lengths = asked.select(*SUBJECT, F.inline(F.concat(closed, opened)))
+    shaped = lengths.join(shapes, ["_levels", "_open"])
+    head = F.slice(levels, F.lit(1), F.col("_levels"))
+    masked = F.zip_with(head, "_holes", lambda x, hole: F.when(hole, F.lit(HOLE)).otherwise(x))
+    who = F.array_compact(F.array("username", F.lit(EVERYONE)))
+    return shaped.withColumns({"_literal": F.array_join(masked, "/"), "_action": F.col("action")}).withColumn(
+        "_who", F.explode(F.array_distinct(who))
+    )

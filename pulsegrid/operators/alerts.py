@@ -102,8 +102,15 @@ def active_alerts_asof(
     )
 
 
+# The first and the last moment a date of four digits can name, in microseconds.
+FIRST_MICROS = -62_135_596_800_000_000
+LAST_MICROS = 253_402_300_799_999_999
+# A snooze of more minutes than lie between them ends at one of them.
+ALL_MINUTES = (LAST_MICROS - FIRST_MICROS) // 60_000_000 + 1
+
+
 def _inputs(evaluations: DataFrame, commands: DataFrame, clock: str) -> DataFrame:
-    """Evaluations and commands as one kind of row; commands follow evaluations of their time."""
+    """Evaluations and commands as one kind of row. Any snooze has an end within the calendar."""
     as_evaluations = evaluations.selectExpr(
         *ALERT_KEYS,
         f"{clock} AS clock",
@@ -130,14 +137,15 @@ def _inputs(evaluations: DataFrame, commands: DataFrame, clock: str) -> DataFram
         "CAST(NULL AS BOOLEAN) AS triggered",
         "action",
         f"""CASE WHEN action = 'SNOOZE'
-            THEN timestamp_micros(unix_micros({clock}) + duration_minutes * 60000000)
+            THEN timestamp_micros(greatest({FIRST_MICROS}, least({LAST_MICROS}, unix_micros({clock})
+                + 60000000 * greatest(-{ALL_MINUTES}, least({ALL_MINUTES}, duration_minutes)))))
             END AS until""",
         "true AS fresh",
     )
     return as_evaluations.unionByName(as_commands)
 
 
-def _from_state(active: DataFrame) -> DataFrame:
+def _from_state(active: DataFrame, sequence: str) -> DataFrame:
     """Stored alerts as the inputs that lead to them, placed before everything else.
 
     A true evaluation at the start, one when last seen, and the command that gave the status.
@@ -154,7 +162,7 @@ def _from_state(active: DataFrame) -> DataFrame:
         *ALERT_KEYS,
         "CAST(NULL AS TIMESTAMP) AS clock",
         "0 AS kind",
-        "CAST(NULL AS BIGINT) AS sequence_id",
+        f"CAST(NULL AS {sequence}) AS sequence_id",
         "pos",
         "time",
         "CASE WHEN triggered THEN current_value END AS value",
@@ -166,7 +174,9 @@ def _from_state(active: DataFrame) -> DataFrame:
     )
 
 
+# In batch, commands follow the evaluations of their time; live, everything counts as it arrived.
 INPUT_ORDER = ["clock", "kind", "sequence_id", "pos"]
+ARRIVAL_ORDER = ["clock", "sequence_id", "kind", "pos"]
 
 
 def _in_epoch(what: str) -> Column:
@@ -180,19 +190,23 @@ def follow_alerts(
     active: DataFrame | None = None,
     clock: str = "time",
     group_rows: int | None = GROUP_ROWS,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Every input of every alert with what it did: the base of history and current state.
 
     ``commands`` has user_id, device_id, rule_id, action, duration_minutes, sequence_id and the
     ``clock`` column; ``active`` is an earlier snapshot to go on from. The clock column orders
     the inputs and decides when a snooze has run out: message time in batch, arrival time live.
+    ``order`` is INPUT_ORDER, or ARRIVAL_ORDER where ``sequence_id`` orders all messages.
     """
+    order = order or INPUT_ORDER
     inputs = _inputs(evaluations, commands, clock)
     if active is not None:
-        inputs = inputs.unionByName(_from_state(active))
+        sequence = inputs.schema["sequence_id"].dataType.simpleString()
+        inputs = inputs.unionByName(_from_state(active, sequence))
     rows = (
-        ordered_groups(inputs, ALERT_KEYS, INPUT_ORDER, group_rows)
-        .with_columns(_at=F.struct(*INPUT_ORDER))
+        ordered_groups(inputs, ALERT_KEYS, order, group_rows)
+        .with_columns(_at=F.struct(*order))
         .last_before(
             _snooze=F.expr("CASE WHEN action = 'SNOOZE' THEN struct(_at AS at, until) END"),
             _eval=F.expr(

@@ -80,6 +80,13 @@ def bridge_wrap_enriched(raw: DataFrame, now: Column | None = None) -> DataFrame
     )
 
 
+def _doubled(text: Column) -> Column:
+    """Whether an object names ``topic`` or ``payload`` twice; most texts are settled by a count."""
+    own = F.filter(F.json_object_keys(text), lambda key: key.isin("topic", "payload"))
+    maybe = (F.regexp_count(text, F.lit('"(topic|payload)"')) > 2) | F.contains(text, F.lit("\\u"))
+    return F.coalesce(maybe & (F.size(own) > 2), F.lit(False))
+
+
 def decode_envelope(messages: DataFrame) -> DataFrame:
     """Open the envelope in ``value``.
 
@@ -87,8 +94,8 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
     topic is the stream it came from; the device topic inside the envelope replaces it, and the
     former stays as ``source_topic``. ``payload`` is the raw text of a payload that is a JSON
     string, and for any other payload its compact JSON text with numbers spelled as received;
-    ``document`` is its parsed form. Rows that are no envelope keep NULL topic and payload and a
-    ``skip_reason``; they are counted, not sent to the dead-letter table.
+    ``document`` is its parsed form. Rows that are no envelope, or name topic or payload twice, keep
+    NULL topic and payload and a ``skip_reason``; they are counted, not sent to the dead letters.
     """
     text = F.col("value").cast("string")
     opened = computed_once(
@@ -98,7 +105,7 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
     opened = opened.withColumns(
         {"_topic": as_text(F.col("_e.topic")), "_payload": F.col("_e.payload")}
     )
-    ok = F.col("_topic").isNotNull() & F.col("_payload").isNotNull()
+    ok = F.col("_topic").isNotNull() & F.col("_payload").isNotNull() & ~_doubled(F.col("_text"))
     payload = F.when(json_type(F.col("_payload")) == "VOID", F.lit("null")).otherwise(
         F.get_json_object("_text", "$.payload")
     )

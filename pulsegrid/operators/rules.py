@@ -89,11 +89,13 @@ def rules_as_of(
     at: str = "time",
     tie: tuple[str, ...] = ("sequence_id",),
     group_rows: int | None = GROUP_ROWS,
+    arrival: bool = False,
 ) -> DataFrame:
     """Add ``rules`` as they stood when the reading came: a change affects later rows only.
 
     ``changes`` has ``user_id, rules, <at>`` and may carry the ``tie`` columns; a change at the
-    very time of a reading counts for it. Users without any earlier change get the default rule.
+    very time of a reading counts for it, unless ``arrival`` says that ``tie`` orders all messages:
+    then only a change before the reading does. Users without an earlier change get the default rule.
     """
     # Readings of no user have no rules to look up: they go through in many small groups.
     spread = F.concat(
@@ -116,7 +118,7 @@ def rules_as_of(
     followed = ordered_groups(
         as_readings.unionByName(as_rows, allowMissingColumns=True),
         ["_group"],
-        [at, "_kind", *tie],
+        [at, *tie, "_kind"] if arrival else [at, "_kind", *tie],
         group_rows,
     ).last_before(_rules=F.col("_change"))
     rules = F.when(F.col("rule_user").isNotNull(), F.coalesce("_rules", default_rules()))

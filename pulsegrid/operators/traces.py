@@ -87,8 +87,15 @@ def ingress_latency(
     return _summary(counted, "latency_ms", groups)
 
 
+def _join_groups(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
+    """Inner join on the group columns in which NULLs meet."""
+    renamed = right.withColumnsRenamed({g: f"_right_{g}" for g in groups})
+    on = [F.col(g).eqNullSafe(F.col(f"_right_{g}")) for g in groups]
+    return left.join(renamed, on).drop(*[f"_right_{g}" for g in groups])
+
+
 def _summary(counted: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Statistics of counted values (``_n`` times each) per group; no group column is NULL.
+    """Statistics of counted values (``_n`` times each) per group; NULL is a group like others.
 
     Percentiles interpolate linearly. They come from running counts over the sorted distinct
     values, which spill to disk where there are very many, rather than from one collection in
@@ -102,7 +109,7 @@ def _summary(counted: DataFrame, value: str, groups: list[str]) -> DataFrame:
     )
     running = Window.partitionBy(*groups).orderBy(value)
     up_to = counted.withColumn("_upto", F.sum("_n").over(running))
-    placed = up_to.join(totals.select(*groups, F.col("n").alias("_all")), groups)
+    placed = _join_groups(up_to, totals.select(*groups, F.col("n").alias("_all")), groups)
 
     def at(share: float, rounding) -> Column:
         place = rounding(F.lit(share) * (F.col("_all") - 1))
@@ -116,7 +123,7 @@ def _summary(counted: DataFrame, value: str, groups: list[str]) -> DataFrame:
     shares = placed.groupBy(*groups).agg(
         percentile(0.5).alias("p50"), percentile(0.95).alias("p95")
     )
-    return totals.join(shares, groups).select(
+    return _join_groups(totals, shares, groups).select(
         *groups, "n", "mean", "p50", "p95", "lowest", "highest"
     )
 

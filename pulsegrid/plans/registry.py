@@ -16,7 +16,7 @@ from pulsegrid.plans import fixtures as fx
 from pulsegrid.schemas import ALERT_KEYS, DomainSpec, Field
 from pulsegrid.session import fresh_folder
 from pulsegrid.sources.messages import file_source
-from pulsegrid.sources.tables import read_telemetry
+from pulsegrid.sources.tables import read_batches, read_telemetry
 from pulsegrid.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -736,7 +736,7 @@ def _delivered(spark, sf_dir, name, start):
 @query
 def alert_stream(spark, sf_dir):
     store = _delivered(spark, sf_dir, "alert_stream", live.start_alerts)
-    return spark.read.parquet(store.history).drop("batch_id", "created_at")
+    return read_batches(spark, store.history).drop("created_at")
 
 
 @query
@@ -773,7 +773,7 @@ def active_topics_stream(spark, sf_dir):
         return live.start_complete_windows(messages, store, "active_topics", "1 hour", **trigger)
 
     store = _delivered(spark, sf_dir, "active_topics_stream", start)
-    return spark.read.parquet(store.measure("active_topics")).drop("batch_id")
+    return read_batches(spark, store.measure("active_topics"))
 
 
 @query
@@ -782,5 +782,5 @@ def top_topics_stream(spark, sf_dir):
         return live.start_top_topics(messages, store, length="1 day", **trigger)
 
     store = _delivered(spark, sf_dir, "top_topics_stream", start)
-    rows = spark.read.parquet(store.measure("top_topics")).drop("batch_id")
+    rows = read_batches(spark, store.measure("top_topics"))
     return rows.withColumn("rank", F.col("rank").cast("bigint"))

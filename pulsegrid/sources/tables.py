@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import json
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,48 +75,141 @@ def write_telemetry(rows: DataFrame, path: str) -> None:
     )
 
 
-def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Append the rows of one batch; repeating the batch replaces its own rows only."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_batch(rows: DataFrame, path: str, query_id: str, batch_id: int) -> None:
+    """Append the rows of one batch; repeating the batch replaces its own rows only.
+
+    A query with another checkpoint has another id, so it never touches what is there already.
+    """
+    stamped = rows.withColumn("written_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(f"{path}/query_id={query_id}/batch_id={batch_id}")
+
+
+BATCH_COLUMNS = ["query_id", "batch_id", "written_at"]
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches, without the columns that say which batch wrote them."""
+    return spark.read.parquet(path).drop(*BATCH_COLUMNS)
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the streaming query that owns a checkpoint folder."""
+    return json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"]
+
+
+class Files:
+    """The few file operations that DataFrames have no word for, on any file system Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._io = jvm.org.apache.commons.io.IOUtils
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        where = self._path(folder)
+        if not self._fs.exists(where):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where))
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Write a file that appears under its name only when it is whole."""
+        hidden = self._path(f"{path.rsplit('/', 1)[0]}/.{path.rsplit('/', 1)[1]}")
+        stream = self._fs.create(hidden, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._fs.delete(self._path(path), False)
+        if not self._fs.rename(hidden, self._path(path)):
+            raise OSError(f"cannot write {path}")
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
 
 
 class Snapshots:
-    """A small table kept as complete versions, one directory per batch that changed it.
+    """A keyed table kept as versions that share what they do not change.
 
-    A batch reads the newest version below its own number and writes its own, so repeating a
-    batch after a failure starts from the same state. Old versions are left to the storage's
-    retention rules.
+    Rows lie in buckets by a hash of their key. A version names, for each bucket, the folder that
+    holds it; it writes only buckets that changed. The list is written last, so a version without
+    one does not exist yet. Versions are numbered in the order they were committed, whichever query
+    wrote them, and carry their query and batch: a repeated batch goes on from the version before
+    its own. Folders that no kept version names any more are removed here, and nothing else is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-        self._versions: list[int] | None = None
-
-    def _known(self) -> list[int]:
-        if self._versions is None:
-            try:
-                files = self.spark.read.schema(self.schema).parquet(self.path).inputFiles()
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                files = []
-            found = {int(n) for f in files for n in re.findall(r"/version=(\d+)/", f)}
-            self._versions = sorted(found)
-        return self._versions
-
-    def before(self, version: int) -> DataFrame:
-        """Newest version below ``version``, empty if there is none."""
-        older = [v for v in self._known() if v < version]
-        if not older:
+    KEPT = 3
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+        self._files = Files(spark, path)
+
+    def bucket(self) -> Column:
+        """Bucket of a row by its key columns."""
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of rows that have the key columns; at most ``buckets`` numbers."""
+        found = rows.select(self.bucket().alias("_bucket")).distinct().collect()
+        return sorted(r._bucket for r in found)
+
+    def _versions(self) -> list[dict]:
+        names = [n for n in self._files.names(f"{self.path}/versions") if not n.startswith(".")]
+        return [json.loads(self._files.read(f"{self.path}/versions/{n}")) for n in names[-2 * self.KEPT :]]
+
+    def before(self, query: str, batch: int) -> dict | None:
+        """Newest version that is not of this batch of this query, or a later one of it."""
+        older = [v for v in self._versions() if v["query"] != query or v["batch"] < batch]
+        return older[-1] if older else None
+
+    def read(self, version: dict | None, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of a version, of all buckets or of some; no version has no rows."""
+        parts = {} if version is None else version["parts"]
+        folders = [f for b, f in sorted(parts.items()) if buckets is None or int(b) in buckets]
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={older[-1]}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def latest(self) -> DataFrame:
-        self._versions = None
-        known = self._known()
-        return self.before(known[-1] + 1 if known else 0)
-
-    def write(self, rows: DataFrame, version: int) -> None:
+        known = self._versions()
+        return self.read(known[-1] if known else None)
+
+    def write(
+        self, rows: DataFrame, base: dict | None, buckets: list[int], query: str, batch: int
+    ) -> None:
+        """Commit a version: ``rows`` are all rows of ``buckets``, the others stay as in ``base``."""
+        known = self._versions()
+        number = known[-1]["number"] + 1 if known else 0
+        folder = f"rows/{number:012d}-{uuid.uuid4().hex}"
         columns = [F.col(f.name).cast(f.dataType) for f in self.schema]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        self._versions = sorted({*self._known(), version})
+        rows.select(*columns, self.bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        parts = {} if base is None else {b: f for b, f in base["parts"].items() if int(b) not in buckets}
+        for name in self._files.names(f"{self.path}/{folder}"):
+            if name.startswith("bucket="):
+                parts[name.removeprefix("bucket=")] = f"{folder}/{name}"
+        version = {"number": number, "query": query, "batch": batch, "parts": parts}
+        self._files.write(f"{self.path}/versions/{number:012d}", json.dumps(version))
+        self._remove_superseded([*known, version])
+
+    def seed(self, rows: DataFrame) -> None:
+        """Commit the rows of an existing table as the first version; a table in use is left alone."""
+        if self._versions():
+            raise ValueError(f"{self.path} has versions already")
+        self.write(rows, None, list(range(self.buckets)), "seed", 0)
+
+    def _remove_superseded(self, known: list[dict]) -> None:
+        kept = known[-self.KEPT :]
+        used = {f.split("/")[1] for v in kept for f in v["parts"].values()}
+        newest = kept[-1]["number"]
+        for name in self._files.names(f"{self.path}/rows"):
+            if name not in used and int(name.split("-")[0]) <= newest:
+                self._files.delete(f"{self.path}/rows/{name}")
+        for version in known[: -self.KEPT]:
+            self._files.delete(f"{self.path}/versions/{version['number']:012d}")

@@ -1,8 +1,9 @@
 """Live queries: storing readings, following alerts, counting messages.
 
 Every query is a ``foreachBatch`` over a stream of message rows, made of the batch operators, so a
-stream gives what a batch over the same messages gives. All outputs are keyed by the batch number
-or by the row key: a micro-batch repeated after a lost executor or a restart changes nothing.
+stream gives what a batch over the same messages gives. All outputs are keyed by query and batch
+or by the row key: a micro-batch repeated after a lost executor or a restart changes nothing, and a
+query with a new checkpoint goes on from the state it finds and adds to the outputs.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ from pulsegrid.operators.envelope import decode_envelope, skipped_messages
 from pulsegrid.operators.ordered_groups import GROUP_ROWS
 from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES
 from pulsegrid.session import configure
-from pulsegrid.sources.tables import Snapshots, append_batch, write_telemetry
+from pulsegrid.sources.tables import BATCH_COLUMNS, Snapshots, append_batch, query_id, write_telemetry
 
 CONFIGS = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("rules", RULES)])
 
 
 @dataclass(frozen=True)
 class Store:
-    """Where the live queries keep their tables, all below one shared folder."""
+    """Where the live queries keep their tables, all below one shared folder.
+
+    ``checkpoints`` may place the checkpoints of the queries elsewhere, to start anew on old tables.
+    """
 
     root: str
+    checkpoints: str | None = None
 
     @property
     def telemetry(self) -> str:
@@ -54,24 +59,36 @@ class Store:
         return f"{self.root}/measures/{name}"
 
     def configs(self, spark: SparkSession) -> Snapshots:
-        return Snapshots(spark, f"{self.root}/user_configs", CONFIGS)
+        return Snapshots(spark, f"{self.root}/user_configs", CONFIGS, ["user_id"])
 
     def active(self, spark: SparkSession) -> Snapshots:
-        return Snapshots(spark, f"{self.root}/active_alerts", ACTIVE_ALERT)
+        return Snapshots(spark, f"{self.root}/active_alerts", ACTIVE_ALERT, ALERT_KEYS)
+
+    def seed(self, configs: DataFrame | None = None, active: DataFrame | None = None) -> None:
+        """Take over existing tables before the first start: ``user_id, rules`` and active alerts."""
+        if configs is not None:
+            self.configs(configs.sparkSession).seed(configs)
+        if active is not None:
+            self.active(active.sparkSession).seed(active)
 
     def checkpoint(self, name: str) -> str:
-        return f"{self.root}/checkpoints/{name}"
+        return f"{self.checkpoints or self.root + '/checkpoints'}/{name}"
 
 
 def _start(
     stream: DataFrame,
-    batch: Callable[[DataFrame, int], None],
+    batch: Callable[[DataFrame, str, int], None],
     checkpoint: str,
     trigger: dict,
     mode: str = "append",
 ) -> StreamingQuery:
+    """Run ``batch`` with the rows, the query's id and the batch number."""
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        batch(rows, query_id(rows.sparkSession, checkpoint), batch_id)
+
     return (
-        stream.writeStream.foreachBatch(batch)
+        stream.writeStream.foreachBatch(run)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
@@ -94,7 +111,7 @@ def start_ingest(
     """
     configure(messages.sparkSession)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
         decoded = decode_envelope(rows)
         telemetry = decoded.where(control_route(F.col("topic")).isNull())
@@ -105,10 +122,10 @@ def start_ingest(
             good, bad = storing.quarantine_split(readings)
             write_telemetry(good, store.telemetry)
             letters = dead_letter.to_dead_letter(bad)
-            append_batch(letters, store.dead_letters, batch_id)
+            append_batch(letters, store.dead_letters, query, batch_id)
             if send_failed is not None:
                 send_failed(letters)
-            append_batch(skipped_messages(decoded), store.skipped, batch_id)
+            append_batch(skipped_messages(decoded), store.skipped, query, batch_id)
 
     return _start(messages, batch, store.checkpoint("ingest"), trigger)
 
@@ -123,8 +140,13 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+#: Where a message stands among those of its timestamp.
+SEQUENCE = "struct<source_topic:string,partition:int,offset:bigint>"
+
+
 def _arrival(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sequence_id", F.col("offset"))
+    place = F.struct("source_topic", "partition", "offset").cast(SEQUENCE)
+    return rows.withColumn("sequence_id", place)
 
 
 def start_alerts(
@@ -135,27 +157,28 @@ def start_alerts(
 ) -> StreamingQuery:
     """Follow alerts over a stream of telemetry, rule updates and commands.
 
-    Messages count in order of arrival (timestamp, then offset); a rule update holds for later
-    messages, and a snooze runs out by arrival time. The rules and the active alerts are snapshots
-    that each micro-batch reads and renews, so neither a device nor a user with most of the
-    messages ends up in one task. ``publish`` gets the alert messages of a batch and may see them
+    Messages count in order of arrival (timestamp, then source topic, partition and offset); a rule
+    update holds for later messages, and a snooze runs out by arrival time. The rules and the active
+    alerts are snapshots of which each micro-batch reads and renews the buckets it touches, so
+    neither a device nor a user with most of the messages ends up in one task. ``publish`` gets the alert messages of a batch and may see them
     again if the batch is repeated.
     """
     spark = configure(messages.sparkSession)
     configs, active = store.configs(spark), store.active(spark)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
-        decoded = decode_envelope(rows).withColumn("route", control_route(F.col("topic")))
+        decoded = _arrival(decode_envelope(rows).withColumn("route", control_route(F.col("topic"))))
         with _kept(decoded) as decoded:
-            known_rules, known_alerts = configs.before(batch_id), active.before(batch_id)
+            rules_base, alerts_base = configs.before(query, batch_id), active.before(query, batch_id)
+            known_rules = configs.read(rules_base)
             updates = control.parse_config_update(decoded).where(F.col("error").isNull())
-            updates = updates.select("user_id", "rules", "timestamp", "offset")
-            changed = not updates.isEmpty()
+            updates = updates.select("user_id", "rules", "timestamp", "sequence_id")
+            changed = configs.touched(updates)
             few_messages = decoded.count() <= GROUP_ROWS
-            commands = _arrival(control.parse_command(decoded)).where(F.col("error").isNull())
-            readings = parse.parse_telemetry(decoded.where(F.col("route").isNull()))
-            readings = readings.where(F.col("error").isNull()).select(
+            commands = control.parse_command(decoded).where(F.col("error").isNull())
+            telemetry = decoded.where(F.col("route").isNull()).withColumnRenamed("sequence_id", "place")
+            readings = parse.parse_telemetry(telemetry).where(F.col("error").isNull()).select(
                 "rule_user",
                 "user_id",
                 "device_id",
@@ -164,7 +187,7 @@ def start_alerts(
                 "battery",
                 "extras",
                 "timestamp",
-                F.col("offset").alias("sequence_id"),
+                F.col("place").alias("sequence_id"),
             )
             if changed:
                 ruled = _rules_in_batch(
@@ -174,29 +197,35 @@ def start_alerts(
                 ruled = rules.rules_for_user(readings, known_rules)
             with _kept(rules.evaluate_rules(ruled, carry=("timestamp",))) as evaluated:
                 few_inputs = few_messages and evaluated.count() <= GROUP_ROWS
-                touched = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
-                touched = touched.distinct()
+                keys = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
+                keys = keys.distinct()
+                buckets = active.touched(keys)
+                known_alerts = active.read(alerts_base, buckets)
                 followed = alerts.follow_alerts(
                     evaluated,
                     commands,
-                    known_alerts.join(touched, ALERT_KEYS, "left_semi"),
+                    known_alerts.join(keys, ALERT_KEYS, "left_semi"),
                     clock="timestamp",
                     # A small batch has no large group; else the groups are counted.
                     group_rows=None if few_inputs else GROUP_ROWS,
+                    order=alerts.ARRIVAL_ORDER,
                 )
                 with _kept(followed) as followed:
                     history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
                     history = history.withColumn("created_at", F.current_timestamp())
-                    append_batch(history, store.history, batch_id)
+                    append_batch(history, store.history, query, batch_id)
                     if publish is not None:
                         publish(alerts.publish_alerts(history))
                     after = alerts.alert_state_after(followed).unionByName(
-                        known_alerts.join(touched, ALERT_KEYS, "left_anti")
+                        known_alerts.join(keys, ALERT_KEYS, "left_anti")
                     )
-                    active.write(after, batch_id)
+                    if buckets:
+                        active.write(after, alerts_base, buckets, query, batch_id)
             if changed:
-                newest = rules.upsert_config(known_rules, updates, ["timestamp", "offset"])
-                configs.write(newest, batch_id)
+                renewed = rules.upsert_config(
+                    configs.read(rules_base, changed), updates, ["timestamp", "sequence_id"]
+                )
+                configs.write(renewed, rules_base, changed, query, batch_id)
 
     return _start(messages, batch, store.checkpoint("alerts"), trigger)
 
@@ -210,10 +239,10 @@ def _rules_in_batch(
         "user_id",
         "rules",
         F.lit(None).cast("timestamp").alias("timestamp"),
-        F.lit(None).cast("bigint").alias("sequence_id"),
+        F.lit(None).cast(SEQUENCE).alias("sequence_id"),
     )
-    changes = earlier.unionByName(updates.withColumnRenamed("offset", "sequence_id"))
-    return rules.rules_as_of(readings, changes, at="timestamp", group_rows=group_rows)
+    changes = earlier.unionByName(updates)
+    return rules.rules_as_of(readings, changes, at="timestamp", group_rows=group_rows, arrival=True)
 
 
 def _arrived(messages: DataFrame, delay: str) -> DataFrame:
@@ -236,8 +265,8 @@ def start_message_rate(
     configure(messages.sparkSession)
     rates = metrics.message_rate(_arrived(messages, delay), length=length)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        append_batch(rows, store.measure("message_rate"), batch_id)
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        append_batch(rows, store.measure("message_rate"), query, batch_id)
 
     return _start(rates, batch, store.checkpoint("message_rate"), trigger, mode="update")
 
@@ -245,8 +274,8 @@ def start_message_rate(
 def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
     """Newest count of every window."""
     rows = spark.read.parquet(store.measure("message_rate"))
-    newest = storing.latest_by_key(rows, ["window_start"], [F.col("batch_id")])
-    return newest.drop("batch_id")
+    newest = storing.latest_by_key(rows, ["window_start"], [F.col("written_at"), F.col("batch_id")])
+    return newest.drop(*BATCH_COLUMNS)
 
 
 # Measures of complete windows. Each is an aggregation of topic counts, which Spark carries on in
@@ -269,8 +298,8 @@ def start_complete_windows(
     configure(messages.sparkSession)
     rows = COMPLETE_WINDOWS[measure](_arrived(messages, delay), length=length)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        append_batch(rows, store.measure(measure), batch_id)
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        append_batch(rows, store.measure(measure), query, batch_id)
 
     return _start(rows, batch, store.checkpoint(measure), trigger)
 
@@ -290,7 +319,7 @@ def start_top_topics(
     configure(messages.sparkSession)
     counts = metrics.topic_counts(_arrived(messages, delay), length=length)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        append_batch(metrics.rank_topics(rows, k), store.measure("top_topics"), batch_id)
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        append_batch(metrics.rank_topics(rows, k), store.measure("top_topics"), query, batch_id)
 
     return _start(counts, batch, store.checkpoint("top_topics"), trigger)
