@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.parse import error_class
 
 
-def to_dead_letter(rejected: DataFrame, at: Column | None = None) -> DataFrame:
+def to_dead_letter(
+    rejected: DataFrame, at: Column | None = None, carry: list[Column] | None = None
+) -> DataFrame:
     """Failed rows as ``key, value`` records, keyed by the original topic.
 
-    ``value`` is JSON with original_topic, error, timestamp (ISO-8601 UTC) and payload_base64.
+    ``value`` is JSON with original_topic, error, timestamp (ISO-8601 UTC) and payload_base64;
+    ``carry`` names columns to keep beside it.
     """
     at = F.current_timestamp() if at is None else at
     # Spark may break base64 into lines.
@@ -22,7 +25,7 @@ def to_dead_letter(rejected: DataFrame, at: Column | None = None) -> DataFrame:
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         encoded.alias("payload_base64"),
     )
-    return rejected.select(F.col("topic").alias("key"), F.to_json(record).alias("value"))
+    return rejected.select(F.col("topic").alias("key"), F.to_json(record).alias("value"), *(carry or []))
 
 
 def replay_dead_letter(records: DataFrame) -> DataFrame:

@@ -275,6 +275,62 @@ def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_minute(rows: DataFrame) -> DataFrame:
+    """Message rows that all arrive at full minutes: many at one time, from all partitions."""
+    return rows.withColumn("timestamp", F.date_trunc("minute", "timestamp"))
+
+
+# Rules that must find nothing, beside one that reads a nested number.
+MALFORMED_KEYS = ["$.o[", "$.o..p", "$.o['p", "$.o.", "$.o[x]", "$.o[99999999999]", "$.o. ", "$", "$.", ""]
+NESTED_KEY = "$.o.p"
+
+
+@plan_once
+def hostile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message rows that try to stop a query: numbers out of range, malformed rules, endless snoozes."""
+    rule = '{"key":"%s","operator":">=","threshold":%s,"message":"m"}'
+    listed = ",".join(rule % (key, 0) for key in MALFORMED_KEYS) + "," + rule % (NESTED_KEY, 90)
+    endless = F.when(F.col("k") % 2 == 1, F.lit("9223372036854775807")).otherwise(F.lit("-9223372036854775808"))
+    n, k = F.col("event_id"), F.col("k").cast("string")
+    reading = F.concat(
+        F.lit('{"device_id":"'), F.col("event_type"), F.lit('","o":{"p":'), k, F.lit('},"sequence_id":'),
+        n.cast("string"),
+        F.when(n % 5 == 0, F.lit(',"temperature":1e999')).when(n % 5 == 1, F.lit(',"x":[-1e400]')).otherwise(F.lit("")),
+        F.lit(',"time":"'), iso(F.col("ts")), F.lit('"}'),
+    )
+    command = F.concat(
+        F.lit('{"action":"SNOOZE","device_id":"'), F.col("event_type"), F.lit('","duration_minutes":'),
+        endless, F.lit(f',"rule_id":"{NESTED_KEY}"}}'),
+    )
+    user = F.concat(F.lit("users/"), user_name())
+    broken = F.lit('{"rules":[{"key":"o","operator":">","threshold":1e999,"message":"m"}]}')
+
+    def sent(topic: str, payload: Column, source: str) -> Column:
+        return F.struct(F.concat(user, F.lit(topic)).alias("to"), payload.alias("body"), F.lit(source).alias("topic"))
+
+    everything = F.array(
+        sent("/telemetry", reading, STREAM),
+        F.when((F.col("event_type") == "error") & (n % 50 == 7), sent("/alerts/manage", command, CONTROL)),
+    )
+    messages = events(spark, sf_dir).select("ts", "event_id", F.inline(F.filter(everything, lambda m: m.isNotNull())))
+    early = F.lit(CONFIG_AT).cast("timestamp")
+    orders = F.array(sent("/config", F.lit(f'{{"rules":[{listed}]}}'), CONTROL), sent("/config", broken, CONTROL))
+    configs = users(spark, sf_dir).select(early.alias("ts"), F.col("user_number").alias("event_id"), F.inline(orders))
+    # as text, a payload out of range fails by itself; as JSON, the envelope around it does
+    as_text = (F.col("topic") == STREAM) & (F.col("event_id") % 5 == 0)
+    body = F.when(as_text, quoted(F.col("body"))).otherwise(F.col("body"))
+    value = F.concat(F.lit('{"topic":'), quoted(F.col("to")), F.lit(',"payload":'), body, F.lit("}"))
+    return messages.unionByName(configs).select(
+        F.lit(None).cast("binary").alias("key"),
+        value.cast("binary").alias("value"),
+        "topic",
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+        F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
+    )
+
+
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per event type that climbs with the event id and falls back every 1000 events."""
     return events(spark, sf_dir).select(
@@ -292,7 +348,7 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         "event_id",
         F.when(n % 17 == 0, F.lit("backend_service")).otherwise(user_name()).alias("username"),
-        F.col("event_type").alias("clientid"),
+        F.when(n % 19 != 0, F.col("event_type")).alias("clientid"),
         F.when(n % 5 == 0, F.lit("subscribe")).otherwise(F.lit("publish")).alias("action"),
         F.concat(
             F.lit("users/user_"),
@@ -305,14 +361,20 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The general access rows, and one row per user that opens its alerts with ``#``."""
+    """General rows, some of them denials, and a row per third user that opens a neighbour's topics.
+
+    Rows count in order of ``id``: the service's row goes before the denial of all alerts, and the
+    denial of user_3's topics before the rows that open them.
+    """
     general = spark.createDataFrame(
         [
-            ("$all", "publish", "users/%u/devices/%c/telemetry"),
-            ("$all", "subscribe", "users/%u/config"),
-            ("backend_service", "publish", "users/+/alerts"),
+            (0, "$all", "publish", "users/user_3/#", "deny"),
+            (1, "$all", "publish", "users/%u/devices/%c/telemetry", None),
+            (2, "$all", "subscribe", "users/%u/config", "allow"),
+            (3, "backend_service", "publish", "users/+/alerts", "allow"),
+            (4, "$all", "all", "users/+/alerts", "deny"),
         ],
-        "username string, permission string, topic string",
+        "id long, username string, permission string, topic string, action string",
     )
     own = users(spark, sf_dir).where(F.col("user_number") % 3 == 0).select(
         user_name().alias("username"),
@@ -320,6 +382,8 @@ def access_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.lit("users/user_"), (F.col("user_number") + 1).cast("string"), F.lit("/#")
         ).alias("topic"),
+        F.lit("allow").alias("action"),
+        F.lit(10).cast("long").alias("id"),
     )
     return general.unionByName(own)
 

@@ -89,8 +89,14 @@ cmd AS (
   FROM e WHERE event_type = 'error' AND event_id % 50 IN (7, 9))"""
 
 
-def _machine(clock: str = "time", command_clock: str = "time") -> str:
+def _machine(
+    clock: str = "time",
+    command_clock: str = "time",
+    order: str = "clock, kind, sequence_id, pos",
+    until: str = "",
+) -> str:
     """The alert states stepped row by row."""
+    until = until or f"{command_clock} + to_minutes(minutes)"
     return f"""
 inputs AS (
   SELECT user_id, device_id, rule_id, {clock} AS clock, 0 AS kind, sequence_id, pos, time, value,
@@ -98,11 +104,11 @@ inputs AS (
   FROM ev
   UNION ALL
   SELECT user_id, device_id, rule_id, {command_clock}, 1, sequence_id, 0, NULL, NULL, NULL, NULL,
-         action, CASE WHEN action = 'SNOOZE' THEN {command_clock} + to_minutes(minutes) END
+         action, CASE WHEN action = 'SNOOZE' THEN {until} END
   FROM cmd),
 numbered AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY user_id, device_id, rule_id
-                               ORDER BY clock, kind, sequence_id, pos) AS n
+                               ORDER BY {order}) AS n
   FROM inputs),
 steps AS (
   SELECT DISTINCT user_id, device_id, rule_id, 0::BIGINT AS n, 'none' AS state,
@@ -135,6 +141,28 @@ steps AS (
 MACHINE = _machine()
 MACHINE_ARRIVAL = _machine("arrival", "time")
 
+# By arrival at full minutes: the control stream first, then partitions in order.
+MACHINE_TIES = _machine(
+    "date_trunc('minute', arrival)",
+    "date_trunc('minute', time)",
+    "clock, -kind, CASE kind WHEN 0 THEN sequence_id % 4 END, sequence_id, pos",
+)
+
+# Only the nested rule finds numbers; endless snoozes end with the calendar.
+HOSTILE = """
+ev AS (
+  SELECT uid AS user_id, event_type AS device_id, '$.o.p' AS rule_id, 10::BIGINT AS pos, ts AS time,
+         event_id AS sequence_id, CAST(k AS DOUBLE) AS value, 'm' AS message, k >= 90 AS triggered
+  FROM e WHERE event_id % 5 > 1),
+cmd AS (
+  SELECT uid AS user_id, event_type AS device_id, '$.o.p' AS rule_id, ts AS time,
+         event_id AS sequence_id, 'SNOOZE' AS action, k
+  FROM e WHERE event_type = 'error' AND event_id % 50 = 7)"""
+ENDLESS = """CASE WHEN k % 2 = 1 THEN TIMESTAMP '9999-12-31 23:59:59.999999'
+             ELSE TIMESTAMP '0001-01-01' END"""
+MACHINE_HOSTILE = _machine(until=ENDLESS)
+MACHINE_HOSTILE_LIVE = _machine(order="clock, -kind, sequence_id, pos", until=ENDLESS)
+
 HISTORY_OF_STEPS = """
 SELECT time AS event_time, user_id, device_id, rule_id, 'Rule:' || rule_id AS alert_type,
        CASE WHEN emitted = 'Resolved' THEN 'Alert Resolved' ELSE message END AS message,
@@ -200,7 +228,7 @@ ACCESS = """
 log AS (
   SELECT event_id, user_number,
          CASE WHEN event_id % 17 = 0 THEN 'backend_service' ELSE uid END AS username,
-         event_type AS clientid,
+         CASE WHEN event_id % 19 <> 0 THEN event_type END AS clientid,
          CASE WHEN event_id % 5 = 0 THEN 'subscribe' ELSE 'publish' END AS action,
          'users/user_' || CASE WHEN event_id % 13 = 0 THEN user_number + 1 ELSE user_number END
          || CASE WHEN event_id % 5 = 0 THEN '/config' WHEN event_id % 17 = 0 THEN '/alerts'
@@ -225,6 +253,8 @@ def oracles() -> dict[str, str]:
     dynamic = _with(EVENTS, RULES, DYNAMIC, CHANGES)
     machine = _with(EVENTS, RULES, EVALUATIONS, COMMANDS, MACHINE, recursive=True)
     live = _with(EVENTS, RULES, LIVE, COMMANDS, MACHINE_ARRIVAL, recursive=True)
+    ties = LIVE.replace("g.arrival >=", "date_trunc('minute', g.arrival) >=")
+    ties = _with(EVENTS, RULES, ties, COMMANDS, MACHINE_TIES, recursive=True)
     copies, arrived = _with(EVENTS, COPIES), _with(EVENTS, ARRIVED)
     configs, access = _with(EVENTS, CONFIGS), _with(EVENTS, ACCESS)
     delivered = _with(EVENTS, CONFIGS, DELIVERED)
@@ -393,6 +423,25 @@ def oracles() -> dict[str, str]:
         "alert_history_with_commands": f"{machine} {HISTORY_OF_STEPS}",
         "active_alerts_with_commands": f"{machine} {STATE_OF_STEPS}",
         "alert_stream": f"{live} {HISTORY_OF_STEPS}",
+        "alert_stream_ties": f"{ties} {HISTORY_OF_STEPS}",
+        "alert_stream_new_checkpoint": f"{live} {HISTORY_OF_STEPS}",
+        "alert_stream_new_checkpoint_state": f"{live} {STATE_OF_STEPS}",
+        "hostile_messages": f"{_with(EVENTS, HOSTILE, MACHINE_HOSTILE, recursive=True)} {HISTORY_OF_STEPS}",
+        "hostile_stream": f"{_with(EVENTS, HOSTILE, MACHINE_HOSTILE_LIVE, recursive=True)} {HISTORY_OF_STEPS}",
+        "hostile_errors": f"""{base} SELECT 'users/' || uid || '/telemetry' AS key, count(*) AS n
+            FROM e WHERE event_id % 5 = 0 GROUP BY 1""",
+        "decode_envelope_doubled": f"""{base} SELECT CAST(part AS INTEGER) AS partition, off AS "offset",
+            CASE WHEN fault <> 'no_topic' AND off % 3 <> 0 THEN topic END AS topic,
+            CASE WHEN fault = 'no_topic' OR off % 3 = 0 THEN 'not_an_envelope' END AS skip_reason
+            FROM e""",
+        "alerts_per_minute_stream": f"""{live}, h AS ({HISTORY_OF_STEPS})
+            SELECT date_trunc('minute', event_time) AS window_start, count(*) AS alerts
+            FROM h WHERE status = 'Triggered' GROUP BY 1""",
+        "errors_per_minute_stream": f"""{base} SELECT date_trunc('minute', arrival) AS window_start,
+            reason, count(*) AS errors FROM bad GROUP BY ALL""",
+        "write_stats_stream": f"""{base} SELECT
+            count(*) + count(*) FILTER (WHERE off % 10 = 0) AS offered, count(*) AS written,
+            count(*) FILTER (WHERE off % 10 = 0) AS duplicates FROM good""",
         "alert_stream_state": f"{live} {STATE_OF_STEPS}",
         "stream_ingest": f"""{base} SELECT ts AS time, uid AS user_id, event_type AS device_id,
             event_id AS sequence_id, value AS temperature,
@@ -438,7 +487,7 @@ def oracles() -> dict[str, str]:
             WHERE fault <> 'no_topic' GROUP BY 1""",
         "payload_size_stats": f"""{text} SELECT topic, {_stats("octet_length(encode(payload))")}
             FROM payloads WHERE fault <> 'no_topic' GROUP BY 1""",
-        "ingress_latency": f"""{base} SELECT event_type AS device_id,
+        "ingress_latency": f"""{base} SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END AS device_id,
             {_stats("epoch_us(arrival) // 1000 - epoch_us(ts) // 1000")} FROM good GROUP BY 1""",
         "message_rate": f"""{arrived} SELECT {minute} AS window_start, count(*) AS messages,
             count(*) / 60 AS per_second FROM arrived GROUP BY 1""",
@@ -498,12 +547,14 @@ def oracles() -> dict[str, str]:
             SELECT service, make_timestamp(n * 1000000) AS ts, CAST(n % 3 AS DOUBLE) AS value,
               CASE n % 3 WHEN 1 THEN 'UP' WHEN 0 THEN 'DOWN' END AS status FROM g""",
         "acl_audit": f"""{access} SELECT event_id, username, action, topic,
-              (action = 'publish' AND topic = 'users/' || username || '/devices/' || clientid
-                 || '/telemetry')
-              OR (action = 'subscribe' AND topic = 'users/' || username || '/config')
-              OR (username = 'backend_service' AND action = 'publish'
-                  AND regexp_full_match(topic, 'users/[^/]*/alerts'))
-              OR (username <> 'backend_service' AND user_number % 3 = 0
-                  AND starts_with(topic, 'users/user_' || (user_number + 1) || '/')) AS allowed
+              CASE WHEN action = 'publish' AND starts_with(topic, 'users/user_3/') THEN false
+                   WHEN action = 'publish' AND coalesce(topic = 'users/' || username || '/devices/'
+                        || clientid || '/telemetry', false) THEN true
+                   WHEN action = 'subscribe' AND topic = 'users/' || username || '/config' THEN true
+                   WHEN regexp_full_match(topic, 'users/[^/]*/alerts')
+                     THEN username = 'backend_service' AND action = 'publish'
+                   ELSE username <> 'backend_service' AND user_number % 3 = 0
+                        AND starts_with(topic, 'users/user_' || (user_number + 1) || '/')
+              END AS allowed
             FROM log""",
     }

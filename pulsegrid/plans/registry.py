@@ -601,6 +601,9 @@ def payload_size_stats(spark, sf_dir):
 def ingress_latency(spark, sf_dir):
     rows = fx.accepted(spark, sf_dir)
     sent = F.try_variant_get(F.try_element_at("extras", F.lit("ingest_timestamp")), "$", "bigint")
+    # every third row has no device: NULL is a group like others
+    known = F.when(F.col("sequence_id") % 3 != 0, F.col("device_id"))
+    rows = rows.withColumn("device_id", known)
     stats = traces.ingress_latency(rows, F.col("timestamp"), sent, ["device_id"])
     return stats.select(
         "device_id",
@@ -721,13 +724,21 @@ def acl_audit(spark, sf_dir):
 # Streams: the same messages in two deliveries, the second after a restart from the checkpoint
 
 
-def _delivered(spark, sf_dir, name, start):
-    """Run a live query over all messages, half a month at a time; returns its tables."""
+def _everything(spark, sf_dir):
+    return fx.message_rows(spark, sf_dir).unionByName(fx.control_rows(spark, sf_dir))
+
+
+def _delivered(spark, sf_dir, name, start, messages=None, anew=False):
+    """Run a live query over all messages, half a month at a time; returns its tables.
+
+    ``anew`` starts the second half with a checkpoint and an inbox of its own.
+    """
     folder = fresh_folder(spark, name)
-    store, inbox = live.Store(f"{folder}/store"), f"{folder}/inbox"
-    everything = fx.message_rows(spark, sf_dir).unionByName(fx.control_rows(spark, sf_dir))
+    everything = _everything(spark, sf_dir) if messages is None else messages
     middle = F.lit(fx.CHANGE_AT).cast("timestamp")
-    for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
+    for half, part in enumerate((F.col("timestamp") < middle, F.col("timestamp") >= middle)):
+        run = half if anew else 0
+        store, inbox = live.Store(f"{folder}/store", f"{folder}/checkpoints-{run}"), f"{folder}/inbox-{run}"
         everything.where(part).write.mode("append").parquet(inbox)
         start(file_source(spark, inbox), store, availableNow=True).awaitTermination()
     return store
@@ -739,6 +750,86 @@ def alert_stream(spark, sf_dir):
     return read_batches(spark, store.history).drop("created_at")
 
 
+@query
+def alert_stream_ties(spark, sf_dir):
+    rows = fx.by_minute(_everything(spark, sf_dir))
+    store = _delivered(spark, sf_dir, "alert_stream_ties", live.start_alerts, rows)
+    return read_batches(spark, store.history).drop("created_at")
+
+
+@query
+def alert_stream_new_checkpoint(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "alert_stream_anew", live.start_alerts, anew=True)
+    return read_batches(spark, store.history).drop("created_at")
+
+
+@query
+def alert_stream_new_checkpoint_state(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "alert_stream_anew_state", live.start_alerts, anew=True)
+    return store.active(spark).latest()
+
+
+@query
+def hostile_messages(spark, sf_dir):
+    routed = control.route_control(envelope.decode_envelope(fx.hostile_rows(spark, sf_dir)))
+    updates = control.parse_config_update(routed).where("error IS NULL").select("user_id", "rules")
+    commands = control.parse_command(routed).where("error IS NULL")
+    commands = commands.withColumns({"sequence_id": F.col("offset"), "time": F.col("timestamp")})
+    readings = parse.parse_telemetry(envelope.decode_envelope(fx.hostile_rows(spark, sf_dir).where(F.col("topic") == fx.STREAM)))
+    evaluated = rules.evaluate_rules(rules.rules_for_user(readings.where("error IS NULL"), updates))
+    return alerts.alert_history_with_commands(evaluated, commands)
+
+
+@query
+def hostile_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "hostile_stream", live.start_alerts, fx.hostile_rows(spark, sf_dir))
+    return read_batches(spark, store.history).drop("created_at")
+
+
+@query
+def hostile_errors(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "hostile_errors", live.start_ingest, fx.hostile_rows(spark, sf_dir))
+    letters = read_batches(spark, store.dead_letters)
+    return letters.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query
+def decode_envelope_doubled(spark, sf_dir):
+    rows = fx.message_rows(spark, sf_dir)
+    text = F.col("value").cast("string")
+    twice = F.concat(F.lit('{"payload":0,'), F.substring(text, F.lit(2), F.length(text)))
+    rows = rows.withColumn("value", F.when(F.col("offset") % 3 == 0, twice).otherwise(text).cast("binary"))
+    return envelope.decode_envelope(rows).select("partition", "offset", "topic", "skip_reason")
+
+
+@query
+def alerts_per_minute_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "alerts_per_minute_stream", live.start_alerts)
+    return live.read_alerts_per_minute(spark, store)
+
+
+@query
+def errors_per_minute_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "errors_per_minute_stream", live.start_ingest)
+    return live.read_errors_per_minute(spark, store, "arrived_at")
+
+
+@query
+def write_stats_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "write_stats_stream", live.start_ingest, _with_late_copies(spark, sf_dir))
+    stats = live.read_write_stats(spark, store)
+    return stats.agg(*[F.sum(c).alias(c) for c in ("offered", "written", "duplicates")])
+
+
+def _with_late_copies(spark, sf_dir):
+    """All messages, and every tenth offset once more much later."""
+    rows = fx.message_rows(spark, sf_dir)
+    late = rows.where(F.col("offset") % 10 == 0).withColumns(
+        {"offset": F.col("offset") + 1_000_000_000, "timestamp": F.col("timestamp") + F.expr("INTERVAL 20 DAYS")}
+    )
+    return rows.unionByName(late)
+
+
 @query
 def alert_stream_state(spark, sf_dir):
     store = _delivered(spark, sf_dir, "alert_stream_state", live.start_alerts)

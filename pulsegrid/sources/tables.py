@@ -6,10 +6,11 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.operators.parse import find_message
 from pulsegrid.operators.storing import (
     KEY,
     STORED,
@@ -50,29 +51,50 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_telemetry(rows: DataFrame, path: str) -> None:
+def find_stored(
+    spark: SparkSession, path: str, device_id: str, sequence_id: int, first_day: str, last_day: str
+) -> DataFrame:
+    """Stored rows of one device and sequence number between two dates, both included.
+
+    Only the folders of these dates are read, and in them the row groups that may hold the device.
+    """
+    days = F.col("dt").between(F.to_date(F.lit(first_day)), F.to_date(F.lit(last_day)))
+    return find_message(read_telemetry(spark, path).where(days), device_id, sequence_id)
+
+
+def write_telemetry(rows: DataFrame, path: str) -> dict[str, int]:
     """Store readings once: the first row of a key wins, in the batch and against the table.
 
     Needs the arrival columns ``partition, offset``. Only the dates of the batch are compared,
     and running the same batch again stores nothing new, so a repeated micro-batch is harmless.
-    Large dates are written by several tasks, small ones share a task.
+    Large dates are written by several tasks, small ones share a task. Returns how many rows were
+    ``offered`` and ``written``, counted while they pass.
     """
     spark = rows.sparkSession
-    dated = with_date(rows).select("dt").distinct()
-    dates = [r.dt for r in dated.limit(LISTED_DATES + 1).collect()]
-    if not dates:
-        return
+    span = [F.min("time").alias("low"), F.max("time").alias("high"), F.count(F.lit(1)).alias("n")]
+    dated = with_date(rows).groupBy("dt").agg(*span)
+    found = dated.limit(LISTED_DATES + 1).collect()
+    if not found:
+        return {"offered": 0, "written": 0}
+    dates = [r.dt for r in found]
+    listed = len(dates) <= LISTED_DATES
+    whole = None if listed else dated.agg(F.min("low"), F.max("high"), F.sum("n")).first()
+    low, high, offered = whole or (min(r.low for r in found), max(r.high for r in found), sum(r.n for r in found))
     firsts = with_date(dedupe_first_wins(rows.select(*STORED, "partition", "offset")))
-    stored = read_telemetry(spark, path)
-    same_dates = touched(stored, firsts, dates if len(dates) <= LISTED_DATES else None)
-    new = anti_join_existing(firsts, same_dates, KEY)
+    # time is part of the key, so only the batch's span of it can hold copies
+    stored = read_telemetry(spark, path).where(F.col("time").between(F.lit(low), F.lit(high)))
+    same_dates = touched(stored, firsts, dates if listed else None)
+    counted = Observation()
+    new = anti_join_existing(firsts, same_dates, KEY).observe(counted, F.count(F.lit(1)).alias("written"))
     (
         new.select(*STORED, "dt")
         .hint("rebalance", "dt")
+        .sortWithinPartitions("dt", "time")
         .write.mode("append")
         .partitionBy("dt")
         .parquet(path)
     )
+    return {"offered": offered, "written": counted.get["written"]}
 
 
 def append_batch(rows: DataFrame, path: str, query_id: str, batch_id: int) -> None:

@@ -47,6 +47,10 @@ class Store:
     def dead_letters(self) -> str:
         return f"{self.root}/dead_letters"
 
+    @property
+    def writes(self) -> str:
+        return f"{self.root}/writes"
+
     @property
     def skipped(self) -> str:
         return f"{self.root}/skipped"
@@ -120,9 +124,12 @@ def start_ingest(
             readings = parse.range_validate(readings, bounds)
         with _kept(readings) as readings:
             good, bad = storing.quarantine_split(readings)
-            write_telemetry(good, store.telemetry)
+            counts = write_telemetry(good, store.telemetry)
+            counted = rows.sparkSession.createDataFrame([counts], "offered long, written long")
+            append_batch(counted, store.writes, query, batch_id)
             letters = dead_letter.to_dead_letter(bad)
-            append_batch(letters, store.dead_letters, query, batch_id)
+            arrived = dead_letter.to_dead_letter(bad, carry=[F.col("timestamp").alias("arrived_at")])
+            append_batch(arrived, store.dead_letters, query, batch_id)
             if send_failed is not None:
                 send_failed(letters)
             append_batch(skipped_messages(decoded), store.skipped, query, batch_id)
@@ -278,6 +285,29 @@ def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
     return newest.drop(*BATCH_COLUMNS)
 
 
+def read_write_stats(spark: SparkSession, store: Store) -> DataFrame:
+    """Rows offered, written and duplicate per batch of the live writer.
+
+    A batch repeated after it had stored its rows counts them as duplicates.
+    """
+    rows = spark.read.parquet(store.writes)
+    return rows.withColumn("duplicates", F.col("offered") - F.col("written"))
+
+
+def read_alerts_per_minute(spark: SparkSession, store: Store, length: str = "1 minute") -> DataFrame:
+    """Triggered alerts per window of event time, from what the live query has written."""
+    return metrics.alerts_per_minute(spark.read.parquet(store.history), length=length)
+
+
+def read_errors_per_minute(
+    spark: SparkSession, store: Store, ts: str = "arrived_at", length: str = "1 minute"
+) -> DataFrame:
+    """Dead letters per window of arrival and reason, from what the live query has written."""
+    letters = spark.read.parquet(store.dead_letters)
+    failed = letters.withColumn("error", F.get_json_object("value", "$.error"))
+    return metrics.errors_per_minute(failed, ts, length)
+
+
 # Measures of complete windows. Each is an aggregation of topic counts, which Spark carries on in
 # a second aggregation once the watermark has closed a window.
 COMPLETE_WINDOWS = {

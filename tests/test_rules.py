@@ -30,20 +30,20 @@ def configs(spark, rules_by_user):
 
 
 def test_two_rules_fire_on_one_message(spark):
-    rows = readings(spark, [("users/test_user/telemetry", payload(temperature=60, battery=10))])
+    rows = readings(spark, [("users/orchard/telemetry", payload(temperature=-4, battery=3))])
     own = configs(
         spark,
         {
-            "test_user": [
-                ("temperature", ">", 50.0, "Too Hot!"),
-                ("battery", "<", 20.0, "Low Battery"),
+            "orchard": [
+                ("temperature", "<", 0.5, "frost"),
+                ("battery", "<=", 3.0, "replace cells"),
             ]
         },
     )
     found = alerts.alert_transitions(rules.evaluate_rules(rules.rules_for_user(rows, own)))
     assert {(r.alert_type, r.message) for r in found.collect()} == {
-        ("Rule:temperature", "Too Hot!"),
-        ("Rule:battery", "Low Battery"),
+        ("Rule:temperature", "frost"),
+        ("Rule:battery", "replace cells"),
     }
 
 
