@@ -46,7 +46,6 @@ def _rules(access: DataFrame) -> DataFrame:
     """
     verdict = F.col("action") if "action" in access.columns else F.lit("allow")
     number = F.col("id") if "id" in access.columns else F.lit(0)
-    both = F.array(F.lit("publish"), F.lit("subscribe"))
     levels = F.split("topic", "/", -1)
     ended = F.element_at(levels, -1) == "#"
     fixed = F.when(ended, F.slice(levels, 1, F.size(levels) - 1)).otherwise(levels)
@@ -54,11 +53,16 @@ def _rules(access: DataFrame) -> DataFrame:
     def literal(level: Column) -> Column:
         return (level != "+") & ~F.contains(level, F.lit("%u")) & ~F.contains(level, F.lit("%c"))
 
+    named = access.where("username IS NOT NULL AND topic IS NOT NULL")
+    general = named.where(F.col("permission") == "all")
+    both = [general.withColumn("permission", F.lit(p)) for p in ("publish", "subscribe")]
     return (
-        access.where("username IS NOT NULL AND topic IS NOT NULL")
+        named.where(F.col("permission") != "all")
+        .unionByName(both[0])
+        .unionByName(both[1])
         .select(
             F.col("username").alias("_who"),
-            F.explode(F.when(F.col("permission") == "all", both).otherwise(F.array("permission"))).alias("_action"),
+            F.col("permission").alias("_action"),
             F.col("topic").alias("_filter"),
             number.alias("_id"),
             (F.coalesce(F.lower(verdict), F.lit("allow")) == "allow").cast("int").alias("_allow"),
@@ -79,15 +83,13 @@ def _rules(access: DataFrame) -> DataFrame:
 def _keyed(asked: DataFrame, rules: DataFrame) -> DataFrame:
     """Accesses with the keys under which fitting filters lie, one row per shape in the list."""
     shapes = rules.select("_levels", "_open", "_holes").distinct()
-    levels = F.split("topic", "/", -1)
-    depth = F.size(levels)
+    depth = F.size(F.split("topic", "/", -1))
     closed = F.array(F.struct(depth.alias("_levels"), F.lit(False).alias("_open")))
     opened = F.transform(F.sequence(F.lit(0), depth), lambda n: F.struct(n.alias("_levels"), F.lit(True).alias("_open")))
-    lengths = asked.select(*SUBJECT, F.inline(F.concat(closed, opened)))
-    shaped = lengths.join(shapes, ["_levels", "_open"])
-    head = F.slice(levels, F.lit(1), F.col("_levels"))
+    who = F.array_distinct(F.array_compact(F.array("username", F.lit(EVERYONE))))
+    lengths = asked.select(*SUBJECT, F.explode(F.concat(closed, opened)).alias("_length"))
+    shaped = lengths.select(*SUBJECT, "_length._levels", "_length._open").join(shapes, ["_levels", "_open"])
+    head = F.slice(F.split("topic", "/", -1), F.lit(1), F.col("_levels"))
     masked = F.zip_with(head, "_holes", lambda x, hole: F.when(hole, F.lit(HOLE)).otherwise(x))
-    who = F.array_compact(F.array("username", F.lit(EVERYONE)))
-    return shaped.withColumns({"_literal": F.array_join(masked, "/"), "_action": F.col("action")}).withColumn(
-        "_who", F.explode(F.array_distinct(who))
-    )
+    keyed = shaped.withColumns({"_literal": F.array_join(masked, "/"), "_action": F.col("action"), "_whos": who})
+    return keyed.select("*", F.explode("_whos").alias("_who")).drop("_whos")

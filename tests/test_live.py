@@ -167,3 +167,75 @@ def test_kafka_needs_its_connector(spark):
 
     with pytest.raises(Exception, match="(?i)kafka"):
         kafka_source(spark, "localhost:9092", "iot-stream", max_offsets=10)
+
+
+def test_hostile_messages_stop_nothing(spark, tmp_path):
+    """Malformed rule keys, endless durations and numbers out of range beside a user like any other."""
+    keys = ["$.o[", "$.o..a", "$.o['a", "$.o.", "$.o[x]", "$.o[99999999999]", "$.o. ", "$.", "$", ""]
+    bad = [{"key": k, "operator": ">", "threshold": 0, "message": "m"} for k in keys]
+    good = [{"key": "$.o.a", "operator": ">", "threshold": 5, "message": "deep"}]
+    at = T0.isoformat() + "Z"
+
+    def reading(i, user, **more):
+        body = {"time": at, "device_id": "d", "sequence_id": i, "o": {"a": 9}, **more}
+        return message(i, f"users/{user}/telemetry", body)
+
+    def snooze(i, minutes):
+        body = {"device_id": "d", "rule_id": "$.o.a", "action": "SNOOZE", "duration_minutes": minutes}
+        return message(i, "users/calm/alerts/manage", body)
+
+    rows = [
+        message(0, "users/wild/config", {"rules": bad}),
+        message(1, "users/calm/config", {"rules": good}),
+        reading(2, "wild"),
+        reading(3, "calm"),
+        snooze(4, -(2**63)),
+        reading(5, "calm"),
+        snooze(6, 2**63 - 1),
+        reading(7, "calm"),
+        (None, b'{"topic":"users/calm/telemetry","payload":"{\\"temperature\\":1e999}"}', "iot-stream", 0, 8, T0, None),
+        (None, b'{"topic":"users/calm/telemetry","payload":{"temperature":1e999}}', "iot-stream", 0, 9, T0, None),
+    ]
+    store = deliver(spark, rows, [5], str(tmp_path), live.start_alerts)
+    history = spark.read.parquet(store.history)
+    assert sorted((r.user_id, r.status) for r in history.collect()) == [("calm", "Triggered"), ("calm", "Triggered")]
+    state = store.active(spark).latest().collect()
+    assert [(r.status, r.snooze_until.year) for r in state] == [("Snoozed", 9999)]
+    live.start_ingest(file_source(spark, f"{tmp_path}/inbox"), store, availableNow=True).awaitTermination()
+    assert spark.read.parquet(store.dead_letters).count() == 1
+    assert live.read_write_stats(spark, store).agg({"written": "sum"}).first()[0] == 4
+
+
+def test_one_reading_rewrites_one_bucket(spark, tmp_path):
+    store = live.Store(f"{tmp_path}/store")
+    alert = "'d' || id AS device_id, 'temperature' AS rule_id, TIMESTAMP '2024-01-01' AS start_time"
+    many = spark.range(10_000).selectExpr(
+        "'u' AS user_id", alert.split(", 'temperature'")[0], "'temperature' AS rule_id", "TIMESTAMP '2024-01-01' AS start_time",
+        "TIMESTAMP '2024-01-01' AS last_seen", "'Active' AS status", "CAST(NULL AS TIMESTAMP) AS snooze_until", "90D AS current_value",
+    )
+    store.seed(active=many, configs=spark.createDataFrame([], live.CONFIGS))
+    with pytest.raises(ValueError, match="already"):
+        store.seed(active=many)
+    before = store.active(spark)._versions()[-1]["parts"]
+    body = {"time": T0.isoformat() + "Z", "device_id": "d77", "sequence_id": 1, "temperature": 10.0}
+    rows = spark.createDataFrame([message(1, "users/u/telemetry", body)], MESSAGE_ROW)
+    rows.write.parquet(f"{tmp_path}/inbox")
+    live.start_alerts(file_source(spark, f"{tmp_path}/inbox"), store, availableNow=True).awaitTermination()
+    after = store.active(spark)._versions()[-1]["parts"]
+    assert sum(before.get(b) != after.get(b) for b in set(before) | set(after)) == 1
+    assert store.active(spark).latest().count() == 9_999
+
+
+def test_superseded_versions_go_and_uncommitted_rows_do_not_count(spark, tmp_path):
+    table = live.Store(str(tmp_path)).configs(spark)
+    for batch in range(8):
+        rows = spark.createDataFrame([("a", [(f"k{batch}", ">", 1.0, "m")])], live.CONFIGS)
+        base = table.before("q", batch)
+        table.write(rows, base, table.touched(rows), "q", batch)
+    assert len(table._versions()) == table.KEPT == len(list((tmp_path / "user_configs/rows").iterdir()))
+    assert table.latest().collect()[0].rules[0].key == "k7"
+    assert table.read(table.before("q", 7)).collect()[0].rules[0].key == "k6"
+    assert table.read(table.before("other", 0)).collect()[0].rules[0].key == "k7"
+    stray = tmp_path / "user_configs/rows/000000000099-x/bucket=0"
+    stray.mkdir(parents=True)
+    assert table.latest().count() == 1
