@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.topics import alert_topic
-from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups
+from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups, written_once
 from pulsegrid.schemas import ALERT_KEYS
 
 ORDER = ["time", "sequence_id", "pos"]
@@ -71,10 +71,12 @@ def active_alerts_asof(
     """Alerts active after all evaluations (or those up to ``as_of``), without commands.
 
     Plain aggregation, no window: the alert is active if the last evaluation is true, and it
-    started at the first evaluation after the last false one.
+    started at the first evaluation after the last false one. That takes two passes, which read the
+    evaluations from the shared folder, so that they are made once.
     """
     order = order or ORDER
     rows = evaluations if as_of is None else evaluations.where(F.col("time") <= as_of)
+    rows = written_once(rows.select(*dict.fromkeys([*ALERT_KEYS, *order, "time", "triggered", "value"])))
     place = F.struct(*order)
     # First pass per key: where the last false evaluation lies. Combined before the shuffle.
     ends = rows.groupBy(*ALERT_KEYS).agg(

@@ -101,14 +101,15 @@ def ordered_groups(
 ) -> OrderedGroups:
     """Prepare running values over groups of ``df``.
 
-    The group sizes are counted first (one pass, combined before the shuffle); groups above
-    ``group_rows`` are sliced, all others use plain windows. ``group_rows=None`` skips the count
-    where the caller knows that all groups are small. ``keys`` must not be NULL, and ``order``
+    The rows are first written to the shared folder, so whatever made them runs once. Then the group
+    sizes are counted (combined before the shuffle); groups above ``group_rows`` are sliced, all others
+    use plain windows. ``group_rows=None`` skips both where the caller knows that groups are small. ``keys`` must not be NULL, and ``order``
     should be a total order within a group.
     """
     if group_rows is None:
         return OrderedGroups(keys, order, df, None)
     spark = df.sparkSession
+    df = written_once(df)
     hot = (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
@@ -128,12 +129,16 @@ def ordered_groups(
     return OrderedGroups(keys, order, cold_rows, _slice(hot_rows, keys, order))
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows, kept on shared storage: later passes read them and not what made them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def _slice(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Number the partitions of a cluster-wide sort; kept on shared storage.
 
     The numbers come from sampled bounds, so they are written down before anything relies on
     them: a task repeated after a lost executor then sees the same slices.
     """
-    shared_folder(df.sparkSession)
-    ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
-    return ranged.checkpoint()
+    return written_once(df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()))

@@ -195,3 +195,25 @@ def test_published_messages(spark):
     row = alerts.publish_alerts(made).collect()[0]
     assert row.topic == "users/u7/alerts"
     assert '"alert_type":"Rule:temperature"' in row.value and '"value":60.0' in row.value
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 20])
+def test_the_input_is_read_once(spark, group_rows):
+    """Also with a hot group; counted while the rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def passing(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    plain = spark.range(300).selectExpr(
+        "'u' AS user_id", "if(id < 200, 'hot', 'd' || id % 20) AS device_id", "'r' AS rule_id", "0 AS pos",
+        "timestamp_seconds(id) AS time", "id AS sequence_id", "1D AS value", "'m' AS message", "id % 3 = 0 AS triggered",
+    )
+    counted = plain.mapInPandas(passing, plain.schema)
+    found = alerts.alert_transitions(counted, group_rows=group_rows).count()
+    assert made.value == 300 and found == alerts.alert_transitions(plain, group_rows=None).count()
+    made.value = 0
+    assert alerts.active_alerts_asof(counted).count() == alerts.active_alerts_asof(plain).count()
+    assert made.value == 300
