@@ -22,8 +22,9 @@ from pulsegrid.session import fresh_folder
 
 GRAM = 50
 BLOCK = 1 << 20
-#: Places of one string with more differing surroundings than this are compared by counting windows.
-WIDE = 1000
+#: Places of one string with more differing surroundings than this (5 MB, and 60 MB of fingerprints in a
+#: task) are compared by counting windows across the cluster.
+WIDE = 20_000
 PLACE_BITS = np.uint64(30)
 PLACE = np.uint64((1 << 30) - 1)
 FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
