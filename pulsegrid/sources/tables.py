@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +69,7 @@ def write_telemetry(rows: DataFrame, path: str) -> dict[str, int]:
     Needs the arrival columns ``partition, offset``. Only the dates of the batch are compared,
     and running the same batch again stores nothing new, so a repeated micro-batch is harmless.
     Large dates are written by several tasks, small ones share a task. Returns how many rows were
-    ``offered`` and ``written``, counted while they pass.
+    ``offered`` and ``written``.
     """
     spark = rows.sparkSession
     span = [F.min("time").alias("low"), F.max("time").alias("high"), F.count(F.lit(1)).alias("n")]
@@ -84,17 +85,16 @@ def write_telemetry(rows: DataFrame, path: str) -> dict[str, int]:
     # time is part of the key, so only the batch's span of it can hold copies
     stored = read_telemetry(spark, path).where(F.col("time").between(F.lit(low), F.lit(high)))
     same_dates = touched(stored, firsts, dates if listed else None)
-    counted = Observation()
-    new = anti_join_existing(firsts, same_dates, KEY).observe(counted, F.count(F.lit(1)).alias("written"))
-    (
-        new.select(*STORED, "dt")
-        .hint("rebalance", "dt")
-        .sortWithinPartitions("dt", "time")
-        .write.mode("append")
-        .partitionBy("dt")
-        .parquet(path)
-    )
-    return {"offered": offered, "written": counted.get["written"]}
+    new = anti_join_existing(firsts, same_dates, KEY).select(*STORED, "dt")
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        written = new.count()
+        if written:
+            laid_out = new.hint("rebalance", "dt").sortWithinPartitions("dt", "time")
+            laid_out.write.mode("append").partitionBy("dt").parquet(path)
+    finally:
+        new.unpersist()
+    return {"offered": offered, "written": written}
 
 
 def append_batch(rows: DataFrame, path: str, query_id: str, batch_id: int) -> None:

@@ -87,15 +87,16 @@ def test_quarantine(spark):
 def test_snapshots(spark, tmp_path):
     schema = spark.createDataFrame([], "k string, v int").schema
     path = str(tmp_path / "snap")
-    table = tables.Snapshots(spark, path, schema)
-    assert table.before(5).count() == 0 and table.latest().count() == 0
-    table.write(spark.createDataFrame([("a", 1)], schema), 0)
-    table.write(spark.createDataFrame([], schema), 3)
-    again = tables.Snapshots(spark, path, schema)
-    assert again.before(3).collect()[0].v == 1
-    assert again.latest().count() == 0 and again.before(9).count() == 0
-    again.write(spark.createDataFrame([("b", 2)], schema), 3)
-    assert again.latest().collect()[0].k == "b"
+    table = tables.Snapshots(spark, path, schema, ["k"])
+    assert table.before("q", 5) is None and table.latest().count() == 0
+    every = list(range(table.buckets))
+    table.write(spark.createDataFrame([("a", 1)], schema), None, every, "q", 0)
+    table.write(spark.createDataFrame([], schema), table.before("q", 3), every, "q", 3)
+    again = tables.Snapshots(spark, path, schema, ["k"])
+    assert again.read(again.before("q", 3)).collect()[0].v == 1
+    assert again.latest().count() == 0 and again.read(again.before("q", 9)).count() == 0
+    again.write(spark.createDataFrame([("b", 2)], schema), again.before("q", 3), every, "q", 3)
+    assert [r.k for r in again.latest().collect()] == ["b"]
 
 
 def test_running_values_in_slices_equal_plain_windows(spark):
