@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.codes import small_batches
 from pulsegrid.llm.components import components
 from pulsegrid.session import fresh_folder
 
@@ -187,7 +188,17 @@ def _entries(docs: DataFrame, n: int, percent: int, frequent, blocks: int) -> Da
     return docs.select("text").mapInArrow(run, "block int, shingles binary, names binary, sizes binary")
 
 
-PRODUCT = "kind int, shingle long, a long, b long, size int"
+PRODUCT = "kind int, shingle long, a long, b long, size int, need int"
+
+
+def least_met(low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Fewest columns that similar sets of these sizes share in the multiplied part.
+
+    Together they share ``percent (low + high) / (100 + percent)`` shingles. Behind the part of the
+    set whose part ends first lie fewer than ``t n`` of its own; all that are shared before count.
+    """
+    shared = -(-percent * (low + high) // (100 + percent))
+    return shared - least_overlap(high, percent) + 1
 
 
 def _product(percent: int):
@@ -215,6 +226,7 @@ def _product(percent: int):
         low, high = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
         fits = low.astype(np.int64) * 100 >= high.astype(np.int64) * percent
         left, right = left[fits], right[fits]
+        sizes = sizes.astype(np.int64)
         long = np.flatnonzero(~short)
         # one of a few pivots per column, of the sizes next to the member's
         level = (np.log(np.maximum(sizes, 1)) / math.log(100 / percent) * 2).astype(np.int64)
@@ -229,43 +241,109 @@ def _product(percent: int):
         b = np.concatenate([names[right], names[stars], np.zeros(len(long), np.int64)])
         one, two = np.minimum(a, b), np.maximum(a, b)
         pairs = kind < 2
+        first, second = np.concatenate([left, pivot]), np.concatenate([right, stars])
+        low, high = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
+        need = np.concatenate([least_met(low, high, percent), np.zeros(len(long), np.int64)])
         return pa.table(
             {
                 "kind": kind,
                 "shingle": np.concatenate([nothing, shingles[long].view(np.int64)]),
                 "a": np.where(pairs, one, a),
                 "b": np.where(pairs, two, b),
-                "size": np.concatenate([nothing.astype(np.int32), sizes[long]]),
+                "size": np.concatenate([nothing, sizes[long]]).astype(np.int32),
+                "need": need.astype(np.int32),
             }
         )
 
     return run
 
 
+#: Bits of the filter of wanted sets, whatever their number: 2 MB. It only spares sending sets.
+FILTER_BITS = 1 << 24
+FILTER_PARTS = 16
+
+
+def _filter_places(names: np.ndarray) -> list[np.ndarray]:
+    mixed = _mixed(names.view(np.uint64))
+    return [(mixed >> np.uint64(shift)) % np.uint64(FILTER_BITS) for shift in (0, 31)]
+
+
+def name_filter(nodes: DataFrame) -> np.ndarray:
+    """Bits that tell which sets are surely not among ``nodes``; of a fixed size."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for place in _filter_places(batch.column(0).to_numpy()):
+                bits[place] = True
+        parts = np.packbits(bits).reshape(FILTER_PARTS, -1)
+        rows = [(i, p.tobytes()) for i, p in enumerate(parts) if p.any()]
+        if rows:
+            columns = [pa.array([i for i, _ in rows], pa.int32()), pa.array([p for _, p in rows])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "bits"])
+
+    def merge(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint8)
+                parts[i] = parts[i] | own if i in parts else own
+        if parts:
+            columns = [pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "bits"])
+
+    marked = nodes.mapInArrow(mark, "part int, bits binary")
+    found = marked.repartition("part").mapInArrow(merge, "part int, bits binary").collect()
+    whole = np.zeros((FILTER_PARTS, FILTER_BITS // 8 // FILTER_PARTS), np.uint8)
+    for row in found:
+        whole[row.part] |= np.frombuffer(row.bits, np.uint8)
+    return whole.ravel()
+
+
+def maybe_in(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(names), bool)
+    for place in _filter_places(names):
+        keep &= (bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of every fingerprint, enough to tell the shingles of two sets apart."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of distinct pairs (a, b) of sets that are similar enough, compared whole."""
 
     def read(batches):
         done: set[int] = set()
-        for batch in batches:
-            sets = [(_name(s), s) for s in shingle_sets(batch.column(0).to_pylist(), n) if len(s)]
-            sets = [(k, s) for k, s in sets if k not in done]
+        for batch in small_batches(batches, 1024):
+            sets = {_name(s): s for s in shingle_sets(batch.column(0).to_pylist(), n) if len(s)}
+            names = np.fromiter(sets, np.int64, len(sets))
+            names = [k for k in names[maybe_in(wanted.value, names)].tolist() if k not in done]
             if len(done) < 1_000_000:
-                done.update(k for k, _ in sets)
-            columns = [pa.array([k for k, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())]
+                done.update(names)
+            columns = [pa.array(names, pa.int64()), pa.array([_packed(sets[k]) for k in names], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
     def compare(batches):
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                x, y = _unpacked(one), _unpacked(two)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    wanted = docs.sparkSession.sparkContext.broadcast(name_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
     sets = docs.select("text").mapInArrow(read, "node long, shingles binary")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -274,6 +352,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _reachable(pairs: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs whose overlap so far, with what long columns may add, reaches what similar sets need."""
+    counts = long.groupBy("node").agg(F.count(F.lit(1)).alias("_in"))
+    for side in "ab":
+        own = counts.select(F.col("node").alias(side), F.col("_in").alias(f"_in_{side}"))
+        pairs = pairs.join(own, side, "left")
+    more = F.least(*[F.coalesce(f"_in_{s}", F.lit(0)) for s in "ab"])
+    return pairs.filter(F.col("met") + more >= F.col("need")).select("a", "b")
+
+
 def _write(frame: DataFrame, name: str) -> DataFrame:
     folder = fresh_folder(frame.sparkSession, name)
     frame.write.parquet(folder)
@@ -290,9 +378,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n))
     entries = _entries(docs, n, percent, frequent, blocks)
     product = _write(entries.groupBy("block").applyInArrow(_product(percent), PRODUCT), "product")
-    pairs = product.filter("kind < 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    first = _write(_linked(_write(pairs.select("a", "b"), "pairs"), docs, n, percent), "links")
     long = product.filter("kind = 2").select("shingle", F.col("a").alias("node"), "size")
+    met = product.filter("kind < 2").groupBy("a", "b").agg(F.sum(1 - F.col("kind")).alias("met"), F.min("need").alias("need"))
+    met = _write(met, "met")
+    pairs = _write(_reachable(met, long), "pairs")
+    first = _write(_linked(pairs, docs, n, percent), "links")
     found = components(first)
     label = F.coalesce("component", "node").alias("component")
     long = long.join(found, "node", "left").select("shingle", "node", "size", label)
@@ -301,7 +391,12 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
     one, two = (long.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component")]) for s in "ab")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     across = one.join(two, "shingle").filter("component_a < component_b").filter(small * 100 >= large * percent)
-    more = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    across = across.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    shared = F.ceil((F.col("small") + F.col("large")) * percent / (100 + percent))
+    need = shared - F.floor((F.col("large") * percent + 99) / 100) + 1
+    counted = across.agg(F.count(F.lit(1)).alias("_long"), F.min(small).alias("small"), F.min(large).alias("large"))
+    counted = counted.join(met.select("a", "b", "met"), ["a", "b"], "left")
+    more = counted.filter(F.col("_long") + F.coalesce("met", F.lit(0)) >= need).select("a", "b")
     more = _write(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     return first.union(_linked(more, docs, n, percent))
 
