@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, counts, mixing, one_bit, packing, projections, quality, shingle_join, token_files, windows
+from pulsegrid.llm import (
+    chat, counts, mixing, one_bit, packing, periodic_runs, projections, quality, ranked_search, shingle_join,
+    token_files, toxic_spans, windows,
+)
 from pulsegrid.session import fresh_folder
 
 
@@ -72,6 +75,25 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(spark, stored)
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    stored = fresh_folder(spark, "items")
+    ranked_search.item_terms(table(spark, folder, "benchmark")).write.parquet(stored)
+    asked = spark.read.parquet(stored)
+    return ranked_search.search(ranked_search.build_index(table(spark, folder, "documents"), asked), asked, k=10)
+
+
+def op12_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = toxic_spans.toxic_spans(docs, toxic_spans.train(docs, table(spark, folder, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", toxic_spans.held_out().alias("held_out"), "score", predicted, "spans")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(table(spark, folder, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
@@ -83,6 +105,13 @@ QUERIES = {
     "op8_one_bit": op8_one_bit,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_toxic_spans": op12_toxic_spans,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES = {"op3_mixing": mixing.ORACLE, "op4_projections": projections.ORACLE}
+ORACLES = {
+    "op3_mixing": mixing.ORACLE,
+    "op4_projections": projections.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+}
