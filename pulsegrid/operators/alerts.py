@@ -111,7 +111,7 @@ LAST_MICROS = 253_402_300_799_999_999
 ALL_MINUTES = (LAST_MICROS - FIRST_MICROS) // 60_000_000 + 1
 
 
-def _inputs(evaluations: DataFrame, commands: DataFrame, clock: str) -> DataFrame:
+def inputs(evaluations: DataFrame, commands: DataFrame, clock: str) -> DataFrame:
     """Evaluations and commands as one kind of row. Any snooze has an end within the calendar."""
     as_evaluations = evaluations.selectExpr(
         *ALERT_KEYS,
@@ -202,12 +202,12 @@ def follow_alerts(
     ``order`` is INPUT_ORDER, or ARRIVAL_ORDER where ``sequence_id`` orders all messages.
     """
     order = order or INPUT_ORDER
-    inputs = _inputs(evaluations, commands, clock)
+    rows = inputs(evaluations, commands, clock)
     if active is not None:
-        sequence = inputs.schema["sequence_id"].dataType.simpleString()
-        inputs = inputs.unionByName(_from_state(active, sequence))
+        sequence = rows.schema["sequence_id"].dataType.simpleString()
+        rows = rows.unionByName(_from_state(active, sequence))
     rows = (
-        ordered_groups(inputs, ALERT_KEYS, order, group_rows)
+        ordered_groups(rows, ALERT_KEYS, order, group_rows)
         .with_columns(_at=F.struct(*order))
         .last_before(
             _snooze=F.expr("CASE WHEN action = 'SNOOZE' THEN struct(_at AS at, until) END"),

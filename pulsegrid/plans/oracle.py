@@ -424,6 +424,9 @@ def oracles() -> dict[str, str]:
         "active_alerts_with_commands": f"{machine} {STATE_OF_STEPS}",
         "alert_stream": f"{live} {HISTORY_OF_STEPS}",
         "alert_stream_ties": f"{ties} {HISTORY_OF_STEPS}",
+        "alert_stream_keyed": f"{ties} {HISTORY_OF_STEPS}",
+        "alert_stream_keyed_new_checkpoint": f"{live} {HISTORY_OF_STEPS}",
+        "alert_stream_keyed_state": f"{live} {STATE_OF_STEPS}",
         "alert_stream_new_checkpoint": f"{live} {HISTORY_OF_STEPS}",
         "alert_stream_new_checkpoint_state": f"{live} {STATE_OF_STEPS}",
         "hostile_messages": f"{_with(EVENTS, HOSTILE, MACHINE_HOSTILE, recursive=True)} {HISTORY_OF_STEPS}",

@@ -17,7 +17,7 @@ from pulsegrid.schemas import ALERT_KEYS, DomainSpec, Field
 from pulsegrid.session import fresh_folder
 from pulsegrid.sources.messages import file_source
 from pulsegrid.sources.tables import read_batches, read_telemetry
-from pulsegrid.streaming import live
+from pulsegrid.streaming import keyed, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -769,6 +769,38 @@ def alert_stream_new_checkpoint_state(spark, sf_dir):
     return store.active(spark).latest()
 
 
+@query
+def alert_stream_keyed(spark, sf_dir):
+    rows = fx.by_minute(_everything(spark, sf_dir))
+    store = _delivered(spark, sf_dir, "alert_stream_keyed", keyed.start_keyed_alerts, rows)
+    return read_batches(spark, store.history).drop("created_at")
+
+
+def _keyed_anew(spark, sf_dir, name):
+    """The second half starts a checkpoint of its own from the state that the first one left."""
+    earlier = []
+
+    def start(messages, store, **trigger):
+        seeds = {}
+        if earlier:
+            seeds = {"configs": keyed.kept_rules(spark, earlier[0]), "active": keyed.kept_alerts(spark, earlier[0])}
+        earlier.append(store)
+        return keyed.start_keyed_alerts(messages, store, **seeds, **trigger)
+
+    return _delivered(spark, sf_dir, name, start, anew=True)
+
+
+@query
+def alert_stream_keyed_new_checkpoint(spark, sf_dir):
+    store = _keyed_anew(spark, sf_dir, "alert_stream_keyed_anew")
+    return read_batches(spark, store.history).drop("created_at")
+
+
+@query
+def alert_stream_keyed_state(spark, sf_dir):
+    return keyed.kept_alerts(spark, _keyed_anew(spark, sf_dir, "alert_stream_keyed_state"))
+
+
 @query
 def hostile_messages(spark, sf_dir):
     routed = control.route_control(envelope.decode_envelope(fx.hostile_rows(spark, sf_dir)))

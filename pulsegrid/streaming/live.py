@@ -79,7 +79,7 @@ class Store:
         return f"{self.checkpoints or self.root + '/checkpoints'}/{name}"
 
 
-def _start(
+def start(
     stream: DataFrame,
     batch: Callable[[DataFrame, str, int], None],
     checkpoint: str,
@@ -134,7 +134,7 @@ def start_ingest(
                 send_failed(letters)
             append_batch(skipped_messages(decoded), store.skipped, query, batch_id)
 
-    return _start(messages, batch, store.checkpoint("ingest"), trigger)
+    return start(messages, batch, store.checkpoint("ingest"), trigger)
 
 
 @contextmanager
@@ -151,7 +151,7 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
 SEQUENCE = "struct<source_topic:string,partition:int,offset:bigint>"
 
 
-def _arrival(rows: DataFrame) -> DataFrame:
+def arrival(rows: DataFrame) -> DataFrame:
     place = F.struct("source_topic", "partition", "offset").cast(SEQUENCE)
     return rows.withColumn("sequence_id", place)
 
@@ -175,7 +175,7 @@ def start_alerts(
 
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
-        decoded = _arrival(decode_envelope(rows).withColumn("route", control_route(F.col("topic"))))
+        decoded = arrival(decode_envelope(rows).withColumn("route", control_route(F.col("topic"))))
         with _kept(decoded) as decoded:
             rules_base, alerts_base = configs.before(query, batch_id), active.before(query, batch_id)
             known_rules = configs.read(rules_base)
@@ -234,7 +234,7 @@ def start_alerts(
                 )
                 configs.write(renewed, rules_base, changed, query, batch_id)
 
-    return _start(messages, batch, store.checkpoint("alerts"), trigger)
+    return start(messages, batch, store.checkpoint("alerts"), trigger)
 
 
 def _rules_in_batch(
@@ -275,7 +275,7 @@ def start_message_rate(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         append_batch(rows, store.measure("message_rate"), query, batch_id)
 
-    return _start(rates, batch, store.checkpoint("message_rate"), trigger, mode="update")
+    return start(rates, batch, store.checkpoint("message_rate"), trigger, mode="update")
 
 
 def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
@@ -331,7 +331,7 @@ def start_complete_windows(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         append_batch(rows, store.measure(measure), query, batch_id)
 
-    return _start(rows, batch, store.checkpoint(measure), trigger)
+    return start(rows, batch, store.checkpoint(measure), trigger)
 
 
 def start_top_topics(
@@ -352,4 +352,4 @@ def start_top_topics(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         append_batch(metrics.rank_topics(rows, k), store.measure("top_topics"), query, batch_id)
 
-    return _start(counts, batch, store.checkpoint("top_topics"), trigger)
+    return start(counts, batch, store.checkpoint("top_topics"), trigger)
