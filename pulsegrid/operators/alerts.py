@@ -14,11 +14,11 @@ Each of these is a "last value before this row", which keeps working for groups
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.topics import alert_topic
-from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups, written_once
+from pulsegrid.operators.ordered_groups import ordered_groups
 from pulsegrid.schemas import ALERT_KEYS
 
 ORDER = ["time", "sequence_id", "pos"]
@@ -48,19 +48,19 @@ def publish_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
-def alert_transitions(
-    evaluations: DataFrame,
-    order: list[str] | None = None,
-    group_rows: int | None = GROUP_ROWS,
-) -> DataFrame:
+def _edges(evaluations: DataFrame, order: list[str] | None) -> DataFrame:
+    """Evaluations with ``_was``: whether the one before them held; false for the first."""
+    columns = [c for c in evaluations.columns if c != "_was"]
+    groups = ordered_groups(evaluations.select(*columns), ALERT_KEYS, order or ORDER)
+    rows = groups.last_before(_was=F.col("triggered")).rows()
+    return rows.withColumn("_was", F.coalesce("_was", F.lit(False)))
+
+
+def alert_transitions(evaluations: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Alert history without commands: a rising edge triggers, a falling edge resolves."""
-    groups = ordered_groups(evaluations, ALERT_KEYS, order or ORDER, group_rows)
-    followed = groups.last_before(_was=F.col("triggered")).rows()
-    was = F.coalesce("_was", F.lit(False))
-    changed = followed.where(F.col("triggered") != was).withColumn(
-        "status", F.when(F.col("triggered"), F.lit("Triggered")).otherwise(F.lit("Resolved"))
-    )
-    return make_alert(changed)
+    status = F.when(F.col("triggered"), F.lit("Triggered")).otherwise(F.lit("Resolved"))
+    changed = _edges(evaluations, order).where(F.col("triggered") != F.col("_was"))
+    return make_alert(changed.withColumn("status", status))
 
 
 def active_alerts_asof(
@@ -70,31 +70,18 @@ def active_alerts_asof(
 ) -> DataFrame:
     """Alerts active after all evaluations (or those up to ``as_of``), without commands.
 
-    Plain aggregation, no window: the alert is active if the last evaluation is true, and it
-    started at the first evaluation after the last false one. That takes two passes, which read the
-    evaluations from the shared folder, so that they are made once.
+    An alert is active if its last evaluation is true, and started at its last rising edge.
     """
     order = order or ORDER
     rows = evaluations if as_of is None else evaluations.where(F.col("time") <= as_of)
-    rows = written_once(rows.select(*dict.fromkeys([*ALERT_KEYS, *order, "time", "triggered", "value"])))
-    place = F.struct(*order)
-    # First pass per key: where the last false evaluation lies. Combined before the shuffle.
-    ends = rows.groupBy(*ALERT_KEYS).agg(
-        F.max(F.when(~F.col("triggered"), place)).alias("_last_false"),
-        F.max(F.struct(*order, "triggered", "value")).alias("_last"),
+    rows = rows.select(*dict.fromkeys([*ALERT_KEYS, *order, "time", "triggered", "value"]))
+    place = [F.col(c) for c in order]
+    rising = F.col("triggered") & ~F.col("_was")
+    last = _edges(rows, order).groupBy(*ALERT_KEYS).agg(
+        F.max(F.struct(*place, F.struct("time", "triggered", "value").alias("row")))["row"].alias("_last"),
+        F.max(F.when(rising, F.struct(*place, F.col("time").alias("at"))))["at"].alias("start_time"),
     )
-    live = ends.where(F.col("_last.triggered"))
-    starts = (
-        rows.where(F.col("triggered"))
-        .join(live.select(*ALERT_KEYS, "_last_false", "_last"), ALERT_KEYS)
-        .where(F.col("_last_false").isNull() | (place > F.col("_last_false")))
-        .groupBy(*ALERT_KEYS)
-        .agg(
-            F.min(F.struct(*order))["time"].alias("start_time"),
-            F.max("_last").alias("_last"),
-        )
-    )
-    return starts.select(
+    return last.where(F.col("_last.triggered")).select(
         *ALERT_KEYS,
         "start_time",
         F.col("_last.time").alias("last_seen"),
@@ -186,12 +173,57 @@ def _in_epoch(what: str) -> Column:
     return F.expr(f"{what} IS NOT NULL AND (_snooze IS NULL OR {what}.at > _snooze.at)")
 
 
+def _after_commands(rows: DataFrame) -> DataFrame:
+    """Add what the commands before a row make of it: _disabled_in, _maybe_in and _existed.
+
+    Only commands change these, so they are worked out on the command rows and reach all others by the
+    place of the last command before them. The commands of one alert, few beside its evaluations, are
+    one task's work.
+    """
+    by_order = [F.col("_at")]
+    epoch = Window.partitionBy(*ALERT_KEYS, "_snooze.at").orderBy(*by_order)
+    alert = Window.partitionBy(*ALERT_KEYS).orderBy(*by_order)
+    until_now, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+
+    def any_of(condition: str, rows_between: tuple[int, int]) -> Column:
+        return F.coalesce(F.max(F.expr(condition)).over(epoch.rowsBetween(*rows_between)), F.lit(False))
+
+    # A disable after a true evaluation works; one before any evaluation works if the alert existed
+    # when the epoch began; one after a false evaluation finds nothing.
+    works, may_work = "action = 'DISABLE' AND _last_true", "action = 'DISABLE' AND NOT _evaluated"
+    known = rows.where("action IS NOT NULL").select(
+        *ALERT_KEYS, "_at", "action", "_evaluated", "_last_true",
+        any_of(works, until_now).alias("_disabled"), any_of(works, before).alias("_disabled_in"),
+        any_of(may_work, until_now).alias("_maybe"), any_of(may_work, before).alias("_maybe_in"),
+    )
+    # What an ended epoch says about the existence of the alert; NULL leaves it as it was.
+    ended = F.expr(
+        """CASE WHEN action = 'SNOOZE' THEN
+             CASE WHEN _disabled_in OR _last_true THEN true
+                  WHEN _evaluated AND NOT _maybe_in THEN false END
+           END"""
+    )
+    known = known.withColumn("_ended", ended).select(
+        *[F.col(c).alias(f"_of_{c}") for c in ALERT_KEYS],
+        F.col("_at").alias("_of_at"),
+        # a snooze begins an epoch without commands
+        F.expr("action = 'DISABLE' AND _disabled").alias("_disabled_in"),
+        F.expr("action = 'DISABLE' AND _maybe").alias("_maybe_in"),
+        F.last("_ended", ignorenulls=True).over(alert.rowsBetween(*until_now)).alias("_existed"),
+    )
+    same = F.col("_command") == F.col("_of_at")
+    for key in ALERT_KEYS:
+        same = same & (F.col(key) == F.col(f"_of_{key}"))
+    joined = rows.join(known, same, "left")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("_disabled_in", "_maybe_in")]
+    return joined.select(*rows.columns, *flags, "_existed")
+
+
 def follow_alerts(
     evaluations: DataFrame,
     commands: DataFrame,
     active: DataFrame | None = None,
     clock: str = "time",
-    group_rows: int | None = GROUP_ROWS,
     order: list[str] | None = None,
 ) -> DataFrame:
     """Every input of every alert with what it did: the base of history and current state.
@@ -207,7 +239,7 @@ def follow_alerts(
         sequence = rows.schema["sequence_id"].dataType.simpleString()
         rows = rows.unionByName(_from_state(active, sequence))
     rows = (
-        ordered_groups(rows, ALERT_KEYS, order, group_rows)
+        ordered_groups(rows, ALERT_KEYS, order)
         .with_columns(_at=F.struct(*order))
         .last_before(
             _snooze=F.expr("CASE WHEN action = 'SNOOZE' THEN struct(_at AS at, until) END"),
@@ -215,31 +247,13 @@ def follow_alerts(
                 "CASE WHEN triggered IS NOT NULL THEN struct(_at AS at, triggered, clock) END"
             ),
             _false=F.expr("CASE WHEN NOT triggered THEN struct(_at AS at) END"),
+            _command=F.expr("CASE WHEN action IS NOT NULL THEN _at END"),
         )
         .with_columns(_evaluated=_in_epoch("_eval"), _had_false=_in_epoch("_false"))
         .with_columns(_last_true=F.expr("_evaluated AND _eval.triggered"))
-        # A disable after a true evaluation works; one before any evaluation works if the alert
-        # existed when the epoch began; one after a false evaluation finds nothing.
-        .last_before(
-            _disabled=F.expr(
-                "CASE WHEN action = 'DISABLE' AND _last_true THEN struct(_at AS at) END"
-            ),
-            _maybe=F.expr(
-                "CASE WHEN action = 'DISABLE' AND NOT _evaluated THEN struct(_at AS at) END"
-            ),
-        )
-        .with_columns(_disabled_in=_in_epoch("_disabled"), _maybe_in=_in_epoch("_maybe"))
-        # What an ended epoch says about the existence of the alert; NULL leaves it as it was.
-        .last_before(
-            _existed=F.expr(
-                """CASE WHEN action = 'SNOOZE' THEN
-                     CASE WHEN _disabled_in OR _last_true THEN true
-                          WHEN _evaluated AND NOT _maybe_in THEN false END
-                   END"""
-            )
-        )
         .rows()
     )
+    rows = _after_commands(rows)
     rows = rows.withColumn("_existed", F.expr("coalesce(_existed, false)"))
     rows = rows.withColumns(
         {
@@ -271,10 +285,9 @@ def alert_history_with_commands(
     commands: DataFrame,
     active: DataFrame | None = None,
     clock: str = "time",
-    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Alert history under snooze and disable commands."""
-    followed = follow_alerts(evaluations, commands, active, clock, group_rows)
+    followed = follow_alerts(evaluations, commands, active, clock)
     return make_alert(followed.where(F.col("status").isNotNull()))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups
+from pulsegrid.operators.ordered_groups import ordered_groups
 from pulsegrid.operators.parse import error_class
 
 MINUTE = "1 minute"
@@ -255,14 +255,13 @@ def counter_rate(
     samples: DataFrame,
     series: list[str],
     length: str = MINUTE,
-    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Increase and rate per second of counters (``series..., ts, value``) in each window.
 
     A value below its predecessor means the counter was reset: the new value is the increase.
     The first sample of a series has no predecessor and adds nothing.
     """
-    follow = ordered_groups(samples, series, ["ts", "value"], group_rows)
+    follow = ordered_groups(samples, series, ["ts", "value"])
     previous = F.col("_previous")
     grown = F.when(F.col("value") < previous, F.col("value")).otherwise(F.col("value") - previous)
     return (

@@ -1,144 +1,79 @@
 """Running values within ordered groups, exact also when one group holds most of the rows.
 
-A window over a group runs in one task. That is fine for ordinary groups and fatal for a group
-with a third of all rows. Groups above a row limit are therefore cut into slices: their rows are
-sorted by (group, order) across the cluster, every partition of that sort is a slice, windows run
-per slice, and what a slice needs to know of the slices before it is one small row.
+A window over a group runs in one task. That is fine for ordinary groups and fatal for a group with a
+third of all rows. Every group is therefore cut into slices, and the slice is a function of the row: the
+span of time its first order column falls into. Windows run per group and slice. What a slice needs to
+know of the slices before it is one small row per slice; these rows are scanned per group and joined back.
+All groups take the same plan, whatever their sizes.
+
+The rows are shuffled once, by group and slice. Slice ends and windows both read that shuffle: every reader
+asks for all columns, so that Spark finds the shuffles equal and runs what made the rows only once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.session import shared_folder
-
-# Rows of one group that one task may sort and scan.
-GROUP_ROWS = 5_000_000
-# Hot groups told apart by a small list; beyond it, every group is sliced.
-HOT_LIST = 10_000
+#: Seconds of a slice. Shorter ones cut a hot group finer and make more slice rows of sparse groups.
+SLICE_SECONDS = 3600
 SLICE = "_slice"
+BEFORE_ALL = -(1 << 62)
 
 
 @dataclass(frozen=True)
 class OrderedGroups:
-    """Rows grouped by ``keys`` and ordered by ``order`` within a group."""
+    """Rows grouped by ``keys`` and ordered by ``order`` within a group; see ``ordered_groups``."""
 
     keys: list[str]
     order: list[str]
-    plain: DataFrame | None
-    sliced: DataFrame | None
-    steps: int = 0
+    df: DataFrame
 
     def last_before(self, **values: Column) -> OrderedGroups:
         """Add columns: the last non-NULL value strictly before the row, within its group."""
-        plain, sliced = self.plain, self.sliced
-        if plain is not None:
-            plain = plain.select("*", *self._running(self.keys, values))
-        if sliced is not None:
-            # Each step reads its rows twice. Steps on steps would double that every time, so
-            # what the earlier step made is written down first.
-            sliced = sliced.checkpoint() if self.steps else sliced
-            sliced = self._across_slices(sliced, values)
-        return replace(self, plain=plain, sliced=sliced, steps=self.steps + 1)
+        groups = [*self.keys, SLICE]
+        before = Window.partitionBy(*groups).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
+        local = self.df.select("*", *[F.last(v, ignorenulls=True).over(before).alias(n) for n, v in values.items()])
+        place = [F.col(c) for c in self.order]
+        newest = {n: F.max(F.when(v.isNotNull(), F.struct(*place, v.alias("v"))))["v"] for n, v in values.items()}
+        ends = self.df.groupBy(*groups).agg(*[v.alias(n) for n, v in newest.items()])
+        earlier = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        names = {n: f"_in_{n}" for n in values}
+        carried = ends.select(*groups, *[F.last(n, ignorenulls=True).over(earlier).alias(c) for n, c in names.items()])
+        joined = local.join(carried, groups, "left")
+        found = [F.coalesce(n, c).alias(n) for n, c in names.items()]
+        return replace(self, df=joined.select(*self.df.columns, *found))
 
     def with_columns(self, **columns: Column) -> OrderedGroups:
-        return self.transform(lambda df: df.withColumns(columns))
-
-    def transform(self, change) -> OrderedGroups:
-        """Apply a row-wise change to all rows."""
-        return replace(
-            self,
-            plain=None if self.plain is None else change(self.plain),
-            sliced=None if self.sliced is None else change(self.sliced),
-        )
+        return replace(self, df=self.df.withColumns(columns))
 
     def rows(self) -> DataFrame:
-        parts = [df for df in (self.plain, self.sliced) if df is not None]
-        return reduce(DataFrame.unionByName, [df.drop(SLICE) for df in parts])
-
-    def _running(self, groups: list[str], values: dict[str, Column]) -> list[Column]:
-        before = (
-            Window.partitionBy(*groups)
-            .orderBy(*self.order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return [F.last(v, ignorenulls=True).over(before).alias(n) for n, v in values.items()]
-
-    def _across_slices(self, df: DataFrame, values: dict[str, Column]) -> DataFrame:
-        groups = [*self.keys, SLICE]
-        place = [F.col(c) for c in self.order]
-        # One row per group and slice, combined before the shuffle.
-        ends = df.groupBy(*groups).agg(
-            *[
-                F.max(F.when(v.isNotNull(), F.struct(*place, v.alias("v"))))["v"].alias(n)
-                for n, v in values.items()
-            ]
-        )
-        earlier = (
-            Window.partitionBy(*self.keys)
-            .orderBy(SLICE)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = ends.select(
-            *groups, *[F.last(n, ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in values]
-        )
-        local = df.select("*", *[c for c in self._running(groups, values)])
-        joined = local.join(carried, groups, "left")
-        return joined.select(
-            *df.columns, *[F.coalesce(n, f"_in_{n}").alias(n) for n in values]
-        )
+        return self.df.drop(SLICE)
 
 
-def ordered_groups(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    group_rows: int | None = GROUP_ROWS,
-) -> OrderedGroups:
+def ordered_groups(df: DataFrame, keys: list[str], order: list[str], slice_seconds: int = SLICE_SECONDS) -> OrderedGroups:
     """Prepare running values over groups of ``df``.
 
-    The rows are first written to the shared folder, so whatever made them runs once. Then the group
-    sizes are counted (combined before the shuffle); groups above ``group_rows`` are sliced, all others
-    use plain windows. ``group_rows=None`` skips both where the caller knows that groups are small. ``keys`` must not be NULL, and ``order``
-    should be a total order within a group.
+    ``keys`` must not be NULL, and ``order`` should be a total order within a group. Its first column is
+    a timestamp; NULL comes first, in a slice of its own.
     """
-    if group_rows is None:
-        return OrderedGroups(keys, order, df, None)
-    spark = df.sparkSession
-    df = written_once(df)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > group_rows)
-        .select(*keys)
-        .limit(HOT_LIST + 1)
-        .collect()
-    )
-    if not hot:
-        return OrderedGroups(keys, order, df, None)
-    if len(hot) > HOT_LIST:
-        return OrderedGroups(keys, order, None, _slice(df, keys, order))
-    names = spark.createDataFrame(hot, df.select(*keys).schema)
-    # At most HOT_LIST rows, so the broadcast is bounded.
-    hot_rows = df.join(F.broadcast(names), keys, "left_semi")
-    cold_rows = df.join(F.broadcast(names), keys, "left_anti")
-    return OrderedGroups(keys, order, cold_rows, _slice(hot_rows, keys, order))
-
-
-def written_once(df: DataFrame) -> DataFrame:
-    """The same rows, kept on shared storage: later passes read them and not what made them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def _slice(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Number the partitions of a cluster-wide sort; kept on shared storage.
-
-    The numbers come from sampled bounds, so they are written down before anything relies on
-    them: a task repeated after a lost executor then sees the same slices.
+    span = F.floor(F.unix_seconds(order[0]) / slice_seconds).cast("long")
+    sliced = df.withColumn(SLICE, F.coalesce(span, F.lit(BEFORE_ALL)))
+    return OrderedGroups(keys, order, together(sliced.repartition(*keys, SLICE)))
+
+
+def together(df: DataFrame) -> DataFrame:
+    """The same rows; no reader of ``df`` lets Spark leave columns out of what lies below.
+
+    The condition is always true and ends at its first part; that part is not a function of the row, so
+    the condition stays where it is, above the shuffle.
     """
-    return written_once(df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()))
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    others = [F.col(f.name).isNull() for f in df.schema if f.name not in hashable]
+    named = F.hash(*hashable) == 0
+    for other in others:
+        named = named | other
+    return df.where((F.spark_partition_id() >= 0) | named)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.rules import rule_holds, rule_value
 from pulsegrid.functions.strict_json import as_number, as_text, members, parse_document
 from pulsegrid.operators.once import computed_once
-from pulsegrid.operators.ordered_groups import GROUP_ROWS, ordered_groups
 from pulsegrid.schemas import DEFAULT_RULE, RULES
 
 RULE_TYPE = RULES.simpleString()
-SPREAD_GROUPS = 4096
+#: Rule intervals of one user in one time bucket, about.
+INTERVALS = 16
 
 
 def default_rules() -> Column:
@@ -83,12 +83,46 @@ def rules_for_user(readings: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
+def rule_intervals(changes: DataFrame, at: str, tie: list[str], arrival: bool) -> DataFrame:
+    """When each rule list held: ``user_id, _buckets, _start, _width, _bucket, _from, _to, _rules``.
+
+    A user's changes are cut into about ``INTERVALS`` per bucket; an interval lies in every bucket it
+    touches. Bucket 0 begins with the user's first change (``_start``, microseconds), each lasts ``_width``
+    and the last one has no end. ``_from`` and ``_to`` are times, or with ``arrival`` places of messages.
+    """
+    place = F.struct(at, *tie) if arrival else F.struct(at)
+    by_place = Window.partitionBy("user_id").orderBy(at, *tie)
+    micros = F.unix_micros(at)
+    first, last = F.min(micros).over(all_of := Window.partitionBy("user_id")), F.max(micros).over(all_of)
+    cut = F.ceil(F.count(F.lit(1)).over(all_of) / INTERVALS).cast("long")
+    rows = changes.select("user_id", at, *tie, "rules").select(
+        "user_id",
+        F.coalesce(micros, first).alias("_micros"),
+        F.coalesce(first, F.lit(0)).alias("_start"),
+        # a change before all times has no time of its own: its user's buckets begin with the others
+        F.ceil((F.coalesce(last, F.lit(0)) - F.coalesce(first, F.lit(0)) + 1) / cut).cast("long").alias("_width"),
+        cut.alias("_buckets"),
+        place.alias("_from"),
+        F.lead(place).over(by_place).alias("_to"),
+        F.lead(micros).over(by_place).alias("_next"),
+        F.col("rules").alias("_rules"),
+    )
+    rows = rows.where("_to IS NULL OR _from < _to")
+    one, two = _bucket(F.coalesce("_micros", "_start")), F.coalesce(_bucket(F.col("_next")), F.col("_buckets") - 1)
+    return rows.select("user_id", "_buckets", "_start", "_width", F.explode(F.sequence(one, two)).alias("_bucket"), "_from", "_to", "_rules")
+
+
+def _bucket(micros: Column) -> Column:
+    """Bucket of a time among those of a user."""
+    number = F.floor((micros - F.col("_start")) / F.col("_width")).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(number, F.col("_buckets") - 1))
+
+
 def rules_as_of(
     readings: DataFrame,
     changes: DataFrame,
     at: str = "time",
     tie: tuple[str, ...] = ("sequence_id",),
-    group_rows: int | None = GROUP_ROWS,
     arrival: bool = False,
 ) -> DataFrame:
     """Add ``rules`` as they stood when the reading came: a change affects later rows only.
@@ -96,37 +130,28 @@ def rules_as_of(
     ``changes`` has ``user_id, rules, <at>`` and may carry the ``tie`` columns; a change at the
     very time of a reading counts for it, unless ``arrival`` says that ``tie`` orders all messages:
     then only a change before the reading does. Users without an earlier change get the default rule.
+
+    Readings are not ordered and not written down. They learn their user's buckets, a row per user, and
+    meet the few intervals of their bucket. Both are equi-joins, so Spark may broadcast a small side and
+    split a user with most of the readings.
     """
-    # Readings of no user have no rules to look up: they go through in many small groups.
-    spread = F.concat(
-        F.lit("\0"), F.pmod(F.xxhash64(at, *tie), F.lit(SPREAD_GROUPS)).cast("string")
-    )
-    as_readings = readings.withColumns(
-        {
-            "_group": F.coalesce("rule_user", spread),
-            "_kind": F.lit(1),
-            "_change": F.lit(None).cast(RULE_TYPE),
-        }
-    )
-    order = [at, *[c for c in tie if c in changes.columns]]
-    as_rows = changes.select(
-        *order,
-        F.col("user_id").alias("_group"),
-        F.lit(0).alias("_kind"),
-        F.col("rules").alias("_change"),
+    ties = [c for c in tie if c in changes.columns]
+    intervals = rule_intervals(changes, at, ties, arrival)
+    cuts = intervals.select("user_id", "_buckets", "_start", "_width").distinct()
+    # readings of no user meet nothing, each under a key of its own
+    nobody = F.concat(F.lit("\0"), F.xxhash64(at, *tie).cast("string"))
+    keyed = readings.withColumn("_user", F.coalesce("rule_user", nobody))
+    known = keyed.join(cuts.withColumnRenamed("user_id", "_user"), "_user", "left")
+    placed = known.withColumn("_bucket", F.coalesce(_bucket(F.unix_micros(at)), F.lit(0).cast("long")))
+    here = F.struct(at, *ties) if arrival else F.struct(at)
+    listed = intervals.select(
+        F.col("user_id").alias("_of_user"), F.col("_bucket").alias("_of_bucket"), "_from", "_to", "_rules"
     )
-    followed = ordered_groups(
-        as_readings.unionByName(as_rows, allowMissingColumns=True),
-        ["_group"],
-        [at, *tie, "_kind"] if arrival else [at, "_kind", *tie],
-        group_rows,
-    ).last_before(_rules=F.col("_change"))
+    held = (here >= F.col("_from")) & (F.col("_to").isNull() | (here < F.col("_to")))
+    same = (F.col("_user") == F.col("_of_user")) & (F.col("_bucket") == F.col("_of_bucket"))
+    found = placed.join(listed, same & held, "left")
     rules = F.when(F.col("rule_user").isNotNull(), F.coalesce("_rules", default_rules()))
-    return (
-        followed.rows()
-        .where(F.col("_kind") == 1)
-        .select(*readings.columns, rules.alias("rules"))
-    )
+    return found.select(*readings.columns, rules.alias("rules"))
 
 
 def explode_rules(readings: DataFrame) -> DataFrame:

@@ -388,11 +388,50 @@ def access_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return general.unionByName(own)
 
 
+def hot_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as readings; a third of them belongs to one device."""
+    hot = F.col("l_orderkey") % 3 == 0
+    user = F.when(hot, "hot").otherwise(F.concat(F.lit("user_"), F.col("l_suppkey") % 7))
+    device = F.when(hot, "hot").otherwise((F.col("l_partkey") % 50).cast("string"))
+    return _line_items(table(spark, sf_dir, "lineitem"), user, device)
+
+
+def hot_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as readings and orders as rule changes; one user has a third of both."""
+
+    def user(number, other):
+        return F.when(F.col(number) % 3 == 0, "hot").otherwise(F.concat(F.lit("user_"), F.col(other) % 7))
+
+    readings = table(spark, sf_dir, "lineitem").select(
+        user("l_orderkey", "l_suppkey").alias("rule_user"),
+        F.col("l_shipdate").cast("timestamp").alias("time"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sequence_id"),
+    )
+    rule = F.struct(
+        F.lit("temperature").alias("key"),
+        F.lit(">").alias("operator"),
+        F.col("o_totalprice").cast("double").alias("threshold"),
+        F.lit("m").alias("message"),
+    )
+    changes = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 7 != 5).select(
+        user("o_orderkey", "o_custkey").alias("user_id"),
+        F.col("o_orderdate").cast("timestamp").alias("time"),
+        F.col("o_orderkey").cast("long").alias("sequence_id"),
+        F.array(rule).alias("rules"),
+    )
+    return readings, changes
+
+
 def lineitem_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger input for timing: line items as readings of (supplier, part)."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("user_"), F.col("l_suppkey").cast("string")).alias("user_id"),
-        F.col("l_partkey").cast("string").alias("device_id"),
+    user = F.concat(F.lit("user_"), F.col("l_suppkey").cast("string"))
+    return _line_items(table(spark, sf_dir, "lineitem"), user, F.col("l_partkey").cast("string"))
+
+
+def _line_items(rows: DataFrame, user: Column, device: Column) -> DataFrame:
+    return rows.select(
+        user.alias("user_id"),
+        device.alias("device_id"),
         F.lit("temperature").alias("rule_id"),
         F.lit(0).alias("pos"),
         F.col("l_shipdate").cast("timestamp").alias("time"),

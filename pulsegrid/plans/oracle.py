@@ -424,6 +424,28 @@ def oracles() -> dict[str, str]:
         "active_alerts_with_commands": f"{machine} {STATE_OF_STEPS}",
         "alert_stream": f"{live} {HISTORY_OF_STEPS}",
         "alert_stream_ties": f"{ties} {HISTORY_OF_STEPS}",
+        "alert_transitions_hot_key": """
+            WITH e AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'user_' || (l_suppkey % 7) END AS user_id,
+                CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE CAST(l_partkey % 50 AS VARCHAR) END AS device_id,
+                l_quantity > 25 AS high FROM lineitem),
+            p AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY user_id, device_id
+                ORDER BY l_shipdate, l_orderkey * 8 + l_linenumber, l_quantity), false) AS was FROM e)
+            SELECT CAST(l_shipdate AS TIMESTAMP) AS event_time, user_id, device_id, 'temperature' AS rule_id,
+                'Rule:temperature' AS alert_type,
+                CASE WHEN high THEN 'Large quantity' ELSE 'Alert Resolved' END AS message,
+                CASE WHEN high THEN CAST(l_quantity AS DOUBLE) END AS value,
+                CASE WHEN high THEN 'Triggered' ELSE 'Resolved' END AS status
+            FROM p WHERE high <> was""",
+        "rules_as_of_hot_user": """
+            WITH r AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'user_' || (l_suppkey % 7) END AS u,
+                    CAST(l_shipdate AS TIMESTAMP) AS t, 1 AS kind, l_orderkey * 8 + l_linenumber AS seq,
+                    CAST(NULL AS DOUBLE) AS threshold FROM lineitem
+                UNION ALL SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE 'user_' || (o_custkey % 7) END,
+                    CAST(o_orderdate AS TIMESTAMP), 0, o_orderkey, CAST(o_totalprice AS DOUBLE)
+                    FROM orders WHERE o_custkey % 7 <> 5),
+            f AS (SELECT *, last_value(threshold IGNORE NULLS) OVER (PARTITION BY u ORDER BY t, kind, seq
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM r)
+            SELECT seq AS sequence_id, u AS user_id, coalesce(held, 80.0) AS threshold FROM f WHERE kind = 1""",
         "alert_stream_keyed": f"{ties} {HISTORY_OF_STEPS}",
         "alert_stream_keyed_new_checkpoint": f"{live} {HISTORY_OF_STEPS}",
         "alert_stream_keyed_state": f"{live} {STATE_OF_STEPS}",

@@ -427,6 +427,13 @@ def rules_as_of(spark, sf_dir):
     )
 
 
+@query
+def rules_as_of_hot_user(spark, sf_dir):
+    ruled = rules.rules_as_of(*fx.hot_rules(spark, sf_dir))
+    threshold = F.get("rules", F.lit(0))["threshold"].alias("threshold")
+    return ruled.select("sequence_id", F.col("rule_user").alias("user_id"), threshold)
+
+
 @query
 def explode_rules(spark, sf_dir):
     ruled = rules.rules_for_user(fx.accepted(spark, sf_dir), first_configs(spark, sf_dir))
@@ -462,6 +469,12 @@ def alert_transitions(spark, sf_dir):
     return alerts.alert_transitions(evaluations(spark, sf_dir))
 
 
+@query
+def alert_transitions_hot_key(spark, sf_dir):
+    # line items of one number and day differ by quantity
+    return alerts.alert_transitions(fx.hot_evaluations(spark, sf_dir), ["time", "sequence_id", "value"])
+
+
 @query
 def alert_transitions_dynamic_rules(spark, sf_dir):
     ruled = rules.rules_as_of(fx.accepted(spark, sf_dir), config_changes(spark, sf_dir))

@@ -21,7 +21,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsegrid.functions.topics import control_route
 from pulsegrid.operators import alerts, control, dead_letter, metrics, parse, rules, storing
 from pulsegrid.operators.envelope import decode_envelope, skipped_messages
-from pulsegrid.operators.ordered_groups import GROUP_ROWS
 from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES
 from pulsegrid.session import configure
 from pulsegrid.sources.tables import BATCH_COLUMNS, Snapshots, append_batch, query_id, write_telemetry
@@ -182,7 +181,6 @@ def start_alerts(
             updates = control.parse_config_update(decoded).where(F.col("error").isNull())
             updates = updates.select("user_id", "rules", "timestamp", "sequence_id")
             changed = configs.touched(updates)
-            few_messages = decoded.count() <= GROUP_ROWS
             commands = control.parse_command(decoded).where(F.col("error").isNull())
             telemetry = decoded.where(F.col("route").isNull()).withColumnRenamed("sequence_id", "place")
             readings = parse.parse_telemetry(telemetry).where(F.col("error").isNull()).select(
@@ -197,13 +195,10 @@ def start_alerts(
                 F.col("place").alias("sequence_id"),
             )
             if changed:
-                ruled = _rules_in_batch(
-                    readings, known_rules, updates, None if few_messages else GROUP_ROWS
-                )
+                ruled = _rules_in_batch(readings, known_rules, updates)
             else:
                 ruled = rules.rules_for_user(readings, known_rules)
             with _kept(rules.evaluate_rules(ruled, carry=("timestamp",))) as evaluated:
-                few_inputs = few_messages and evaluated.count() <= GROUP_ROWS
                 keys = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
                 keys = keys.distinct()
                 buckets = active.touched(keys)
@@ -213,8 +208,6 @@ def start_alerts(
                     commands,
                     known_alerts.join(keys, ALERT_KEYS, "left_semi"),
                     clock="timestamp",
-                    # A small batch has no large group; else the groups are counted.
-                    group_rows=None if few_inputs else GROUP_ROWS,
                     order=alerts.ARRIVAL_ORDER,
                 )
                 with _kept(followed) as followed:
@@ -237,9 +230,7 @@ def start_alerts(
     return start(messages, batch, store.checkpoint("alerts"), trigger)
 
 
-def _rules_in_batch(
-    readings: DataFrame, known: DataFrame, updates: DataFrame, group_rows: int | None
-) -> DataFrame:
+def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
     """Rules per reading: those known before the batch, then the updates within it."""
     users = readings.select(F.col("rule_user").alias("user_id")).distinct()
     earlier = known.join(users, "user_id", "left_semi").select(
@@ -249,7 +240,7 @@ def _rules_in_batch(
         F.lit(None).cast(SEQUENCE).alias("sequence_id"),
     )
     changes = earlier.unionByName(updates)
-    return rules.rules_as_of(readings, changes, at="timestamp", group_rows=group_rows, arrival=True)
+    return rules.rules_as_of(readings, changes, at="timestamp", arrival=True)
 
 
 def _arrived(messages: DataFrame, delay: str) -> DataFrame:

@@ -148,21 +148,20 @@ def test_every_state_with_every_input(spark):
 
 
 def test_hot_groups_give_the_same(spark, sequences):
-    """Groups cut into slices across the cluster, with one group holding most rows."""
+    """One group holds most rows, over many slices."""
     rng = random.Random(3)
     skewed = dict(list(sequences.items())[:30])
     skewed["hot"] = random_inputs(rng, 4000)
     evaluations, commands = frames(spark, skewed)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        followed = alerts.follow_alerts(evaluations, commands, group_rows=20)
+        followed = alerts.follow_alerts(evaluations, commands)
         history, states = expected(skewed)
         got = alerts.make_alert(followed.where("status IS NOT NULL"))
         assert history_rows(got) == history
         assert state_rows(alerts.alert_state_after(followed)) == states
-        plain = alerts.alert_transitions(evaluations, group_rows=None)
-        sliced = alerts.alert_transitions(evaluations, group_rows=20)
-        assert history_rows(plain) == history_rows(sliced)
+        nothing = alerts.alert_history_with_commands(evaluations, commands.where("false"))
+        assert history_rows(alerts.alert_transitions(evaluations)) == history_rows(nothing)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
@@ -197,9 +196,8 @@ def test_published_messages(spark):
     assert '"alert_type":"Rule:temperature"' in row.value and '"value":60.0' in row.value
 
 
-@pytest.mark.parametrize("group_rows", [10**6, 20])
-def test_the_input_is_read_once(spark, group_rows):
-    """Also with a hot group; counted while the rows are made."""
+def test_the_input_is_read_once(spark):
+    """Slice ends and windows share one shuffle; rows are counted while they are made."""
     made = spark.sparkContext.accumulator(0)
 
     def passing(frames):
@@ -212,8 +210,8 @@ def test_the_input_is_read_once(spark, group_rows):
         "timestamp_seconds(id) AS time", "id AS sequence_id", "1D AS value", "'m' AS message", "id % 3 = 0 AS triggered",
     )
     counted = plain.mapInPandas(passing, plain.schema)
-    found = alerts.alert_transitions(counted, group_rows=group_rows).count()
-    assert made.value == 300 and found == alerts.alert_transitions(plain, group_rows=None).count()
+    found = alerts.alert_transitions(counted).count()
+    assert made.value == 300 and found == alerts.alert_transitions(plain).count()
     made.value = 0
     assert alerts.active_alerts_asof(counted).count() == alerts.active_alerts_asof(plain).count()
     assert made.value == 300

@@ -108,10 +108,8 @@ def test_values_of_extras(spark):
     assert row.user_id == "u" and "user_id" in row.k
 
 
-@pytest.mark.parametrize("group_rows", [None, 5])
-def test_rules_as_of(spark, group_rows):
+def test_rules_as_of(spark):
     """A change holds from its own time on; also when one user has all the rows."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows = readings(
         spark,
         [("users/u/t", payload(i, temperature=i)) for i in range(40)] + [("x", payload(3))],
@@ -124,8 +122,7 @@ def test_rules_as_of(spark, group_rows):
             "*", F.lit(T0 + timedelta(seconds=30)).alias("time"), F.lit(1).alias("sequence_id")
         )
     )
-    got = rules.rules_as_of(rows, changes, group_rows=group_rows).collect()
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = rules.rules_as_of(rows, changes).collect()
     assert len(got) == 41
     for r in got:
         if r.user_id == "unknown":

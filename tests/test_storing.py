@@ -1,10 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import access, storing
-from pulsegrid.operators.ordered_groups import ordered_groups
+from pulsegrid.operators.ordered_groups import ordered_groups, together
 from pulsegrid.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -100,27 +101,35 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_running_values_in_slices_equal_plain_windows(spark):
-    """One group with most rows, some at the very same time; NULL values in between."""
+    """One group with most rows, some at the very same time or at none; NULL values in between."""
     rng = random.Random(1)
     rows = [
-        (rng.choice(["hot"] * 8 + ["a", "b", "c"]), rng.choice([0, 1, rng.randint(0, 50)]), i,
+        (rng.choice(["hot"] * 8 + ["a", "b", "c"]), rng.choice([None, 0, 1, rng.randint(-20, 50)]), i,
          rng.choice([None, float(i)]))
         for i in range(6000)
     ]
-    df = spark.createDataFrame(rows, "k string, t int, n int, v double").repartition(5)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        plain = ordered_groups(df, ["k"], ["t", "n"], None).last_before(p=F.col("v"))
-        cut = ordered_groups(df, ["k"], ["t", "n"], 1000)
-        assert cut.sliced is not None and cut.plain is not None
-        assert cut.sliced.select("_slice").distinct().count() > 2
-        assert {r.k for r in cut.sliced.select("k").distinct().collect()} == {"hot"}
-        twice = cut.last_before(p=F.col("v")).last_before(q=F.col("p"))
-        want = plain.last_before(q=F.col("p")).rows()
-        key = lambda r: r.n
-        assert sorted(twice.rows().collect(), key=key) == sorted(want.collect(), key=key)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    df = spark.createDataFrame(rows, "k string, s int, n int, v double").repartition(5)
+    df = df.withColumn("t", F.timestamp_seconds("s"))
+    before = Window.partitionBy("k").orderBy("t", "n").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("p", F.last("v", ignorenulls=True).over(before))
+    want = want.withColumn("q", F.last("p", ignorenulls=True).over(before))
+    cut = ordered_groups(df, ["k"], ["t", "n"], slice_seconds=7)
+    assert cut.df.where("k = 'hot'").select("_slice").distinct().count() > 8
+    twice = cut.last_before(p=F.col("v")).last_before(q=F.col("p")).rows()
+    key = lambda r: r.n
+    assert sorted(twice.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_rows_stay_together(spark):
+    """Columns that nobody asks for are still shuffled, so that two readers share one shuffle."""
+    df = spark.range(50).selectExpr("id", "id % 3 AS k", "map(id, id) AS m", "parse_json('1') AS v", "if(id > 3, id, NULL) AS n")
+    kept = together(df.repartition(4, "k"))
+    assert kept.count() == 50 and kept.columns == df.columns
+    both = kept.select("k", "id").join(kept.groupBy("k").count(), "k")
+    assert both.count() == 50
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
 
 
 def test_access(spark):
