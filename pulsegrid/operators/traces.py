@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.trace import trace_context
+from pulsegrid.operators.quantiles import summary
+
+SHARES = {"p50": 0.5, "p95": 0.95}
 
 
 def extract_traceparent(decoded: DataFrame) -> DataFrame:
@@ -73,67 +76,12 @@ def to_otlp_spans(wrapped: DataFrame, start: Column | None = None) -> DataFrame:
 def ingress_latency(
     rows: DataFrame, received: Column, sent_ms: Column, groups: list[str]
 ) -> DataFrame:
-    """Milliseconds from ``ingest_timestamp`` to receipt: count, average, median, p95, extremes.
-
-    Equal latencies are counted first, so later steps see distinct values, not rows.
-    """
+    """Milliseconds from ``ingest_timestamp`` to receipt: count, average, median, p95, extremes."""
     latency = (F.unix_millis(received) - sent_ms).alias("latency_ms")
-    counted = (
-        rows.select(*groups, latency)
-        .where(F.col("latency_ms").isNotNull())
-        .groupBy(*groups, "latency_ms")
-        .agg(F.count("*").alias("_n"))
-    )
-    return _summary(counted, "latency_ms", groups)
-
-
-def _join_groups(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
-    """Inner join on the group columns in which NULLs meet."""
-    renamed = right.withColumnsRenamed({g: f"_right_{g}" for g in groups})
-    on = [F.col(g).eqNullSafe(F.col(f"_right_{g}")) for g in groups]
-    return left.join(renamed, on).drop(*[f"_right_{g}" for g in groups])
-
-
-def _summary(counted: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Statistics of counted values (``_n`` times each) per group; NULL is a group like others.
-
-    Percentiles interpolate linearly. They come from running counts over the sorted distinct
-    values, which spill to disk where there are very many, rather than from one collection in
-    memory per group.
-    """
-    totals = counted.groupBy(*groups).agg(
-        F.sum("_n").alias("n"),
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.min(value).alias("lowest"),
-        F.max(value).alias("highest"),
-    )
-    running = Window.partitionBy(*groups).orderBy(value)
-    up_to = counted.withColumn("_upto", F.sum("_n").over(running))
-    placed = _join_groups(up_to, totals.select(*groups, F.col("n").alias("_all")), groups)
-
-    def at(share: float, rounding) -> Column:
-        place = rounding(F.lit(share) * (F.col("_all") - 1))
-        return F.min(F.when(F.col("_upto") > place, F.col(value)))
-
-    def percentile(share: float) -> Column:
-        exact = F.max(F.lit(share) * (F.col("_all") - 1))
-        low, high = at(share, F.floor), at(share, F.ceil)
-        return low + (high - low) * (exact - F.floor(exact))
-
-    shares = placed.groupBy(*groups).agg(
-        percentile(0.5).alias("p50"), percentile(0.95).alias("p95")
-    )
-    return _join_groups(totals, shares, groups).select(
-        *groups, "n", "mean", "p50", "p95", "lowest", "highest"
-    )
+    return summary(rows.select(*groups, latency), "latency_ms", groups, SHARES)
 
 
 def payload_size_stats(decoded: DataFrame) -> DataFrame:
     """Payload bytes per topic: count, average, median, p95, minimum and maximum."""
-    counted = (
-        decoded.where(F.col("skip_reason").isNull())
-        .select("topic", F.octet_length("payload").alias("bytes"))
-        .groupBy("topic", "bytes")
-        .agg(F.count("*").alias("_n"))
-    )
-    return _summary(counted, "bytes", ["topic"])
+    sizes = decoded.where(F.col("skip_reason").isNull()).select("topic", F.octet_length("payload").alias("bytes"))
+    return summary(sizes, "bytes", ["topic"], SHARES)
