@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ordered_groups import ordered_groups
+from pulsegrid.operators.quantiles import null_safe_join
 from pulsegrid.operators.parse import error_class
 
 MINUTE = "1 minute"
@@ -281,13 +282,10 @@ def counter_rate(
 
 
 def gauge_last(samples: DataFrame, series: list[str]) -> DataFrame:
-    """Newest sample of every series."""
-    newest = F.max(F.struct("ts", "value"))
-    return (
-        samples.groupBy(*series)
-        .agg(newest.alias("_last"))
-        .select(*series, F.col("_last.ts").alias("ts"), F.col("_last.value").alias("value"))
-    )
+    """Newest sample of every series; of several at its time, the highest value. NULL is a series too."""
+    newest = samples.groupBy(*series).agg(F.max("ts").alias("ts"))
+    last = null_safe_join(samples.select(*series, "ts", "value"), newest, [*series, "ts"])
+    return last.groupBy(*series, "ts").agg(F.max("value").alias("value"))
 
 
 def status_map(gauges: DataFrame, names: dict[float, str] | None = None) -> DataFrame:

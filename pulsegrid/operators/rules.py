@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.rules import rule_holds, rule_value
 from pulsegrid.functions.strict_json import as_number, as_text, members, parse_document
 from pulsegrid.operators.once import computed_once
+from pulsegrid.operators.storing import latest_by_key
 from pulsegrid.schemas import DEFAULT_RULE, RULES
 
 RULE_TYPE = RULES.simpleString()
@@ -57,15 +58,12 @@ def upsert_config(
 ) -> DataFrame:
     """New ``user_id, rules`` snapshot: per user the last update wins over what is stored.
 
-    ``order`` names the columns that order the updates. Only the newest row of a user survives
-    the map side of the aggregation, so a user with very many updates costs no more.
+    ``order`` names the columns that order the updates totally. What is stored stays where no update
+    of the user comes; an anti join and a union, so a user with very many updates costs no more.
     """
-    never = [F.lit(None).cast(updates.schema[c].dataType).alias(c) for c in order]
-    everything = stored.select("user_id", "rules", F.lit(0).alias("_new"), *never).unionByName(
-        updates.select("user_id", "rules", F.lit(1).alias("_new"), *order)
-    )
-    newest = F.max_by("rules", F.struct("_new", *order))
-    return everything.groupBy("user_id").agg(newest.alias("rules"))
+    newest = latest_by_key(updates.select("user_id", "rules", *order), ["user_id"], order).select("user_id", "rules")
+    kept = stored.select("user_id", "rules").join(newest.select("user_id"), "user_id", "left_anti")
+    return kept.unionByName(newest)
 
 
 def rules_for_user(readings: DataFrame, configs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ordered_groups import together
 from pulsegrid.schemas import TELEMETRY
 
 KEY = list(TELEMETRY.key)
@@ -12,22 +15,67 @@ ARRIVAL = ["partition", "offset"]
 STORED = [*KEY, "temperature", "battery", "extra_data"]
 
 
+#: Bits of a whole number of each type in a packed place, and what is added to make it positive.
+PACKED_BITS = {"int": (32, 1 << 31), "bigint": (64, 1 << 63), "timestamp": (60, 1 << 59)}
+
+
+def packed(rows: DataFrame, columns: list[str]) -> Column | None:
+    """The columns, most significant first, as one number that orders like them; NULL where one is NULL.
+
+    A number can be compared and kept by a hash aggregation, a struct cannot. None where the columns are
+    of other types or too wide for 38 digits.
+    """
+    kinds = [rows.schema[c].dataType.simpleString() for c in columns]
+    if any(k not in PACKED_BITS for k in kinds) or sum(PACKED_BITS[k][0] for k in kinds) > 126:
+        return None
+    place = F.lit(0).cast("decimal(38,0)")
+    for name, kind in zip(columns, kinds, strict=True):
+        bits, shift = PACKED_BITS[kind]
+        number = F.unix_micros(name) if kind == "timestamp" else F.col(name)
+        scaled = (place * _whole(1 << bits)).cast("decimal(38,0)")
+        place = (scaled + number.cast("decimal(20,0)") + _whole(shift)).cast("decimal(38,0)")
+    return place
+
+
+def _whole(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(20,0)")
+
+
+def _winners(rows: DataFrame, key: list[str], place: Column, pick: Callable[[str], Column]) -> DataFrame:
+    """The row of the picked place of each key, in two steps.
+
+    The places are aggregated by hash, combined before the shuffle; then the rows are matched with the
+    picked places. Rows are spread by place, so copies of one key never meet in one task. The hash of
+    the key guards against two keys with the same place.
+    """
+    names = {"_place": place, "_hash": F.xxhash64(*key)}
+    spread = together(rows.withColumns(names).repartition(*names))
+    picked = spread.groupBy(*key).agg(pick("_place").alias("_place"))
+    picked = picked.select("_place", F.xxhash64(*key).alias("_hash"))
+    return spread.join(picked, list(names), "left_semi").select(*rows.columns)
+
+
 def dedupe_first_wins(
     rows: DataFrame, key: list[str] | None = None, arrival: list[str] | None = None
 ) -> DataFrame:
     """One row per key: the first to arrive.
 
-    An aggregation, not a ranking: copies are dropped before the shuffle, so a group of copies of
-    any size stays cheap. ``arrival`` must order the rows of a key totally.
+    ``arrival`` orders the rows of a key totally and is never NULL. Where its columns fit into one
+    number, this is a hash aggregation and a semi join; else the whole rows are aggregated by sorting.
+    Either way copies are combined before the shuffle of keys.
     """
     key, arrival = key or KEY, arrival or ARRIVAL
+    place = packed(rows, arrival)
+    if place is not None:
+        return _winners(rows, key, place, F.min)
+    return _picked_rows(rows, key, F.min_by, [F.col(c) for c in arrival])
+
+
+def _picked_rows(rows: DataFrame, key: list[str], pick: Callable[[Column, Column], Column], order: list[Column]) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*arrival))
-    return (
-        rows.groupBy(*key)
-        .agg(first.alias("_first"))
-        .select(*[c if c in key else F.col(f"_first.{c}").alias(c) for c in rows.columns])
-    )
+    picked = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    found = rows.groupBy(*key).agg(picked)
+    return found.select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def anti_join_existing(
@@ -82,12 +130,9 @@ def touched(stored: DataFrame, rows: DataFrame, dates: list | None, column: str
     return stored.join(rows.select(column).distinct(), column, "left_semi")
 
 
-def latest_by_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Newest row per key."""
-    rest = [c for c in rows.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct(*order))
-    return (
-        rows.groupBy(*key)
-        .agg(newest.alias("_new"))
-        .select(*[c if c in key else F.col(f"_new.{c}").alias(c) for c in rows.columns])
-    )
+def latest_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Newest row per key. ``order`` orders the rows of a key totally; see ``dedupe_first_wins``."""
+    place = packed(rows, order)
+    if place is not None:
+        return _winners(rows, key, place, F.max)
+    return _picked_rows(rows, key, F.max_by, [F.col(c) for c in order])

@@ -272,7 +272,7 @@ def start_message_rate(
 def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
     """Newest count of every window."""
     rows = spark.read.parquet(store.measure("message_rate"))
-    newest = storing.latest_by_key(rows, ["window_start"], [F.col("written_at"), F.col("batch_id")])
+    newest = storing.latest_by_key(rows, ["window_start"], ["written_at", "batch_id"])
     return newest.drop(*BATCH_COLUMNS)
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import access, storing
+from pulsegrid.operators import access, rules, storing
 from pulsegrid.operators.ordered_groups import ordered_groups, together
 from pulsegrid.sources import tables
 
@@ -159,3 +159,52 @@ def test_access(spark):
     assert len(got) == 2 * len(log)
     for r in got:
         assert r.allowed == r.want, r
+
+
+def test_packed_places_order_like_their_columns(spark):
+    rnd = random.Random(4)
+    far = [-(2**63), 2**63 - 1, -1, 0, 1]
+    rows = [(rnd.choice([-(2**31), 2**31 - 1, -1, 0, 3]), rnd.choice(far + [rnd.getrandbits(62)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p int, o bigint")
+    got = df.select("p", "o", storing.packed(df, ["p", "o"]).alias("n")).collect()
+    assert [(r.p, r.o) for r in sorted(got, key=lambda r: r.n)] == sorted((r.p, r.o) for r in got)
+    assert len({r.n for r in got}) == len(set(rows))
+    times = spark.createDataFrame([(datetime(y, 1, 1), y) for y in (1, 1969, 1970, 2024, 9999)], "t timestamp, y bigint")
+    numbers = [r.n for r in times.select(storing.packed(times, ["t", "y"]).alias("n"), "y").orderBy("y").collect()]
+    assert numbers == sorted(numbers)
+    assert storing.packed(times, ["t", "y", "y"]) is None
+    assert storing.packed(spark.range(1).selectExpr("'a' AS s"), ["s"]) is None
+
+
+def test_firsts_of_hot_copies_and_of_keys_with_equal_places(spark):
+    rnd = random.Random(5)
+    rows = [("hot", 1, i % 4, 1000 - i, i) for i in range(900)]
+    rows += [(rnd.choice(["a", "b", None]), rnd.randint(0, 20), 0, i % 40, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, partition int, offset bigint, v int").dropDuplicates(["k", "t", "partition", "offset"])
+    first, last = {}, {}
+    for r in df.collect():
+        place = (r.partition, r.offset)
+        first[r.k, r.t] = min(first.get((r.k, r.t), (place, r.v)), (place, r.v))
+        last[r.k, r.t] = max(last.get((r.k, r.t), (place, r.v)), (place, r.v))
+    found = storing.dedupe_first_wins(df, ["k", "t"])
+    assert found.columns == df.columns
+    assert {(r.k, r.t): ((r.partition, r.offset), r.v) for r in found.collect()} == first and found.count() == len(first)
+    newest = storing.latest_by_key(df, ["k", "t"], ["partition", "offset"])
+    assert {(r.k, r.t): ((r.partition, r.offset), r.v) for r in newest.collect()} == last and newest.count() == len(last)
+    for plan in (found, newest):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    # an order that fits no number goes the other way
+    named = df.withColumn("offset", F.format_string("%012d", "offset"))
+    again = storing.dedupe_first_wins(named, ["k", "t"])
+    assert {(r.k, r.t): r.v for r in again.collect()} == {key: v for key, (_, v) in first.items()}
+
+
+def test_the_newest_update_replaces_what_is_stored(spark):
+    kind = "user_id string, rules array<struct<key:string,operator:string,threshold:double,message:string>>"
+    one, two, three = ([("t", ">", x, "m")] for x in (1.0, 2.0, 3.0))
+    stored = spark.createDataFrame([("a", one), ("b", one)], kind)
+    updates = spark.createDataFrame([("a", two, 5), ("a", three, 4), ("c", one, 1)], kind + ", at bigint")
+    got = {r.user_id: r.rules[0].threshold for r in rules.upsert_config(stored, updates, ["at"]).collect()}
+    assert got == {"a": 2.0, "b": 1.0, "c": 1.0}
+    plan = rules.upsert_config(stored, updates, ["at"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
