@@ -153,7 +153,8 @@ def search(coded: DataFrame, every: int = 20, k: int = 20, bits: int = 256) -> D
                 names = left.column("q_vec_id").to_numpy()[at : at + 256]
                 for i in range(len(some)):
                     hits = np.flatnonzero(near[i])
-                    score = x[hits] @ some[i]
+                    # a matrix product rounds by row position; equal vectors need equal scores, to the last bit
+                    score = (x[hits] * some[i]).sum(axis=1)
                     order = np.lexsort((ids[hits], -score))[:k]
                     n = len(order)
                     parts.append((np.full(n, me[i]), np.full(n, names[i]), ids[hits][order], score[order]))

@@ -49,3 +49,32 @@ def test_search_of_nothing(spark):
     assert one_bit.search(one_bit.index(spark.createDataFrame([], VECTORS))).count() == 0
     one = spark.createDataFrame([(20, [1.0, 2.0], 0)], VECTORS)
     assert one_bit.search(one_bit.index(one)).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 64])
+def test_copies_tie_by_vec_id(spark, size):
+    """Whole lists, in which copies of a few vectors fill most places."""
+    rnd = np.random.default_rng(size)
+    base = rnd.standard_normal((9, size))
+    names = rnd.permutation(400)
+    rows = [(int(i), base[int(i) % 9 if i % 4 else 0].tolist(), 0) for i in names]
+    got = one_bit.search(one_bit.index(spark.createDataFrame(rows, VECTORS)), every=20, k=20).collect()
+    vectors_of = {i: np.array(v) for i, v, _ in rows}
+    for q in range(0, 400, 20):
+        scores = {i: float((vectors_of[i] * vectors_of[q]).sum()) for i in vectors_of if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(v, s) for _, v, s in own] == [(i, scores[i]) for i in want]
+
+
+def test_recall_on_spread_vectors(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rnd.standard_normal((3000, 64)))]
+    got = one_bit.search(one_bit.index(spark.createDataFrame(rows, VECTORS)), every=20, k=20).collect()
+    x = np.array([v for _, v, _ in rows])
+    hits = 0
+    for q in range(0, 3000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.99 * 150 * 20
