@@ -19,7 +19,7 @@ from pulsegrid.session import fresh_folder
 KINDS = {
     "string": lambda v: isinstance(v, str),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
-    "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v),
+    "number": lambda v: not isinstance(v, bool) and (isinstance(v, int) or isinstance(v, float) and math.isfinite(v)),
     "boolean": lambda v: isinstance(v, bool),
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
@@ -27,6 +27,17 @@ KINDS = {
 }
 
 
+def equal(a, b) -> bool:
+    """Whether two JSON values are the same; 1 and 1.0 are, 1 and true are not."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    return a == b
+
+
 def problems(value, schema: dict, at: str = "$") -> list[str]:
     """What a value breaks in a schema (type, enum, minimum, maximum, minLength, maxLength, required,
     properties, additionalProperties false, items), sorted."""
@@ -34,7 +45,7 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     if kind and not any(KINDS[k](value) for k in ([kind] if isinstance(kind, str) else kind)):
         return [f"{at}: not {kind}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(equal(value, e) for e in schema["enum"]):
         found.append(f"{at}: not in enum")
     if KINDS["number"](value):
         found += [f"{at}: below minimum"] * (value < schema.get("minimum", value))
@@ -62,7 +73,10 @@ def canonical(value) -> str:
 
 
 def read_arguments(text: str | None) -> tuple[object, list[str]]:
-    """Parsed arguments and what is wrong with the text; equal keys and infinite numbers are refused."""
+    """Parsed arguments and what is wrong with the text.
+
+    Equal keys, infinite numbers and escapes of half a character, which no UTF-8 text can hold, are refused.
+    """
 
     def pairs(items):
         found = dict(items)
@@ -81,7 +95,9 @@ def read_arguments(text: str | None) -> tuple[object, list[str]]:
     if text is None:
         return None, ["$: no arguments"]
     try:
-        return json.loads(text, object_pairs_hook=pairs, parse_float=number, parse_constant=refuse), []
+        value = json.loads(text, object_pairs_hook=pairs, parse_float=number, parse_constant=refuse)
+        canonical(value).encode()
+        return value, []
     except (ValueError, RecursionError):
         return None, ["$: not JSON"]
 

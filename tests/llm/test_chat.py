@@ -87,3 +87,20 @@ def test_plain_conversations(spark):
 )
 def test_schemas(schema, good, bad):
     assert chat.problems(good, schema) == [] and chat.problems(bad, schema)
+
+
+@pytest.mark.parametrize("text", ['{"x":"\\ud800"}', '"\\udc00"', '{"\\ud800":1}', "[" * 100_000, "1e999", "NaN", "9" * 5000, '{"a":1,"a":1}'])
+def test_texts_that_no_line_can_hold(spark, text):
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after string"
+    calls = spark.createDataFrame([(1, "c", 0, "t", text, None)], schema)
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    row = chat.format_calls(calls, results, {"t": {}}).collect()[0]
+    assert not row.valid and row.problems == ["$: not JSON"] and json.loads(row.line)["call"]["arguments"] == text
+
+
+def test_enums_compare_kinds_and_large_numbers_are_numbers():
+    assert chat.problems(1, {"enum": [True]}) == ["$: not in enum"]
+    assert chat.problems(True, {"enum": [1, "true"]}) == ["$: not in enum"]
+    assert chat.problems([0, {"a": False}], {"enum": [[0, {"a": 0}]]}) == ["$: not in enum"]
+    assert chat.problems(1.0, {"enum": [1]}) == [] and chat.problems(None, {"enum": [None]}) == []
+    assert chat.problems(10**400, {"type": "number", "minimum": 5}) == []
