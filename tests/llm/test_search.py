@@ -55,7 +55,7 @@ def test_search_of_nothing(spark):
 def test_copies_tie_by_vec_id(spark, size):
     """Whole lists, in which copies of a few vectors fill most places."""
     rnd = np.random.default_rng(size)
-    base = rnd.standard_normal((9, size))
+    base = rnd.standard_normal((9, size)).astype(np.float32).astype(float)
     names = rnd.permutation(400)
     rows = [(int(i), base[int(i) % 9 if i % 4 else 0].tolist(), 0) for i in names]
     got = one_bit.search(one_bit.index(spark.createDataFrame(rows, VECTORS)), every=20, k=20).collect()
