@@ -2,11 +2,14 @@
 
 Rates are exact counts over half-open windows ``[start, end)`` divided by the window length.
 They differ on purpose from counter-sampling systems, which extrapolate to the window edges.
-Windows are tumbling by default; a ``slide`` makes them overlap, at a cost of length / slide.
+Windows are tumbling by default; a ``slide`` makes them overlap. Overlapping windows are sums of panes as
+long as the slide: each message is counted once, in its pane, and only panes go to several windows.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,26 @@ from pulsegrid.operators.parse import error_class
 MINUTE = "1 minute"
 
 
-def _window(ts: str, length: str, slide: str | None) -> Column:
-    return F.window(ts, length, slide) if slide else F.window(ts, length)
+def _span(text: str) -> timedelta:
+    """``5 seconds`` or ``1 hour`` as a time span."""
+    number, unit = text.split()
+    return timedelta(**{unit.rstrip("s") + "s": int(number)})
+
+
+def _counts(rows: DataFrame, ts: str, length: str, slide: str | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``window``, the ``by`` columns and ``messages`` of each window that has any."""
+    messages = F.count(F.lit(1)).alias("messages")
+    if slide is None:
+        return rows.groupBy(F.window(ts, length).alias("window"), *by).agg(messages)
+    if _span(length) % _span(slide):  # panes do not add up to windows
+        return rows.groupBy(F.window(ts, length, slide).alias("window"), *by).agg(messages)
+    panes = rows.groupBy(F.window(ts, slide).alias("_pane"), *by).agg(messages)
+    whole, step = F.expr(f"INTERVAL {length}"), F.expr(f"INTERVAL {slide}")
+    starts = F.sequence(F.col("_pane.start") - whole + step, F.col("_pane.start"), step)
+    spread = panes.select(F.explode(starts).alias("_start"), *by, "messages")
+    counted = spread.groupBy("_start", *by).agg(F.sum("messages").alias("messages"))
+    window = F.struct(F.col("_start").alias("start"), (F.col("_start") + whole).alias("end"))
+    return counted.select(window.alias("window"), *by, "messages")
 
 
 def _seconds(window: str = "window") -> Column:
@@ -60,14 +81,10 @@ def message_rate(
     rows: DataFrame, ts: str = "ts", length: str = MINUTE, slide: str | None = None
 ) -> DataFrame:
     """Messages and messages per second in each window that has any."""
-    return (
-        rows.groupBy(_window(ts, length, slide).alias("window"))
-        .agg(F.count("*").alias("messages"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            "messages",
-            (F.col("messages") / _seconds()).alias("per_second"),
-        )
+    return _counts(rows, ts, length, slide).select(
+        F.col("window.start").alias("window_start"),
+        "messages",
+        (F.col("messages") / _seconds()).alias("per_second"),
     )
 
 
@@ -79,9 +96,7 @@ def topic_counts(
     rows: DataFrame, ts: str = "ts", length: str = MINUTE, slide: str | None = None
 ) -> DataFrame:
     """Messages per window and topic: the small table most topic questions start from."""
-    return rows.groupBy(_window(ts, length, slide).alias("window"), "topic").agg(
-        F.count("*").alias("messages")
-    )
+    return _counts(rows, ts, length, slide, ("topic",))
 
 
 def active_topics(
@@ -212,6 +227,25 @@ def idle_topics(rows: DataFrame, ts: str = "ts", seconds: int = 60) -> DataFrame
     )
 
 
+def idle_windows(seen: DataFrame, firsts: DataFrame, seconds: int, last: datetime | None, known: int) -> DataFrame:
+    """``idle_topics`` of the windows after ``last``, when ``known`` topics had been seen.
+
+    ``seen`` has a row per window_start and topic, ``firsts`` the new topics with ``first_seen``. The
+    running total goes over one row per window.
+    """
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    bounds = seen.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high"))
+    low = F.col("low") if last is None else F.lit(last) + step
+    spine = bounds.where(low <= F.col("high")).select(F.explode(F.sequence(low, "high", step)).alias("window_start"))
+    active = seen.groupBy("window_start").agg(F.count(F.lit(1)).alias("_active"))
+    news = firsts.groupBy(F.col("first_seen").alias("window_start")).agg(F.count(F.lit(1)).alias("_new"))
+    filled = spine.join(active, "window_start", "left").join(news, "window_start", "left")
+    until_now = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.lit(known) + F.sum(F.coalesce("_new", F.lit(0))).over(until_now)
+    counted = filled.select("window_start", total.alias("known"), F.coalesce("_active", F.lit(0)).alias("active"))
+    return counted.withColumn("idle", F.col("known") - F.col("active"))
+
+
 def _first_window(day: Column, seconds: int) -> Column:
     """Start of the first window that begins on or after midnight of ``day``."""
     midnight = F.unix_seconds(day.cast("timestamp"))

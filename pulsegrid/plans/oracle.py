@@ -481,6 +481,25 @@ def oracles() -> dict[str, str]:
             FROM arrived GROUP BY 1
             HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
               <= (SELECT max(ts) FROM arrived) - INTERVAL 10 MINUTE""",
+        "idle_topics_stream": f"""{delivered}, closed AS (SELECT DISTINCT {minute} AS m, topic FROM arrived
+              WHERE {minute} + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM arrived) - INTERVAL 10 MINUTE),
+            firsts AS (SELECT topic, min(m) AS m FROM closed GROUP BY 1),
+            spine AS (SELECT unnest(generate_series((SELECT min(m) FROM closed),
+                        (SELECT max(m) FROM closed), INTERVAL 1 MINUTE)) AS m),
+            act AS (SELECT m, count(*) AS n FROM closed GROUP BY 1),
+            news AS (SELECT m, count(*) AS n FROM firsts GROUP BY 1),
+            filled AS (SELECT s.m, CAST(sum(coalesce(n.n, 0)) OVER (ORDER BY s.m) AS BIGINT)
+                         AS known, coalesce(a.n, 0) AS active
+              FROM spine s LEFT JOIN act a ON a.m = s.m LEFT JOIN news n ON n.m = s.m)
+            SELECT m AS window_start, known, active, known - active AS idle FROM filled""",
+        "consumer_lag_stream": f"""{base}, parts AS (SELECT part, max(off) AS newest,
+              max(off) FILTER (WHERE arrival < TIMESTAMP '2024-01-15') AS committed FROM e GROUP BY 1)
+            SELECT 'iot-stream' AS topic, CAST(part AS INTEGER) AS partition, newest, committed,
+              newest - coalesce(committed, -1) AS lag FROM parts""",
+        "stream_ingest_bounded": f"""{base} SELECT ts AS time, uid AS user_id, event_type AS device_id,
+            event_id AS sequence_id, value AS temperature
+            FROM good, range(2) copy(n) WHERE n = 0 OR (off % 15 = 0
+              AND arrival < TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR)""",
         "top_topics_stream": f"""{delivered}, counted AS (
               SELECT date_trunc('day', ts) AS window_start, topic, count(*) AS messages
               FROM arrived GROUP BY ALL),

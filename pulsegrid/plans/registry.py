@@ -920,3 +920,35 @@ def top_topics_stream(spark, sf_dir):
     store = _delivered(spark, sf_dir, "top_topics_stream", start)
     rows = read_batches(spark, store.measure("top_topics"))
     return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def idle_topics_stream(spark, sf_dir):
+    store = _delivered(spark, sf_dir, "idle_topics_stream", live.start_idle_topics)
+    return read_batches(spark, store.measure("idle_topics"))
+
+
+@query
+def consumer_lag_stream(spark, sf_dir):
+    """The second half of the month has come in, and a live query has read the first."""
+    rows = fx.message_rows(spark, sf_dir)
+    first = rows.where(F.col("timestamp") < F.lit(fx.CHANGE_AT).cast("timestamp"))
+    store = _delivered(spark, sf_dir, "consumer_lag_stream", live.start_offsets, first)
+    return live.read_consumer_lag(spark, store, rows)
+
+
+@query
+def stream_ingest_bounded(spark, sf_dir):
+    """Every tenth message comes again two minutes later, some of the first half twenty days later."""
+    rows = fx.message_rows(spark, sf_dir)
+
+    def again(part, after, shift):
+        later = F.col("timestamp") + F.expr(f"INTERVAL {after}")
+        return rows.where(part).withColumns({"offset": F.col("offset") + shift, "timestamp": later})
+
+    early = F.col("timestamp") < F.lit(fx.CHANGE_AT).cast("timestamp") - F.expr("INTERVAL 1 HOUR")
+    near = again(F.col("offset") % 10 == 0, "2 MINUTES", 1_000_000_000)
+    far = again((F.col("offset") % 15 == 0) & early, "20 DAYS", 2_000_000_000)
+    messages = rows.unionByName(near).unionByName(far)
+    store = _delivered(spark, sf_dir, "stream_ingest_bounded", live.start_bounded_ingest, messages)
+    return read_batches(spark, store.bounded).select("time", "user_id", "device_id", "sequence_id", "temperature")

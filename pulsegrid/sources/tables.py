@@ -114,6 +114,11 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(*BATCH_COLUMNS)
 
 
+def read_measure(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of all batches with the columns that say which wrote them; an absent table is empty."""
+    return _read(spark, path, T.StructType.fromDDL(columns))
+
+
 def query_id(spark: SparkSession, checkpoint: str) -> str:
     """Id of the streaming query that owns a checkpoint folder."""
     return json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"]

@@ -8,6 +8,7 @@ query with a new checkpoint goes on from the state it finds and adds to the outp
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -16,15 +17,23 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from pulsegrid.functions.topics import control_route
 from pulsegrid.operators import alerts, control, dead_letter, metrics, parse, rules, storing
 from pulsegrid.operators.envelope import decode_envelope, skipped_messages
 from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES
 from pulsegrid.session import configure
-from pulsegrid.sources.tables import BATCH_COLUMNS, Snapshots, append_batch, query_id, write_telemetry
-
+from pulsegrid.sources.tables import (
+    BATCH_COLUMNS,
+    Snapshots,
+    append_batch,
+    query_id,
+    read_measure,
+    write_telemetry,
+)
+
+TOPICS = T.StructType([T.StructField("topic", T.StringType()), T.StructField("first_seen", T.TimestampType())])
 CONFIGS = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("rules", RULES)])
 
 
@@ -58,6 +67,13 @@ class Store:
     def history(self) -> str:
         return f"{self.root}/alerts_history"
 
+    @property
+    def bounded(self) -> str:
+        return f"{self.root}/bounded_telemetry"
+
+    def topics(self, spark: SparkSession) -> Snapshots:
+        return Snapshots(spark, f"{self.root}/topics", TOPICS, ["topic"])
+
     def measure(self, name: str) -> str:
         return f"{self.root}/measures/{name}"
 
@@ -136,6 +152,28 @@ def start_ingest(
     return start(messages, batch, store.checkpoint("ingest"), trigger)
 
 
+def start_bounded_ingest(messages: DataFrame, store: Store, delay: str = "10 minutes", **trigger) -> StreamingQuery:
+    """Store valid readings without looking at what is stored: keys are remembered for ``delay`` only.
+
+    The keys of the last ``delay`` (by arrival) lie in the streaming state. A copy that arrives within
+    ``delay`` of the first is dropped, one that arrives after the state has forgotten the key is stored
+    again, and which of several copies in one micro-batch stays is not said. State and cost do not grow
+    with the table. Failed messages are ``start_ingest``'s business.
+    """
+    configure(messages.sparkSession)
+    decoded = decode_envelope(messages)
+    telemetry = decoded.where(F.col("skip_reason").isNull() & control_route(F.col("topic")).isNull())
+    readings = parse.parse_telemetry(telemetry).drop("document", "extras")
+    good, _ = storing.quarantine_split(readings)
+    fresh = good.select("timestamp", *storing.STORED).withWatermark("timestamp", delay)
+    fresh = fresh.dropDuplicatesWithinWatermark(storing.KEY)
+
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        append_batch(rows, store.bounded, query, batch_id)
+
+    return start(fresh, batch, store.checkpoint("bounded_ingest"), trigger)
+
+
 @contextmanager
 def _kept(df: DataFrame) -> Iterator[DataFrame]:
     """Keep rows that several outputs share; a lost copy is computed again from the source."""
@@ -344,3 +382,100 @@ def start_top_topics(
         append_batch(metrics.rank_topics(rows, k), store.measure("top_topics"), query, batch_id)
 
     return start(counts, batch, store.checkpoint("top_topics"), trigger)
+
+
+def start_idle_topics(
+    messages: DataFrame, store: Store, seconds: int = 60, delay: str = "10 minutes", **trigger
+) -> StreamingQuery:
+    """Write known, active and idle topics of every window once, when it is complete.
+
+    A registry keeps when each topic was first seen; a micro-batch reads and renews the buckets of its
+    topics. Windows become complete in order of time, so the last one written says how many topics were
+    known before, and windows without any message between it and the next get rows as well.
+    """
+    spark = configure(messages.sparkSession)
+    counts = metrics.topic_counts(_arrived(messages, delay), length=f"{seconds} seconds")
+    registry, log = store.topics(spark), store.measure("idle_topics")
+
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        seen = rows.select(F.col("window.start").alias("window_start"), "topic")
+        with _kept(seen) as seen:
+            buckets = registry.touched(seen)
+            if not buckets:
+                return
+            base = registry.before(query, batch_id)
+            known = registry.read(base, buckets)
+            earlier = read_measure(spark, log, IDLE).where(
+                (F.col("query_id") != query) | (F.col("batch_id") < batch_id)
+            )
+            last = earlier.agg(F.max(F.struct("window_start", "known")).alias("last")).first().last
+            firsts = seen.groupBy("topic").agg(F.min("window_start").alias("first_seen"))
+            with _kept(firsts.join(known.select("topic"), "topic", "left_anti")) as new:
+                idle = metrics.idle_windows(seen, new, seconds, last and last.window_start, last.known if last else 0)
+                append_batch(idle, log, query, batch_id)
+                registry.write(known.unionByName(new), base, buckets, query, batch_id)
+
+    return start(counts, batch, store.checkpoint("idle_topics"), trigger)
+
+
+IDLE = "window_start timestamp, known long, active long, idle long, written_at timestamp, query_id string, batch_id long"
+
+
+def start_offsets(messages: DataFrame, store: Store, **trigger) -> StreamingQuery:
+    """Write the last offset read of every source topic and partition, per micro-batch."""
+
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        read = rows.groupBy("topic", "partition").agg(F.max("offset").alias("committed"))
+        append_batch(read, store.measure("offsets"), query, batch_id)
+
+    return start(messages, batch, store.checkpoint("offsets"), trigger)
+
+
+class OffsetLog(StreamingQueryListener):
+    """Writes the offsets of Kafka sources after every trigger of every query of the session.
+
+    To be added with ``spark.streams.addListener``. Kafka offsets name the next message to read, so the
+    last one read is one less. Other sources have no such offsets and give no rows.
+    """
+
+    def __init__(self, spark: SparkSession, store: Store):
+        self._spark, self._path = spark, store.measure("offsets")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        read = [row for source in progress.sources for row in kafka_offsets(source.endOffset)]
+        if read:
+            rows = self._spark.createDataFrame(read, "topic string, partition int, committed long")
+            append_batch(rows, self._path, str(progress.id), progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def kafka_offsets(text: str | None) -> list[tuple[str, int, int]]:
+    """(topic, partition, last offset read) of an offset document; nothing if it is of another kind."""
+    try:
+        topics = json.loads(text or "null")
+    except ValueError:
+        return []
+    if not isinstance(topics, dict) or not all(isinstance(parts, dict) for parts in topics.values()):
+        return []
+    return [(topic, int(part), int(offset) - 1) for topic, parts in topics.items() for part, offset in parts.items()]
+
+
+OFFSETS = "topic string, partition int, committed long, written_at timestamp, query_id string, batch_id long"
+
+
+def read_consumer_lag(spark: SparkSession, store: Store, messages: DataFrame) -> DataFrame:
+    """Messages not read yet per source topic and partition, by the offsets that live queries wrote.
+
+    ``messages`` are all rows of the source, or one row with the newest offset of each partition.
+    """
+    read = read_measure(spark, store.measure("offsets"), OFFSETS)
+    return metrics.consumer_lag(messages, read.groupBy("topic", "partition").agg(F.max("committed").alias("committed")))
