@@ -10,6 +10,7 @@ from pulsegrid.functions.topics import match_topic_levels
 EVERYONE = "$all"
 SUBJECT = ["username", "clientid", "action", "topic"]
 HOLE = "*"
+SALTS = 256
 
 
 def acl_audit(log: DataFrame, access: DataFrame) -> DataFrame:
@@ -81,14 +82,21 @@ def _rules(access: DataFrame) -> DataFrame:
 
 
 def _keyed(asked: DataFrame, rules: DataFrame) -> DataFrame:
-    """Accesses with the keys under which fitting filters lie, one row per shape in the list."""
-    shapes = rules.select("_levels", "_open", "_holes").distinct()
+    """Accesses with the keys under which fitting filters lie, one row per shape in the list.
+
+    Lengths take a handful of values, so the few shapes are copied to ``SALTS`` places and the accesses
+    spread over these; no length is one task's work.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    shapes = rules.select("_levels", "_open", "_holes").distinct().select("*", every)
     depth = F.size(F.split("topic", "/", -1))
     closed = F.array(F.struct(depth.alias("_levels"), F.lit(False).alias("_open")))
     opened = F.transform(F.sequence(F.lit(0), depth), lambda n: F.struct(n.alias("_levels"), F.lit(True).alias("_open")))
     who = F.array_distinct(F.array_compact(F.array("username", F.lit(EVERYONE))))
-    lengths = asked.select(*SUBJECT, F.explode(F.concat(closed, opened)).alias("_length"))
-    shaped = lengths.select(*SUBJECT, "_length._levels", "_length._open").join(shapes, ["_levels", "_open"])
+    salt = F.pmod(F.xxhash64(*SUBJECT), F.lit(SALTS)).cast("int").alias("_salt")
+    lengths = asked.select(*SUBJECT, salt, F.explode(F.concat(closed, opened)).alias("_length"))
+    lengths = lengths.select(*SUBJECT, "_salt", "_length._levels", "_length._open")
+    shaped = lengths.join(shapes, ["_levels", "_open", "_salt"]).drop("_salt")
     head = F.slice(F.split("topic", "/", -1), F.lit(1), F.col("_levels"))
     masked = F.zip_with(head, "_holes", lambda x, hole: F.when(hole, F.lit(HOLE)).otherwise(x))
     keyed = shaped.withColumns({"_literal": F.array_join(masked, "/"), "_action": F.col("action"), "_whos": who})

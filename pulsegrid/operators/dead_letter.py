@@ -28,16 +28,17 @@ def to_dead_letter(
     return rejected.select(F.col("topic").alias("key"), F.to_json(record).alias("value"), *(carry or []))
 
 
-def replay_dead_letter(records: DataFrame) -> DataFrame:
-    """Dead-letter records back to ``topic, payload``, ready to be parsed again."""
+def replay_dead_letter(records: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Dead-letter records back to ``topic, payload``, ready to be parsed again; ``carry`` columns stay."""
     fields = F.from_json(
         F.col("value").cast("string"),
         "original_topic string, error string, timestamp string, payload_base64 string",
     )
-    return records.select(fields.alias("r")).select(
+    return records.select(fields.alias("r"), *(carry or [])).select(
         F.col("r.original_topic").alias("topic"),
         F.decode(F.unbase64("r.payload_base64"), "UTF-8").alias("payload"),
         F.lit(None).cast("string").alias("skip_reason"),
+        *(carry or []),
     )
 
 

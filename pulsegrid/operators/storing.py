@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators.ordered_groups import together
 from pulsegrid.schemas import TELEMETRY
@@ -41,18 +42,30 @@ def _whole(number: int) -> Column:
     return F.lit(str(number)).cast("decimal(20,0)")
 
 
-def _winners(rows: DataFrame, key: list[str], place: Column, pick: Callable[[str], Column]) -> DataFrame:
+#: Bits by which rows of one place are told apart, where the place leaves room for them.
+CONTENT_BITS = 30
+
+
+def _winners(rows: DataFrame, key: list[str], order: list[str], pick: Callable[[str], Column]) -> DataFrame:
     """The row of the picked place of each key, in two steps.
 
     The places are aggregated by hash, combined before the shuffle; then the rows are matched with the
     picked places. Rows are spread by place, so copies of one key never meet in one task. The hash of
-    the key guards against two keys with the same place.
+    the key guards against two keys with the same place, and of several rows of one key at one place
+    the hash of their content picks one.
     """
+    place, plain = packed(rows, order), [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    if sum(PACKED_BITS[rows.schema[c].dataType.simpleString()][0] for c in order) + CONTENT_BITS <= 126:
+        content = F.pmod(F.xxhash64(*plain), F.lit(1 << CONTENT_BITS)).cast("decimal(20,0)")
+        place = ((place * _whole(1 << CONTENT_BITS)).cast("decimal(38,0)") + content).cast("decimal(38,0)")
     names = {"_place": place, "_hash": F.xxhash64(*key)}
     spread = together(rows.withColumns(names).repartition(*names))
     picked = spread.groupBy(*key).agg(pick("_place").alias("_place"))
     picked = picked.select("_place", F.xxhash64(*key).alias("_hash"))
-    return spread.join(picked, list(names), "left_semi").select(*rows.columns)
+    found = spread.join(picked, list(names), "left_semi")
+    if len(plain) == len(rows.columns):
+        found = found.distinct()  # whole copies lie in one partition already
+    return found.select(*rows.columns)
 
 
 def dedupe_first_wins(
@@ -60,14 +73,13 @@ def dedupe_first_wins(
 ) -> DataFrame:
     """One row per key: the first to arrive.
 
-    ``arrival`` orders the rows of a key totally and is never NULL. Where its columns fit into one
-    number, this is a hash aggregation and a semi join; else the whole rows are aggregated by sorting.
+    ``arrival`` orders the rows of a key and is never NULL. Where its columns fit into one number,
+    this is a hash aggregation and a semi join; else the whole rows are aggregated by sorting.
     Either way copies are combined before the shuffle of keys.
     """
     key, arrival = key or KEY, arrival or ARRIVAL
-    place = packed(rows, arrival)
-    if place is not None:
-        return _winners(rows, key, place, F.min)
+    if packed(rows, arrival) is not None:
+        return _winners(rows, key, arrival, F.min)
     return _picked_rows(rows, key, F.min_by, [F.col(c) for c in arrival])
 
 
@@ -132,7 +144,6 @@ def touched(stored: DataFrame, rows: DataFrame, dates: list | None, column: str
 
 def latest_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Newest row per key. ``order`` orders the rows of a key totally; see ``dedupe_first_wins``."""
-    place = packed(rows, order)
-    if place is not None:
-        return _winners(rows, key, place, F.max)
+    if packed(rows, order) is not None:
+        return _winners(rows, key, order, F.max)
     return _picked_rows(rows, key, F.max_by, [F.col(c) for c in order])

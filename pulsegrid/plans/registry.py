@@ -889,6 +889,19 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_replay(spark, sf_dir):
+    """Temperatures sent as text are repaired and played, twice; the other letters fail again."""
+    store = _delivered(spark, sf_dir, "stream_replay", live.start_ingest)
+
+    def repair(messages):
+        return messages.withColumn("payload", F.regexp_replace("payload", '"temperature":"([^"]*)"', '"temperature":$1'))
+
+    for run in ("first", "second"):
+        live.replay_dead_letters(spark, store, run, repair)
+    return read_telemetry(spark, store.telemetry).select("time", "user_id", "device_id", "sequence_id", "temperature")
+
+
 @query
 def stream_dead_letters(spark, sf_dir):
     store = _delivered(spark, sf_dir, "stream_dead_letters", live.start_ingest)

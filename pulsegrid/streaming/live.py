@@ -67,6 +67,10 @@ class Store:
     def history(self) -> str:
         return f"{self.root}/alerts_history"
 
+    @property
+    def ledger(self) -> str:
+        return f"{self.root}/replayed_letters"
+
     @property
     def bounded(self) -> str:
         return f"{self.root}/bounded_telemetry"
@@ -472,6 +476,44 @@ def kafka_offsets(text: str | None) -> list[tuple[str, int, int]]:
 OFFSETS = "topic string, partition int, committed long, written_at timestamp, query_id string, batch_id long"
 
 
+def replay_dead_letters(
+    spark: SparkSession, store: Store, run: str, repair: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, int]:
+    """Play dead letters into the stored readings; what went in is kept in a ledger by ``run``.
+
+    A letter that any run has played is left out, so playing twice stores nothing twice. The ledger of a
+    run is written before its readings: a run that failed is repeated under its own name, which plays the
+    same letters again (storing is first-wins by key). ``repair`` may change ``topic, payload`` first.
+    Letters that fail again are counted and stay where they are. Returns how many were played, stored
+    and failed.
+    """
+    configure(spark)
+    letters = read_measure(spark, store.dead_letters, LETTERS)
+    letters = letters.withColumn("letter", F.sha2(F.concat_ws("\0", "query_id", "batch_id", "key", "value", "arrived_at"), 256))
+    others = read_measure(spark, store.ledger, LEDGER).where(F.col("query_id") != run)
+    own = read_measure(spark, store.ledger, LEDGER).where(F.col("query_id") == run)
+    if own.limit(1).count():
+        chosen = letters.join(own.select("letter").distinct(), "letter", "left_semi")
+    else:
+        chosen = letters.join(others.select("letter"), "letter", "left_anti")
+        append_batch(chosen.select("letter", "key").distinct(), store.ledger, run, 0)
+        played = read_measure(spark, store.ledger, LEDGER).where(F.col("query_id") == run)
+        chosen = letters.join(played.select("letter"), "letter", "left_semi")
+    messages = dead_letter.replay_dead_letter(chosen, carry=["arrived_at", "letter"])
+    messages = messages if repair is None else repair(messages)
+    readings = parse.parse_telemetry(messages).drop("document", "extras")
+    with _kept(readings) as readings:
+        good, bad = storing.quarantine_split(readings)
+        # the first to arrive wins; letters of one moment go by their hash
+        place = {"partition": F.lit(0), "offset": F.unix_micros("arrived_at")}
+        counts = write_telemetry(good.withColumns(place), store.telemetry)
+        return {"played": readings.count(), "stored": counts["written"], "failed": bad.count()}
+
+
+LETTERS = "key string, value string, arrived_at timestamp, written_at timestamp, query_id string, batch_id long"
+LEDGER = "letter string, key string, written_at timestamp, query_id string, batch_id long"
+
+
 def read_consumer_lag(spark: SparkSession, store: Store, messages: DataFrame) -> DataFrame:
     """Messages not read yet per source topic and partition, by the offsets that live queries wrote.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import envelope, metrics
 from pulsegrid.schemas import MESSAGE_ROW
 from pulsegrid.sources.messages import file_source
-from pulsegrid.sources.tables import read_batches
+from pulsegrid.sources.tables import read_batches, read_telemetry
 from pulsegrid.streaming import live
 from tests.test_live import deliver
 
@@ -127,3 +127,43 @@ def test_panes_add_up_to_windows(spark, length, slide):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     rates = metrics.message_rate(rows, length=length, slide=slide).collect()
     assert sorted((r.window_start, r.messages) for r in rates) == sorted((r.window.start, r["count"]) for r in rows.groupBy(window).count().collect())
+
+
+def test_dead_letters_are_played_once(spark, tmp_path, monkeypatch):
+    def telemetry(i, temperature, device="d"):
+        body = {"time": "2024-01-01T00:00:00Z", "device_id": device, "sequence_id": i, "temperature": temperature}
+        value = json.dumps({"topic": "users/u/devices/d/telemetry", "payload": body}).encode()
+        return (None, value, "iot-stream", 0, i, T0 + timedelta(minutes=i), None)
+
+    rows = [telemetry(0, 1.5), telemetry(1, "2.5"), telemetry(2, "3.5"), telemetry(3, 4.5, ""), telemetry(2, "9.5")]
+    store = deliver(spark, rows, [3], str(tmp_path), live.start_ingest)
+
+    def unquoted(messages):
+        return messages.withColumn("payload", F.regexp_replace("payload", '"temperature": ?"([0-9.]+)"', '"temperature":$1'))
+
+    def stored():
+        return sorted((r.sequence_id, r.temperature) for r in read_telemetry(spark, store.telemetry).collect())
+
+    assert stored() == [(0, 1.5)]
+    # a failure after the ledger is written; the run is repeated under its name
+    original, failures = live.write_telemetry, []
+
+    def failing(*args):
+        failures.append(1)
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(live, "write_telemetry", failing)
+    with pytest.raises(RuntimeError):
+        live.replay_dead_letters(spark, store, "monday", unquoted)
+    monkeypatch.setattr(live, "write_telemetry", original)
+    assert live.replay_dead_letters(spark, store, "monday", unquoted) == {"played": 4, "stored": 2, "failed": 1}
+    assert [s for s, _ in stored()] == [0, 1, 2]
+    once = stored()
+    assert live.replay_dead_letters(spark, store, "monday", unquoted)["stored"] == 0
+    assert live.replay_dead_letters(spark, store, "tuesday", unquoted) == {"played": 0, "stored": 0, "failed": 0}
+    assert stored() == once
+    # letters that come later are played by the next run
+    spark.createDataFrame([telemetry(7, "7.5")], MESSAGE_ROW).write.mode("append").parquet(f"{tmp_path}/inbox")
+    live.start_ingest(file_source(spark, f"{tmp_path}/inbox"), store, availableNow=True).awaitTermination()
+    assert live.replay_dead_letters(spark, store, "wednesday", unquoted) == {"played": 1, "stored": 1, "failed": 0}
+    assert [s for s, _ in stored()] == [0, 1, 2, 7]

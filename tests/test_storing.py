@@ -193,6 +193,9 @@ def test_firsts_of_hot_copies_and_of_keys_with_equal_places(spark):
     assert {(r.k, r.t): ((r.partition, r.offset), r.v) for r in newest.collect()} == last and newest.count() == len(last)
     for plan in (found, newest):
         assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    # whole copies, and rows of one key at one place
+    twice = df.unionByName(df).unionByName(df.withColumn("v", -F.col("v")))
+    assert storing.dedupe_first_wins(twice, ["k", "t"]).count() == len(first)
     # an order that fits no number goes the other way
     named = df.withColumn("offset", F.format_string("%012d", "offset"))
     again = storing.dedupe_first_wins(named, ["k", "t"])
