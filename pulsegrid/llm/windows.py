@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsegrid.session import fresh_folder
+from pulsegrid.session import drop_folder, fresh_folder
 
 GRAM = 50
 BLOCK = 1 << 20
@@ -28,7 +28,7 @@ WIDE = 20_000
 PLACE_BITS = np.uint64(30)
 PLACE = np.uint64((1 << 30) - 1)
 FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-PLACES = "doc_id long, text_hash long, id long, p long, s1 long, s2 long, gram long, around long"
+PLACES = "doc_id long, text_hash long, id long, s1 long, s2 long, gram long, around long"
 
 
 def _table(seed: int) -> np.ndarray:
@@ -126,10 +126,10 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                     text = pa.array(runs[own, 0])
                     columns = [rows.column(0).take(text), rows.column(1).take(text)]
                     columns += [pa.array(number + np.arange(len(p)))]
-                    columns += [pa.array(x + shift) for x in (p, s1, s2)]
+                    columns += [pa.array(x + shift) for x in (s1, s2)]
                     columns += [pa.array(x.view(np.int64)) for x in (gram, around)]
                     number += len(p)
-                    names = ["doc_id", "text_hash", "id", "p", "s1", "s2", "gram", "around"]
+                    names = ["doc_id", "text_hash", "id", "s1", "s2", "gram", "around"]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, PLACES)
@@ -233,10 +233,10 @@ def _exploded(wide: DataFrame, length: int) -> DataFrame:
     return wide.mapInArrow(run, shape)
 
 
-def _stored(frame: DataFrame, name: str) -> DataFrame:
+def _stored(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     folder = fresh_folder(frame.sparkSession, name)
     frame.write.parquet(folder)
-    return frame.sparkSession.read.parquet(folder)
+    return frame.sparkSession.read.parquet(folder), folder
 
 
 def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -255,25 +255,29 @@ def repeated_spans(docs: DataFrame, length: int = 200, wide: int = WIDE, buckets
         raise ValueError(f"windows are at least {GRAM} bytes long")
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = _stored(places(docs, length), "places")
+    found, folder = _stored(places(docs, length), "places")
     groups = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
     strings = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     strings = strings.filter("kinds > 1 OR least > 1").withColumnRenamed("gram", "_gram")
     groups = groups.join(strings, F.col("gram") == F.col("_gram")).drop("_gram")
     groups = groups.withColumnsRenamed({"gram": "_gram", "around": "_around"})
     same = (F.col("gram") == F.col("_gram")) & (F.col("around") == F.col("_around"))
-    placed = _stored(found.join(groups, same).drop("_gram", "_around"), "placed")
-    whole = placed.filter("n > 1").select("doc_id", "text_hash", F.col("s1").alias("start"), (F.col("s2") + length).alias("end"))
-    whole = whole.distinct()
     # where surroundings differ and some occur once, windows are compared; of equal ones, one is enough
-    left = placed.filter("kinds > 1 AND least = 1 AND id = one")
-    item = F.struct("gram", (F.col("n") == 1).alias("single"), (F.col("kinds") > wide).alias("wide"), "s1", "s2")
+    unsettled = F.expr("kinds > 1 AND least = 1 AND id = one")
+    joined = found.join(groups, same).withColumn("open", unsettled).filter("n > 1 OR open")
+    place = [F.when(F.col("open"), F.col("gram")).alias("gram"), (F.col("n") == 1).alias("single"), (F.col("kinds") > wide).alias("wide")]
+    placed, _ = _stored(joined.select("doc_id", "text_hash", "s1", "s2", *place, "open"), "placed")
+    drop_folder(spark, folder)
+    whole = placed.filter("NOT single").select("doc_id", "text_hash", F.col("s1").alias("start"), (F.col("s2") + length).alias("end"))
+    whole = whole.distinct()
+    left = placed.filter("open")
+    item = F.struct("gram", "single", "wide", "s1", "s2")
     listed = left.groupBy("doc_id", "text_hash").agg(F.collect_list(item).alias("listed"))
     texts = docs.filter(F.octet_length("text") >= length)
-    opened = _stored(_surroundings(_meet(texts, listed, "inner"), length).distinct(), "open")
+    opened, _ = _stored(_surroundings(_meet(texts, listed, "inner"), length).distinct(), "open")
     bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
     narrow = opened.filter("NOT wide").groupBy(bucket).applyInArrow(_compare(length), SPANS)
-    spread = _stored(_exploded(opened.filter("wide"), length), "windows")
+    spread, _ = _stored(_exploded(opened.filter("wide"), length), "windows")
     again = spread.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     spread = spread.filter("single").join(again, ["gram", "window"])
     spread = spread.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
