@@ -15,6 +15,8 @@ from pulsegrid.operators import envelope, storing, traces
 from pulsegrid.plans import fixtures as fx
 from pulsegrid.schemas import ALERT_KEYS, DomainSpec, Field
 from pulsegrid.session import fresh_folder
+from pulsegrid.sources import compaction
+from pulsegrid.sources.files import Files
 from pulsegrid.sources.messages import file_source
 from pulsegrid.sources.tables import read_batches, read_telemetry
 from pulsegrid.streaming import keyed, live
@@ -889,6 +891,25 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_ingest_compacted(spark, sf_dir):
+    """Every day is compacted between the two deliveries; the second brings copies of stored rows."""
+    days = []
+
+    def start(messages, store, **trigger):
+        if Files(spark, store.telemetry).names(store.telemetry):
+            days.extend(n.removeprefix("dt=") for n in Files(spark, store.telemetry).names(store.telemetry) if n.startswith("dt="))
+            for day in days:
+                compaction.compact_day(spark, store.telemetry, day, file_rows=100)
+        return live.start_ingest(messages, store, **trigger)
+
+    store = _delivered(spark, sf_dir, "stream_ingest_compacted", start, _with_late_copies(spark, sf_dir))
+    compaction.clean(spark, store.telemetry)
+    return read_telemetry(spark, store.telemetry).select(
+        "time", "user_id", "device_id", "sequence_id", "temperature", "extra_data"
+    )
+
+
 @query
 def stream_replay(spark, sf_dir):
     """Temperatures sent as text are repaired and played, twice; the other letters fail again."""
