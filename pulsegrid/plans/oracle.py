@@ -502,6 +502,8 @@ def oracles() -> dict[str, str]:
               max(off) FILTER (WHERE arrival < TIMESTAMP '2024-01-15') AS committed FROM e GROUP BY 1)
             SELECT 'iot-stream' AS topic, CAST(part AS INTEGER) AS partition, newest, committed,
               newest - coalesce(committed, -1) AS lag FROM parts""",
+        "late_messages_stream": f"""{delivered} SELECT date_trunc('minute', arrival) AS window_start, count(*) AS late
+            FROM e WHERE fault <> 'no_topic' AND off % 10 = 0 AND arrival < TIMESTAMP '2024-01-15' GROUP BY 1""",
         "stream_ingest_bounded": f"""{base} SELECT ts AS time, uid AS user_id, event_type AS device_id,
             event_id AS sequence_id, value AS temperature
             FROM good, range(2) copy(n) WHERE n = 0 OR (off % 15 = 0

@@ -986,3 +986,15 @@ def stream_ingest_bounded(spark, sf_dir):
     messages = rows.unionByName(near).unionByName(far)
     store = _delivered(spark, sf_dir, "stream_ingest_bounded", live.start_bounded_ingest, messages)
     return read_batches(spark, store.bounded).select("time", "user_id", "device_id", "sequence_id", "temperature")
+
+
+@query
+def late_messages_stream(spark, sf_dir):
+    """Every tenth message of the first half of the month comes after all others."""
+    folder, rows = fresh_folder(spark, "late_messages"), fx.message_rows(spark, sf_dir)
+    held_back = (F.col("offset") % 10 == 0) & (F.col("timestamp") < F.lit(fx.CHANGE_AT).cast("timestamp"))
+    store = live.Store(f"{folder}/store")
+    for part in (~held_back, held_back):
+        rows.where(part).write.mode("append").parquet(f"{folder}/inbox")
+        live.start_late_messages(file_source(spark, f"{folder}/inbox"), store, availableNow=True).awaitTermination()
+    return live.read_late_messages(spark, store)

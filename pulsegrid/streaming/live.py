@@ -311,6 +311,43 @@ def start_message_rate(
     return start(rates, batch, store.checkpoint("message_rate"), trigger, mode="update")
 
 
+def start_late_messages(
+    messages: DataFrame, store: Store, length: str = "1 minute", delay: str = "10 minutes", **trigger
+) -> StreamingQuery:
+    """Count, per window, the messages that a windowed query with this ``length`` and ``delay`` drops.
+
+    A message is late if its window ended no later than the watermark of its micro-batch: the newest
+    arrival of the micro-batches before, less the delay. That newest arrival is written with the counts, so
+    a repeated micro-batch finds the one it had, and a new checkpoint starts without a watermark. The
+    micro-batches are this query's; one of another query may have cut the stream elsewhere.
+    """
+    configure(messages.sparkSession)
+    log = store.measure("late_messages")
+
+    def batch(rows: DataFrame, query: str, batch_id: int) -> None:
+        decoded = decode_envelope(rows).where(F.col("skip_reason").isNull())
+        with _kept(decoded.select(F.col("timestamp").alias("ts"))) as arrived:
+            earlier = read_measure(rows.sparkSession, log, LATE).where((F.col("query_id") == query) & (F.col("batch_id") < batch_id))
+            newest = earlier.agg(F.max("newest").alias("newest")).first().newest
+            watermark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            counted = arrived.groupBy(F.window("ts", length).alias("window")).agg(F.count(F.lit(1)).alias("late"), F.max("ts").alias("newest"))
+            late = F.coalesce(F.col("window.end") <= watermark, F.lit(False))
+            found = counted.where(late).select(F.col("window.start").alias("window_start"), "late", F.lit(None).cast("timestamp").alias("newest"))
+            mark = arrived.agg(F.max("ts").alias("newest")).select(F.lit(None).cast("timestamp").alias("window_start"), F.lit(0).cast("long").alias("late"), "newest")
+            append_batch(found.unionByName(mark), log, query, batch_id)
+
+    return start(messages, batch, store.checkpoint("late_messages"), trigger)
+
+
+LATE = "window_start timestamp, late long, newest timestamp, written_at timestamp, query_id string, batch_id long"
+
+
+def read_late_messages(spark: SparkSession, store: Store) -> DataFrame:
+    """Late messages per window, over all micro-batches."""
+    rows = read_measure(spark, store.measure("late_messages"), LATE).where("window_start IS NOT NULL")
+    return rows.groupBy("window_start").agg(F.sum("late").alias("late"))
+
+
 def read_message_rate(spark: SparkSession, store: Store) -> DataFrame:
     """Newest count of every window."""
     rows = spark.read.parquet(store.measure("message_rate"))

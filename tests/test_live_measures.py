@@ -167,3 +167,19 @@ def test_dead_letters_are_played_once(spark, tmp_path, monkeypatch):
     live.start_ingest(file_source(spark, f"{tmp_path}/inbox"), store, availableNow=True).awaitTermination()
     assert live.replay_dead_letters(spark, store, "wednesday", unquoted) == {"played": 1, "stored": 1, "failed": 0}
     assert [s for s, _ in stored()] == [0, 1, 2, 7]
+
+
+def test_late_messages_are_those_the_rate_drops(spark, tmp_path):
+    """Against the windowed query itself, fed the same micro-batches."""
+    rows = [said(i, "a", at) for i, at in enumerate([0, 30, 31, 60, 2, 19.9, 20.5, 45, 55, 100, 30, 89.5, 90.5])]
+    cuts = [4, 9, 10]
+    late = deliver(spark, rows, cuts, f"{tmp_path}/late", live.start_late_messages)
+    rate = deliver(spark, rows, cuts, f"{tmp_path}/rate", live.start_message_rate)
+    counted = {r.window_start: r.messages for r in live.read_message_rate(spark, rate).collect()}
+    dropped = {r.window_start: r.late for r in live.read_late_messages(spark, late).collect()}
+    everything = {}
+    for row in rows:
+        start = row[5].replace(second=0, microsecond=0)
+        everything[start] = everything.get(start, 0) + 1
+    assert {w: counted.get(w, 0) + dropped.get(w, 0) for w in everything} == everything
+    assert sum(dropped.values()) == 6
