@@ -18,7 +18,8 @@ TIME_PATTERN = _CLOCK + r"([.,]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)\z"
 MEMBERS = "map<string,variant>"
 
 # Texts that may hold a number beyond double precision: a long exponent or very many digits.
-HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{200}"
+NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 
 NUMBER_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
 
@@ -29,16 +30,22 @@ def parse_document(text: Column) -> Column:
     The parser stops at the end of the first value and ignores what follows, so the text must
     also be a list of one element when put in brackets: junk breaks that list. Only a text that
     itself contains ``]`` could close the list early; such texts must also be an object's only
-    member. A number out of range, which the parser reads as infinite, makes the text invalid.
+    member. A number out of range, which the parser reads as infinite, makes the text invalid; what
+    stands in strings is no number.
     """
     elements = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
     keys = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
     alone = (elements == 1) & (~F.contains(text, F.lit("]")) | (F.size(keys) == 1))
-    document = F.try_parse_json(text)
-    word = F.lit("Infinity")
-    infinite = F.regexp_count(F.to_json(document), word) > F.regexp_count(text, word)
-    in_range = ~F.coalesce(text.rlike(HUGE_NUMBER) & infinite, F.lit(False))
-    return F.when(F.is_valid_utf8(text) & alone & in_range, document)
+    in_range = ~F.coalesce(F.when(text.rlike(HUGE_NUMBER), _infinite(text)), F.lit(False))
+    return F.when(F.is_valid_utf8(text) & alone & in_range, F.try_parse_json(text))
+
+
+def _infinite(text: Column) -> Column:
+    """Whether a number outside strings is beyond double precision. Escapes go first, then strings."""
+    unescaped = F.regexp_replace(text, F.lit(r"\\(?s:.)"), F.lit(""))
+    bare = F.regexp_replace(unescaped, F.lit('"[^"]*"'), F.lit('""'))
+    numbers = F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(0))
+    return F.exists(numbers, lambda n: F.abs(n.cast("double")) == float("inf"))
 
 
 def members(document: Column) -> Column:

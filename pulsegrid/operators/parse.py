@@ -14,7 +14,7 @@ from pulsegrid.functions.strict_json import (
     named_members,
     parse_document,
 )
-from pulsegrid.functions.topics import user_id_from_topic
+from pulsegrid.functions.topics import match_topic_filter, user_id_from_topic
 from pulsegrid.operators.once import computed_once
 from pulsegrid.schemas import TELEMETRY, DomainSpec, Field
 
@@ -79,6 +79,12 @@ def parse_telemetry(decoded: DataFrame) -> DataFrame:
     return stamp_user(parse_readings(decoded.where(F.col("skip_reason").isNull()), TELEMETRY))
 
 
+def parse_domain(decoded: DataFrame, spec: DomainSpec) -> DataFrame:
+    """Decoded messages on the topics of a domain to its typed readings with ``error``."""
+    own = F.col("skip_reason").isNull() & match_topic_filter(F.col("topic"), spec.topic_filter)
+    return stamp_user(parse_readings(decoded.where(own), spec))
+
+
 def split_accept_reject(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows and failed rows; every input row is in exactly one of the two."""
     return (
@@ -131,7 +137,7 @@ def matching_alerts(
 
 
 def find_message(readings: DataFrame, device_id: str, sequence_id: int) -> DataFrame:
-    """Rows of one device and sequence number; the filter reaches the scan."""
+    """Rows of one device and sequence number; over stored rows, the filter reaches the scan."""
     return readings.where(
         (F.col("device_id") == device_id) & (F.col("sequence_id") == sequence_id)
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.strict_json import quoted
 from pulsegrid.operators.envelope import decode_envelope
 from pulsegrid.operators.once import computed_once
+from pulsegrid.schemas import DomainSpec, Field
 from pulsegrid.operators.parse import parse_telemetry, split_accept_reject
 from pulsegrid.session import configure
 from pulsegrid.sources.messages import spread
@@ -331,6 +332,54 @@ def hostile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Another domain: parcels with a status and a price.
+DELIVERY = DomainSpec(
+    fields=(
+        Field("time", "timestamp", required=True),
+        Field("package_id", "string", required=True, non_empty=True),
+        Field("status", "string", required=True),
+        Field("price", "double", required=True),
+    ),
+    key=("time", "package_id"),
+    time="time",
+    topic_filter="users/+/packages/+",
+)
+
+
+def delivery_payload() -> Column:
+    """Payload of an order as a delivery."""
+    return F.to_json(
+        F.struct(
+            iso(F.col("o_orderdate").cast("timestamp")).alias("time"),
+            F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("package_id"),
+            F.col("o_orderstatus").alias("status"),
+            F.col("o_totalprice").alias("price"),
+        )
+    )
+
+
+def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as message rows: every seventh comes twice, every eleventh has no price, some other topics."""
+    n = F.col("o_orderkey")
+    payload = F.when(n % 11 == 0, F.regexp_replace(delivery_payload(), ',"price":[^}]*', "")).otherwise(delivery_payload())
+    place = F.when(n % 13 == 0, "elsewhere").otherwise("packages")
+    topic = F.concat(F.lit("users/u"), n % 5, F.lit("/"), place, F.lit("/p"), n)
+    value = F.concat(F.lit('{"payload":'), payload, F.lit(',"topic":"'), topic, F.lit('"}'))
+    change = F.lit(CHANGE_AT).cast("timestamp")
+    when = F.when(n % 2 == 0, change).otherwise(change - F.expr("INTERVAL 1 DAY"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.lit(None).cast("binary").alias("key"),
+        value.cast("binary").alias("value"),
+        F.lit("deliveries").alias("topic"),
+        F.lit(0).alias("partition"),
+        n.cast("long").alias("offset"),
+        when.alias("timestamp"),
+        F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
+    )
+    later = rows.where(F.col("offset") % 7 == 0).withColumns({"offset": F.col("offset") + 10**9, "timestamp": change})
+    return rows.unionByName(later)
+
+
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per event type that climbs with the event id and falls back every 1000 events."""
     return events(spark, sf_dir).select(

@@ -476,6 +476,10 @@ def oracles() -> dict[str, str]:
             event_id AS sequence_id, value AS temperature,
             '{{"ingest_timestamp":' || (epoch_us(ts) // 1000) || ',"k":' || k || '}}' AS extra_data
             FROM good""",
+        "stream_ingest_deliveries": """SELECT CAST(o_orderdate AS TIMESTAMP) AS time, 'p' || o_orderkey AS package_id,
+            o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price,
+            strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+            WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",
         "stream_replay": f"""{base} SELECT ts AS time, uid AS user_id, event_type AS device_id,
             event_id AS sequence_id, value AS temperature FROM e WHERE fault IN ('good', 'text_temperature')""",
         "stream_dead_letters": f"{base} SELECT topic AS key, reason AS error FROM bad",

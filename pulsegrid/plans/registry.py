@@ -13,12 +13,12 @@ from pulsegrid.functions.rules import rule_value as value_of
 from pulsegrid.operators import access, alerts, control, dead_letter, metrics, parse, rules
 from pulsegrid.operators import envelope, storing, traces
 from pulsegrid.plans import fixtures as fx
-from pulsegrid.schemas import ALERT_KEYS, DomainSpec, Field
+from pulsegrid.schemas import ALERT_KEYS
 from pulsegrid.session import fresh_folder
 from pulsegrid.sources import compaction
 from pulsegrid.sources.files import Files
 from pulsegrid.sources.messages import file_source
-from pulsegrid.sources.tables import read_batches, read_telemetry
+from pulsegrid.sources.tables import read_batches, read_readings, read_telemetry
 from pulsegrid.streaming import keyed, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,17 +239,6 @@ def range_validate(spark, sf_dir):
 @query
 def custom_predicates(spark, sf_dir):
     """Another domain: orders as deliveries with a status, watched by customer price limits."""
-    spec = DomainSpec(
-        fields=(
-            Field("time", "timestamp", required=True),
-            Field("package_id", "string", required=True, non_empty=True),
-            Field("status", "string", required=True),
-            Field("price", "double", required=True),
-        ),
-        key=("time", "package_id"),
-        time="time",
-        topic_filter="users/+/packages/+",
-    )
     orders = fx.table(spark, sf_dir, "orders")
     customers = fx.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("price_floor")
@@ -257,16 +246,9 @@ def custom_predicates(spark, sf_dir):
     messages = orders.select(
         "o_custkey",
         F.lit(None).cast("string").alias("skip_reason"),
-        F.to_json(
-            F.struct(
-                fx.iso(F.col("o_orderdate").cast("timestamp")).alias("time"),
-                F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("package_id"),
-                F.col("o_orderstatus").alias("status"),
-                F.col("o_totalprice").alias("price"),
-            )
-        ).alias("payload"),
-    )
-    rows = parse.parse_readings(messages, spec).where(F.col("error").isNull())
+        fx.delivery_payload().alias("payload"),
+    )
+    rows = parse.parse_readings(messages, fx.DELIVERY).where(F.col("error").isNull())
     watched = rows.join(customers, "o_custkey")
     return parse.matching_alerts(
         watched,
@@ -910,6 +892,18 @@ def stream_ingest_compacted(spark, sf_dir):
     )
 
 
+@query
+def stream_ingest_deliveries(spark, sf_dir):
+    """Another domain through the same live writer."""
+
+    def start(messages, store, **trigger):
+        return live.start_ingest(messages, store, spec=fx.DELIVERY, **trigger)
+
+    store = _delivered(spark, sf_dir, "stream_ingest_deliveries", start, fx.delivery_rows(spark, sf_dir))
+    stored = read_readings(spark, store.telemetry, fx.DELIVERY)
+    return stored.select("time", "package_id", "status", "price", F.col("dt").cast("string").alias("day"))
+
+
 @query
 def stream_replay(spark, sf_dir):
     """Temperatures sent as text are repaired and played, twice; the other letters fail again."""

@@ -72,6 +72,15 @@ DEFAULT_RULE = {
 }
 
 
+KINDS = {
+    "string": T.StringType(),
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 @dataclass(frozen=True)
 class Field:
     """One typed payload field. ``kind`` is string, long, int, double or timestamp."""
@@ -95,6 +104,18 @@ class DomainSpec:
     def names(self) -> list[str]:
         return [f.name for f in self.fields]
 
+    @property
+    def stored(self) -> list[str]:
+        """Columns of a stored reading: the key, the other fields, and what no field names."""
+        return [*self.key, *[n for n in self.names if n not in self.key], "extra_data"]
+
+    @property
+    def table(self) -> T.StructType:
+        """Schema of the stored readings; the date of their time is the partition."""
+        kinds = {f.name: KINDS[f.kind] for f in self.fields}
+        fields = [T.StructField(n, kinds.get(n, T.StringType())) for n in self.stored]
+        return T.StructType([*fields, T.StructField("dt", T.DateType())])
+
 
 TELEMETRY = DomainSpec(
     fields=(

@@ -12,37 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.operators.parse import find_message
-from pulsegrid.operators.storing import (
-    KEY,
-    STORED,
-    anti_join_existing,
-    dedupe_first_wins,
-    touched,
-    with_date,
-)
+from pulsegrid.operators.storing import anti_join_existing, dedupe_first_wins, touched, with_date
+from pulsegrid.schemas import TELEMETRY, DomainSpec
 from pulsegrid.sources.compaction import with_compacted
 from pulsegrid.sources.files import Files
 
 # Dates listed one by one in the partition filter; more are found by a join.
 LISTED_DATES = 1000
 
-READINGS = T.StructType(
-    [
-        T.StructField("time", T.TimestampType()),
-        T.StructField("user_id", T.StringType()),
-        T.StructField("device_id", T.StringType()),
-        T.StructField("sequence_id", T.LongType()),
-        T.StructField("temperature", T.DoubleType()),
-        T.StructField("battery", T.IntegerType()),
-        T.StructField("extra_data", T.StringType()),
-        T.StructField("dt", T.DateType()),
-    ]
-)
+def read_readings(spark: SparkSession, path: str, spec: DomainSpec) -> DataFrame:
+    """Stored readings of a domain, compacted or not; an absent table is empty."""
+    return with_compacted(spark, path, _read(spark, path, spec.table), spec.table)
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Stored readings, compacted or not; an absent table is empty."""
-    return with_compacted(spark, path, _read(spark, path, READINGS), READINGS)
+    """Stored telemetry."""
+    return read_readings(spark, path, TELEMETRY)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -66,16 +51,23 @@ def find_stored(
 
 
 def write_telemetry(rows: DataFrame, path: str) -> dict[str, int]:
+    """Store telemetry once; see ``write_readings``."""
+    return write_readings(rows, path, TELEMETRY)
+
+
+def write_readings(rows: DataFrame, path: str, spec: DomainSpec) -> dict[str, int]:
     """Store readings once: the first row of a key wins, in the batch and against the table.
 
-    Needs the arrival columns ``partition, offset``. Only the dates of the batch are compared,
+    The time of ``spec`` is part of its key. Needs the arrival columns ``partition, offset``. Only the dates of the batch are compared,
     and running the same batch again stores nothing new, so a repeated micro-batch is harmless.
     Large dates are written by several tasks, small ones share a task. Returns how many rows were
     ``offered`` and ``written``.
     """
-    spark = rows.sparkSession
-    span = [F.min("time").alias("low"), F.max("time").alias("high"), F.count(F.lit(1)).alias("n")]
-    dated = with_date(rows).groupBy("dt").agg(*span)
+    spark, key, time = rows.sparkSession, list(spec.key), spec.time
+    if time not in key:
+        raise ValueError(f"{time} must be part of the key")
+    span = [F.min(time).alias("low"), F.max(time).alias("high"), F.count(F.lit(1)).alias("n")]
+    dated = with_date(rows, time).groupBy("dt").agg(*span)
     found = dated.limit(LISTED_DATES + 1).collect()
     if not found:
         return {"offered": 0, "written": 0}
@@ -83,16 +75,16 @@ def write_telemetry(rows: DataFrame, path: str) -> dict[str, int]:
     listed = len(dates) <= LISTED_DATES
     whole = None if listed else dated.agg(F.min("low"), F.max("high"), F.sum("n")).first()
     low, high, offered = whole or (min(r.low for r in found), max(r.high for r in found), sum(r.n for r in found))
-    firsts = with_date(dedupe_first_wins(rows.select(*STORED, "partition", "offset")))
+    firsts = with_date(dedupe_first_wins(rows.select(*spec.stored, "partition", "offset"), key), time)
     # time is part of the key, so only the batch's span of it can hold copies
-    stored = read_telemetry(spark, path).where(F.col("time").between(F.lit(low), F.lit(high)))
+    stored = read_readings(spark, path, spec).where(F.col(time).between(F.lit(low), F.lit(high)))
     same_dates = touched(stored, firsts, dates if listed else None)
-    new = anti_join_existing(firsts, same_dates, KEY).select(*STORED, "dt")
+    new = anti_join_existing(firsts, same_dates, key).select(*spec.stored, "dt")
     new = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         written = new.count()
         if written:
-            laid_out = new.hint("rebalance", "dt").sortWithinPartitions("dt", "time")
+            laid_out = new.hint("rebalance", "dt").sortWithinPartitions("dt", time)
             laid_out.write.mode("append").partitionBy("dt").parquet(path)
     finally:
         new.unpersist()

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pulsegrid.functions.topics import control_route
 from pulsegrid.operators import alerts, control, dead_letter, metrics, parse, rules, storing
 from pulsegrid.operators.envelope import decode_envelope, skipped_messages
-from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES
+from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES, TELEMETRY, DomainSpec
 from pulsegrid.session import configure
 from pulsegrid.sources.tables import (
     BATCH_COLUMNS,
@@ -30,6 +30,7 @@ from pulsegrid.sources.tables import (
     append_batch,
     query_id,
     read_measure,
+    write_readings,
     write_telemetry,
 )
 
@@ -124,10 +125,13 @@ def start_ingest(
     store: Store,
     bounds: dict | None = None,
     send_failed: Callable[[DataFrame], None] | None = None,
+    spec: DomainSpec | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Store valid readings once, failed ones as dead letters, and count what was skipped.
 
+    Without ``spec`` these are telemetry, on all topics but those of control messages. A ``spec`` takes
+    the messages on its own topics, keyed, timed and typed as it says; each domain has a store of its own.
     ``bounds`` adds range checks. ``send_failed`` also gets the dead letters of each batch, say to
     write them to a Kafka topic; it may see them again if the batch is repeated. The trigger is
     ``availableNow=True`` or ``processingTime=...``.
@@ -137,13 +141,17 @@ def start_ingest(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
         decoded = decode_envelope(rows)
-        telemetry = decoded.where(control_route(F.col("topic")).isNull())
-        readings = parse.parse_telemetry(telemetry).drop("document", "extras")
+        if spec is None:
+            readings = parse.parse_telemetry(decoded.where(control_route(F.col("topic")).isNull()))
+        else:
+            readings = parse.parse_domain(decoded, spec)
+        readings = readings.drop("document", "extras")
         if bounds:
             readings = parse.range_validate(readings, bounds)
+        kind = spec or TELEMETRY
         with _kept(readings) as readings:
-            good, bad = storing.quarantine_split(readings)
-            counts = write_telemetry(good, store.telemetry)
+            good, bad = storing.quarantine_split(readings, list(kind.key))
+            counts = write_readings(good, store.telemetry, kind)
             counted = rows.sparkSession.createDataFrame([counts], "offered long, written long")
             append_batch(counted, store.writes, query, batch_id)
             letters = dead_letter.to_dead_letter(bad)

@@ -283,3 +283,27 @@ def test_stored_rules_that_cannot_be_read_are_no_rules(spark):
     assert {r.user_id: len(r.rules) for r in load_rules(stored).collect()} == {
         "a": 0, "b": 0, "c": 0, "d": 1,
     }
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [
+        ('{"a":"Infinity","a":"x","b":1e999}', False),
+        ('{"note":"\\u0049nfinity","x":1e100}', True),
+        ('{"a":1e999,"a":1}', False),
+        ('{"a":"1e999"}', True),
+        ('{"a":"\\"1e999","b":[-1e400]}', False),
+        ('{"a":"\\\\","b":"1e999"}', True),
+        ('{"1e999":0}', True),
+        ('{"a":1e-999}', True),
+        ('{"a":1E+308,"b":1e0308}', True),
+        ('{"a":1e309}', False),
+        ('{"a":' + "9" * 250 + "e99}", False),
+        ('{"a":' + "9" * 250 + "}", True),
+        ('{"a":0.' + "9" * 350 + "}", True),
+        ('{"a":"' + '\\"' * 20_000 + '","b":1e999}', False),
+    ],
+)
+def test_numbers_out_of_range(spark, text, valid):
+    row = spark.createDataFrame([(text,)], "t string").select(parse_document(F.col("t")).isNotNull().alias("ok"))
+    assert row.first().ok == valid
