@@ -1,11 +1,14 @@
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import access, rules, storing
+from pulsegrid.operators import access, parse, rules, storing
 from pulsegrid.operators.ordered_groups import ordered_groups, together
+from pulsegrid.schemas import DomainSpec, Field
 from pulsegrid.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -211,3 +214,34 @@ def test_the_newest_update_replaces_what_is_stored(spark):
     assert got == {"a": 2.0, "b": 1.0, "c": 1.0}
     plan = rules.upsert_config(stored, updates, ["at"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_another_domain_is_stored_once(spark, tmp_path):
+    spec = DomainSpec(
+        fields=(Field("at", "timestamp", required=True), Field("box", "string", required=True), Field("grams", "long")),
+        key=("at", "box"),
+        time="at",
+        topic_filter="boxes/+",
+    )
+    assert spec.stored == ["at", "box", "grams", "extra_data"]
+    kind = "at timestamp, box string, grams bigint, extra_data string, partition int, offset bigint"
+    path = str(tmp_path / "boxes")
+    rows = [(T0 + timedelta(days=i % 3), f"b{i % 5}", i, "{}", 0, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, kind)
+    assert tables.read_readings(spark, path, spec).count() == 0
+    assert tables.write_readings(frame, path, spec) == {"offered": 40, "written": 15}
+    assert tables.write_readings(frame, path, spec)["written"] == 0
+    got = {(r.at, r.box): r.grams for r in tables.read_readings(spark, path, spec).collect()}
+    assert got == {(r[0], r[1]): r[2] for r in reversed(rows)}
+    with pytest.raises(ValueError, match="key"):
+        tables.write_readings(frame, path, replace(spec, key=("box",)))
+
+
+def test_messages_of_a_domain(spark):
+    spec = DomainSpec(fields=(Field("box", "string", required=True),), key=("box",), time="box", topic_filter="users/+/boxes/#")
+    rows = [("users/u/boxes", '{"box":"a","x":1}', None), ("users/u/boxes/7", "{}", None), ("users/u/bags", '{"box":"b"}', None), ("users/u/boxes", None, "not_an_envelope")]
+    got = parse.parse_domain(spark.createDataFrame(rows, "topic string, payload string, skip_reason string"), spec).collect()
+    assert sorted((r.box or "", r.user_id, r.extra_data, r.error) for r in got) == [
+        ("", "u", "{}", "Invalid JSON: missing field `box`"),
+        ("a", "u", '{"x":1}', None),
+    ]
