@@ -27,6 +27,8 @@ SHORT_COLUMN = 8
 #: At most this many shingles are moved to the end of the order; any choice gives the same links.
 FREQUENT = 1 << 18
 BLOCK_BYTES = 1 << 20
+#: Texts of an Arrow batch that are Python strings at one time.
+TEXTS = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -104,7 +106,7 @@ def members(docs: DataFrame, n: int = 5) -> DataFrame:
     """Rows (doc_id, text_hash, set_id, n_shingles), one per row of ``docs``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, TEXTS):
             sets = shingle_sets(batch.column(2).to_pylist(), n)
             names = pa.array([_name(s) for s in sets], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int64())
@@ -119,7 +121,8 @@ def _repeated(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(0).to_pylist(), n)
+            parts = [shingle_sets(part.column(0).to_pylist(), n) for part in small_batches([batch], TEXTS)]
+            sets = [s for part in parts for s in part]
             if sets and (whole := np.concatenate(sets)).size:
                 shingles, seen = np.unique(whole, return_counts=True)
                 own = seen > 1
@@ -151,7 +154,7 @@ def _entries(docs: DataFrame, n: int, percent: int, frequent, blocks: int) -> Da
     def run(batches):
         done: set[int] = set()
         late = frequent.value
-        for batch in batches:
+        for batch in small_batches(batches, 4 * TEXTS):
             parts = []
             for shingles in shingle_sets(batch.column(0).to_pylist(), n):
                 name = _name(shingles)
