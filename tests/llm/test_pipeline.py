@@ -135,7 +135,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
     assert set(__spark_entry__.oracle_sql()) <= names
 
