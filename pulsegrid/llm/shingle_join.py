@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.codes import small_batches
@@ -24,6 +24,8 @@ from pulsegrid.session import fresh_folder
 
 #: Columns of at most this many documents give all their pairs at once.
 SHORT_COLUMN = 8
+#: Passes that take entries out of long columns before these are multiplied; speed only.
+CONTESTS = 3
 #: At most this many shingles are moved to the end of the order; any choice gives the same links.
 FREQUENT = 1 << 18
 BLOCK_BYTES = 1 << 20
@@ -165,30 +167,31 @@ def _entries(docs: DataFrame, n: int, percent: int, frequent, blocks: int) -> Da
                 if len(late):
                     at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
                     often = late[at] == shingles
-                    ordered = np.concatenate([shingles[~often], shingles[often]])
+                    ordered, rare = np.concatenate([shingles[~often], shingles[often]]), int((~often).sum())
                 else:
-                    ordered = shingles
+                    ordered, rare = shingles, len(shingles)
                 size = len(shingles)
                 first = ordered[: size - least_overlap(size, percent) + 1]
-                parts.append((first, name, size))
+                parts.append((first, name, size, 255 * rare // size))
             if not parts:
                 continue
             shingles = np.concatenate([p[0] for p in parts])
             lengths = [len(p[0]) for p in parts]
             names = np.repeat(np.array([p[1] for p in parts], np.int64), lengths)
             sizes = np.repeat(np.array([p[2] for p in parts], np.int32), lengths)
+            rare = np.repeat(np.array([p[3] for p in parts], np.uint8), lengths)
             block = (shingles >> np.uint64(40)) % np.uint64(blocks)
             order = np.argsort(block, kind="stable")
             edges = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
             rows = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 own = order[a:b]
-                rows.append((int(block[own[0]]), shingles[own].tobytes(), names[own].tobytes(), sizes[own].tobytes()))
+                rows.append((int(block[own[0]]), *(x[own].tobytes() for x in (shingles, names, sizes, rare))))
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             columns[0] = columns[0].cast(pa.int32())
-            yield pa.RecordBatch.from_arrays(columns, ["block", "shingles", "names", "sizes"])
+            yield pa.RecordBatch.from_arrays(columns, ["block", "shingles", "names", "sizes", "rare"])
 
-    return docs.select("text").mapInArrow(run, "block int, shingles binary, names binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "block int, shingles binary, names binary, sizes binary, rare binary")
 
 
 PRODUCT = "kind int, shingle long, a long, b long, size int, need int"
@@ -211,10 +214,11 @@ def _product(percent: int):
         shingles = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
         names = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64)
         sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.int32)
+        rare = np.frombuffer(b"".join(table.column("rare").to_pylist()), np.uint8)
         order = np.lexsort((names, shingles))
-        shingles, names, sizes = shingles[order], names[order], sizes[order]
+        shingles, names, sizes, rare = shingles[order], names[order], sizes[order], rare[order]
         fresh = np.append(True, (shingles[1:] != shingles[:-1]) | (names[1:] != names[:-1])) if len(names) else []
-        shingles, names, sizes = shingles[fresh], names[fresh], sizes[fresh]
+        shingles, names, sizes, rare = shingles[fresh], names[fresh], sizes[fresh], rare[fresh]
         starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
         counts = np.diff(np.append(starts, len(shingles)))
         column = np.repeat(np.arange(len(starts)), counts)
@@ -231,13 +235,20 @@ def _product(percent: int):
         left, right = left[fits], right[fits]
         sizes = sizes.astype(np.int64)
         long = np.flatnonzero(~short)
-        # one of a few pivots per column, of the sizes next to the member's
+        # one of a few pivots per column, of the sizes next to the member's: the one with the smallest
+        # share of rare shingles, because copies that were changed least are near most of the others
         level = (np.log(np.maximum(sizes, 1)) / math.log(100 / percent) * 2).astype(np.int64)
-        stars = long[np.lexsort((names[long], level[long], column[long]))]
+        stars = long[np.lexsort((names[long], rare[long], level[long], column[long]))]
         group = np.append(True, (column[stars][1:] != column[stars][:-1]) | (level[stars][1:] != level[stars][:-1]))
-        pivot = stars[np.flatnonzero(group)[np.cumsum(group) - 1]] if len(stars) else stars
+        heads = stars[group] if len(stars) else stars
+        pivot = heads[np.cumsum(group) - 1] if len(stars) else stars
         own = pivot != stars
         pivot, stars = pivot[own], stars[own]
+        for step in (1, 2):  # similar sets are at most two levels apart: link the pivots of these too
+            one, two = heads[:-step], heads[step:]
+            low, high = np.minimum(sizes[one], sizes[two]), np.maximum(sizes[one], sizes[two])
+            near = (column[one] == column[two]) & (low * 100 >= high * percent)
+            pivot, stars = np.append(pivot, one[near]), np.append(stars, two[near])
         kind = np.repeat(np.array([0, 1, 2], np.int32), [len(left), len(stars), len(long)])
         nothing = np.zeros(len(left) + len(stars), np.int64)
         a = np.concatenate([names[left], names[pivot], names[long]])
@@ -371,6 +382,37 @@ def _write(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.parquet(folder)
 
 
+def _need(small: Column, large: Column, percent: int) -> Column:
+    """``least_met`` as a column."""
+    shared = F.ceil((small + large) * percent / (100 + percent))
+    return shared - F.floor((large * percent + 99) / 100) + 1
+
+
+def _contested(long: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Entries of long columns at which a set may meet a similar one of another group.
+
+    Two such sets meet on at most as many columns as either has among the contested ones (``inside``)
+    or shares short ones with any other set (``most``). An entry whose set cannot reach, that way, what
+    the partner of the most favourable size in its column needs, goes; then fewer columns are contested,
+    and fewer columns are left to count. Every entry that a similar pair of two groups shares stays.
+    """
+    ends = met.select(F.explode(F.array("a", "b")).alias("node"), "met").filter("met > 0")
+    most = ends.groupBy("node").agg(F.max("met").alias("most"))
+    long = long.join(most, "node", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    names = ["shingle", "node", "size", "component", "most"]
+    spans = [F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("size").alias("_small"), F.max("size").alias("_large")]
+    for _ in range(CONTESTS):
+        open_columns = long.groupBy("shingle").agg(*spans).filter("_lo < _hi")
+        long = _write(long.select(*names).join(open_columns, "shingle"), "columns")
+        long = long.join(long.groupBy("node").agg(F.count(F.lit(1)).alias("inside")), "node")
+        small = F.greatest(F.col("_small"), F.col("size") * percent / 100)
+        large = F.least(F.col("_large"), F.col("size") * 100 / percent)
+        # least_met without rounding up: it falls with the larger size and grows with the smaller
+        least = [(x + y) * percent / (100 + percent) - (y * percent + 99) / 100 + 1 for x, y in ((small, F.col("size")), (F.col("size"), large))]
+        long = long.filter(F.col("inside") + F.col("most") >= F.least(*least) - 1e-6)
+    return _write(long.select(*names, "inside"), "contested")
+
+
 def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = None) -> DataFrame:
     """Rows (a, b): links that connect all similar sets; links inside a found group may be left out.
 
@@ -388,17 +430,17 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
     first = _write(_linked(pairs, docs, n, percent), "links")
     found = components(first)
     label = F.coalesce("component", "node").alias("component")
-    long = long.join(found, "node", "left").select("shingle", "node", "size", label)
-    mixed = long.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    long = _write(long.join(mixed.filter("lo < hi").select("shingle"), "shingle"), "columns")
-    one, two = (long.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component")]) for s in "ab")
+    long = _contested(long.join(found, "node", "left").select("shingle", "node", "size", label), met, percent)
+    sides = ("node", "size", "component", "inside", "most")
+    one, two = (long.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in sides]) for s in "ab")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    reach = F.least("inside_a", "inside_b") + F.least("most_a", "most_b")
     across = one.join(two, "shingle").filter("component_a < component_b").filter(small * 100 >= large * percent)
+    across = across.filter(reach >= _need(small, large, percent))
     across = across.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    shared = F.ceil((F.col("small") + F.col("large")) * percent / (100 + percent))
-    need = shared - F.floor((F.col("large") * percent + 99) / 100) + 1
     counted = across.agg(F.count(F.lit(1)).alias("_long"), F.min(small).alias("small"), F.min(large).alias("large"))
     counted = counted.join(met.select("a", "b", "met"), ["a", "b"], "left")
+    need = _need(F.col("small"), F.col("large"), percent)
     more = counted.filter(F.col("_long") + F.coalesce("met", F.lit(0)) >= need).select("a", "b")
     more = _write(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     return first.union(_linked(more, docs, n, percent))
