@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,43 @@ def test_near_duplicates_of_nothing(spark):
     assert projections.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     none = spark.createDataFrame([(1, None, 0), (2, [0.0], 0)], VECTORS)
     assert sorted(map(tuple, projections.near_duplicates(none).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_pivots_are_the_least_changed_sets():
+    sizes = np.array([100] * 12 + [120] * 10, np.int32)  # of two levels next to each other
+    names = np.arange(22, dtype=np.int64)
+    rare = np.array([9, 8, 7, 1, *range(20, 28), *range(50, 55), 2, *range(60, 64)], np.uint8)
+    columns = [np.full(22, 5, np.uint64), names, sizes, rare]
+    block = pa.table({k: [c.tobytes()] for k, c in zip(("shingles", "names", "sizes", "rare"), columns)})
+    found = shingle_join._product(75)(block).to_pandas()
+    stars = {(r.a, r.b) for r in found[found.kind == 1].itertuples()}
+    near, far = 3, 17
+    expected = {tuple(sorted((near, i))) for i in range(12) if i != near}
+    expected |= {tuple(sorted((far, i))) for i in range(12, 22) if i != far} | {(near, far)}
+    assert stars == expected
+
+
+def test_contested_entries_keep_every_pair_that_shares_enough(spark):
+    rnd = np.random.default_rng(7)
+    sizes = rnd.integers(50, 58, 40)
+    groups_of = rnd.integers(0, 12, 40)
+    entries = {(int(s), int(n)) for n in range(40) for s in rnd.choice(20, rnd.integers(1, 14), replace=False)}
+    short = [(int(a), int(b), int(m)) for a, b, m in zip(range(0, 38, 3), range(1, 39, 3), rnd.integers(0, 4, 13))]
+    long = spark.createDataFrame(
+        [(s, n, int(sizes[n]), int(groups_of[n])) for s, n in entries], "shingle long, node long, size int, component long"
+    )
+    met = spark.createDataFrame(short, "a long, b long, met long")
+    left = {(r.shingle, r.node) for r in shingle_join._contested(long, met, 75).collect()}
+    assert left <= entries and len(left) < len(entries)
+    counts = {(a, b): m for a, b, m in short}
+    similar = 0
+    for a in range(40):
+        for b in range(a + 1, 40):
+            shared = {s for s, n in entries if n == a} & {s for s, n in entries if n == b}
+            low, high = sorted((int(sizes[a]), int(sizes[b])))
+            if groups_of[a] == groups_of[b] or low * 100 < high * 75 or not shared:
+                continue
+            if len(shared) + counts.get((a, b), 0) >= shingle_join.least_met(low, high, 75):
+                similar += 1
+                assert all((s, n) in left for s in shared for n in (a, b))
+    assert similar
