@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.rules import rule_holds, rule_value
 from pulsegrid.functions.strict_json import as_number, as_text, members, parse_document
 from pulsegrid.operators.once import computed_once
+from pulsegrid.operators.ordered_groups import SLICE, ordered_groups
 from pulsegrid.operators.storing import latest_by_key
 from pulsegrid.schemas import DEFAULT_RULE, RULES
 
@@ -87,22 +88,48 @@ def rule_intervals(changes: DataFrame, at: str, tie: list[str], arrival: bool) -
     A user's changes are cut into about ``INTERVALS`` per bucket; an interval lies in every bucket it
     touches. Bucket 0 begins with the user's first change (``_start``, microseconds), each lasts ``_width``
     and the last one has no end. ``_from`` and ``_to`` are times, or with ``arrival`` places of messages.
+
+    The change after a change is looked up within a slice of time, then among the slices of its user, so
+    the changes of one user are many tasks' work.
     """
-    place = F.struct(at, *tie) if arrival else F.struct(at)
-    by_place = Window.partitionBy("user_id").orderBy(at, *tie)
+    def place(of: str | None = None) -> Column:
+        return F.struct(*[F.col(f"{of}.{c}" if of else c).alias(c) for c in ([at, *tie] if arrival else [at])])
+
+    # a change of no user meets no reading
+    rows = changes.where("user_id IS NOT NULL").select("user_id", at, *tie, "rules")
+    rows = ordered_groups(rows, ["user_id"], [at, *tie]).df
+    in_slice = Window.partitionBy("user_id", SLICE).orderBy(at, *tie)
+    local = rows.select("*", F.lead(F.struct(at, *tie)).over(in_slice).alias("_after"))
     micros = F.unix_micros(at)
-    first, last = F.min(micros).over(all_of := Window.partitionBy("user_id")), F.max(micros).over(all_of)
-    cut = F.ceil(F.count(F.lit(1)).over(all_of) / INTERVALS).cast("long")
-    rows = changes.select("user_id", at, *tie, "rules").select(
+    slices = rows.groupBy("user_id", SLICE).agg(
+        F.min(F.struct(at, *tie)).alias("_begin"),
+        F.min(micros).alias("_low"),
+        F.max(micros).alias("_high"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    all_of = Window.partitionBy("user_id")
+    first, last = F.min("_low").over(all_of), F.max("_high").over(all_of)
+    cut = F.ceil(F.sum("_n").over(all_of) / INTERVALS).cast("long")
+    users = slices.select(
         "user_id",
-        F.coalesce(micros, first).alias("_micros"),
+        SLICE,
+        F.lead("_begin").over(all_of.orderBy(SLICE)).alias("_begin"),
+        first.alias("_first"),
         F.coalesce(first, F.lit(0)).alias("_start"),
         # a change before all times has no time of its own: its user's buckets begin with the others
         F.ceil((F.coalesce(last, F.lit(0)) - F.coalesce(first, F.lit(0)) + 1) / cut).cast("long").alias("_width"),
         cut.alias("_buckets"),
-        place.alias("_from"),
-        F.lead(place).over(by_place).alias("_to"),
-        F.lead(micros).over(by_place).alias("_next"),
+    )
+    rows = local.join(users, ["user_id", SLICE]).withColumn("_after", F.coalesce("_after", "_begin"))
+    rows = rows.select(
+        "user_id",
+        F.coalesce(micros, "_first").alias("_micros"),
+        "_start",
+        "_width",
+        "_buckets",
+        place().alias("_from"),
+        F.when(F.col("_after").isNotNull(), place("_after")).alias("_to"),
+        F.unix_micros(f"_after.{at}").alias("_next"),
         F.col("rules").alias("_rules"),
     )
     rows = rows.where("_to IS NULL OR _from < _to")

@@ -1,8 +1,13 @@
 """Plans that hold for large tables: no side that grows is sent to every executor, no user is one task's work."""
 
+import re
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import rules
 from pulsegrid.plans import registry
+from pulsegrid.schemas import RULES
 
 T0 = datetime(2024, 1, 1)
 
@@ -24,3 +29,31 @@ def test_orders_and_customers_meet_without_a_broadcast(spark, tmp_path):
     assert "Broadcast" not in executed_plan(found)
     delayed = {(f"p{i}", "DeliveryDelay") for i in (1, 3, 7, 9)}
     assert {(r.package_id, r.alert_type) for r in found.collect()} == delayed | {("p3", "PriceCrash")}
+
+
+def changes_of(spark, rows):
+    """From (user, time, sequence number) triples; the threshold tells the change."""
+    rows = [(u, t, n, [("k", ">", float(n), "m")]) for u, t, n in rows]
+    return spark.createDataFrame(rows, f"user_id string, time timestamp, sequence_id long, rules {RULES.simpleString()}")
+
+
+def test_rules_as_of_changes_in_many_slices(spark):
+    """Hours without a change, many changes at one time, changes without a time, and changes of no user."""
+    times = [T0 + timedelta(hours=h, minutes=m) for h in (0, 1, 5, 5, 30) for m in (0, 20, 20, 59)]
+    changes = [("u", t, n) for n, t in enumerate(times)] + [("v", None, 90), ("v", T0, 91), (None, T0, 92), ("w", None, 93)]
+    at = sorted({t + timedelta(seconds=s) for t in times for s in (-1, 0, 1)})
+    rows = [(u, t) for u in ("u", "v", "w", "x", None) for t in at]
+    readings = spark.createDataFrame(rows, "rule_user string, time timestamp").withColumn("sequence_id", F.lit(0).cast("long"))
+    got = rules.rules_as_of(readings, changes_of(spark, changes)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        held = [(t or datetime.min, n) for u, t, n in changes if u is not None and u == r.rule_user and (t is None or t <= r.time)]
+        want = None if r.rule_user is None else max(held)[1] if held else 80.0
+        assert (r.rules[0].threshold if r.rules else None) == want
+
+
+def test_changes_of_one_user_are_not_ordered_in_one_task(spark):
+    changes = changes_of(spark, [("u", T0 + timedelta(hours=h), h) for h in range(50)])
+    plan = rules.rule_intervals(changes, "time", ["sequence_id"], False)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window .*, \[user_id#\d+, _slice#\d+L?\], \[time#", plan)
+    assert not re.search(r"Window .*, \[user_id#\d+\], \[time#", plan)
