@@ -62,7 +62,8 @@ def _winners(rows: DataFrame, key: list[str], order: list[str], pick: Callable[[
     spread = together(rows.withColumns(names).repartition(*names))
     picked = spread.groupBy(*key).agg(pick("_place").alias("_place"))
     picked = picked.select("_place", F.xxhash64(*key).alias("_hash"))
-    found = spread.join(picked, list(names), "left_semi")
+    # one place per key is no small table, however small Spark expects what was parsed to be
+    found = spread.join(picked.hint("merge"), list(names), "left_semi")
     if len(plain) == len(rows.columns):
         found = found.distinct()  # whole copies lie in one partition already
     return found.select(*rows.columns)
@@ -93,9 +94,12 @@ def _picked_rows(rows: DataFrame, key: list[str], pick: Callable[[Column, Column
 def anti_join_existing(
     rows: DataFrame, stored: DataFrame, key: list[str] | None = None
 ) -> DataFrame:
-    """Rows whose key is not stored yet. ``rows`` should be free of copies."""
+    """Rows whose key is not stored yet. ``rows`` should be free of copies.
+
+    Both sides are shuffled by key: what is stored grows without end and is never sent to every executor.
+    """
     key = key or KEY
-    return rows.join(stored.select(*key), key, "left_anti")
+    return rows.join(stored.select(*key).hint("merge"), key, "left_anti")
 
 
 def with_date(rows: DataFrame, time: str = "time") -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import rules
+from pulsegrid.operators import rules, storing
 from pulsegrid.plans import registry
 from pulsegrid.schemas import RULES
 
@@ -57,3 +57,20 @@ def test_changes_of_one_user_are_not_ordered_in_one_task(spark):
     plan = rules.rule_intervals(changes, "time", ["sequence_id"], False)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Window .*, \[user_id#\d+, _slice#\d+L?\], \[time#", plan)
     assert not re.search(r"Window .*, \[user_id#\d+\], \[time#", plan)
+
+
+READING = "time timestamp, user_id string, device_id string, sequence_id long, temperature double, partition int, offset long"
+
+
+def test_first_rows_are_found_without_a_broadcast(spark):
+    rows = spark.createDataFrame([(T0, "u", "d", i % 5, float(i), 0, i) for i in range(20)], READING)
+    firsts = storing.dedupe_first_wins(rows)
+    assert "Broadcast" not in executed_plan(firsts)
+    assert {(r.sequence_id, r.offset) for r in firsts.collect()} == {(i, i) for i in range(5)}
+
+
+def test_what_is_stored_is_not_broadcast(spark):
+    rows = spark.createDataFrame([(T0, "u", "d", i, float(i), 0, i) for i in range(9)], READING)
+    new = storing.anti_join_existing(rows, rows.where("sequence_id < 6"))
+    assert "Broadcast" not in executed_plan(new)
+    assert {r.sequence_id for r in new.collect()} == {6, 7, 8}
