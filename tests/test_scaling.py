@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import rules, storing
-from pulsegrid.plans import registry
+from pulsegrid.plans import fixtures, registry
 from pulsegrid.schemas import RULES
 
 T0 = datetime(2024, 1, 1)
@@ -74,3 +74,12 @@ def test_what_is_stored_is_not_broadcast(spark):
     new = storing.anti_join_existing(rows, rows.where("sequence_id < 6"))
     assert "Broadcast" not in executed_plan(new)
     assert {r.sequence_id for r in new.collect()} == {6, 7, 8}
+
+
+def test_late_copies_come_from_one_pass(spark):
+    rows = [(T0, "u", "d", i, float(i) if i else None, 0, i) for i in range(21)]
+    both = fixtures.with_copies(spark.createDataFrame(rows, READING))
+    assert "Union" not in executed_plan(both)
+    late = [(i, None if i == 0 else i + 1.0, i + 1_000_000_000) for i in (0, 10, 20)]
+    want = [(r[3], r[4], r[6]) for r in rows] + late
+    assert sorted(((r.sequence_id, r.temperature, r.offset) for r in both.collect()), key=str) == sorted(want, key=str)
