@@ -23,16 +23,25 @@ def rule_value(key: Column, extras: Column) -> Column:
     ``extras`` is MAP<STRING, VARIANT>. A key starting with ``$.`` that no extra carries
     literally is read as a JSON path, which reaches nested fields; a malformed path finds nothing.
     """
+    return member_value(key, rule_member(key, extras))
+
+
+def rule_member(key: Column, extras: Column) -> Column:
+    """VARIANT that a rule on an extra looks at; NULL for the keys of readings' own columns."""
     literal = F.try_element_at(extras, key)
     first, rest = nested_parts(key)
     # A malformed path would stop the query, not just give NULL.
     path = F.when(rest.rlike(PATH), rest)
     nested = F.try_variant_get(F.try_element_at(extras, first), path, "variant")
+    return F.when(~key.isin("temperature", "battery"), F.coalesce(literal, F.when(F.startswith(key, F.lit("$.")), nested)))
+
+
+def member_value(key: Column, member: Column) -> Column:
+    """Number a rule looks at, from its ``rule_member``."""
     return (
         F.when(key == "temperature", F.col("temperature"))
         .when(key == "battery", F.col("battery").cast("double"))
-        .when(literal.isNotNull(), as_number(literal))
-        .when(F.startswith(key, F.lit("$.")), as_number(nested))
+        .otherwise(as_number(member))
     )
 
 

@@ -14,7 +14,7 @@ from pulsegrid.functions.strict_json import (
 )
 from pulsegrid.functions.topics import config_user, control_route, manage_user
 from pulsegrid.operators.once import computed_once
-from pulsegrid.operators.rules import no_rules, rules_of
+from pulsegrid.operators.rules import no_rules, rule_parts, whole_rules
 
 # Fixed values.
 DEFAULT_SNOOZE_MINUTES = 30
@@ -33,13 +33,14 @@ def parse_config_update(routed: DataFrame) -> DataFrame:
     m = members(parse_document(F.col("payload")))
     listed = F.try_element_at("_m", F.lit("rules"))
     routed = computed_once(routed.where(F.col("route") == "config"), _m=m)
+    routed = routed.withColumn("_listed", listed)
+    routed = computed_once(routed, _parts=rule_parts(F.col("_listed")))
     return (
         routed.withColumn("user_id", config_user(F.col("topic")))
-        .withColumn("_listed", listed)
         .withColumn(
             "rules",
             F.when(F.col("_m").isNotNull() & F.col("_listed").isNull(), no_rules()).otherwise(
-                rules_of(F.col("_listed"))
+                whole_rules(F.col("_parts"))
             ),
         )
         .withColumn(
@@ -48,7 +49,7 @@ def parse_config_update(routed: DataFrame) -> DataFrame:
                 F.col("rules").isNull(), F.lit("bad_config")
             ),
         )
-        .drop("_m", "_listed")
+        .drop("_m", "_listed", "_parts")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.rules import rule_holds, rule_value
+from pulsegrid.functions.rules import member_value, rule_holds, rule_member
 from pulsegrid.functions.strict_json import as_number, as_text, members, parse_document
 from pulsegrid.operators.once import computed_once
 from pulsegrid.operators.ordered_groups import SLICE, ordered_groups
@@ -25,11 +25,10 @@ def no_rules() -> Column:
     return F.array().cast(RULE_TYPE)
 
 
-def rules_of(listed: Column) -> Column:
-    """ARRAY<RULE> of a VARIANT list; NULL unless every element is a complete rule."""
+def rule_parts(listed: Column) -> Column:
+    """ARRAY<RULE> of a VARIANT list, with NULL for every element that is no complete rule."""
 
-    def rule(item: Column) -> Column:
-        m = members(item)
+    def rule(m: Column) -> Column:
         part = {
             "key": as_text(F.try_element_at(m, F.lit("key"))),
             "operator": as_text(F.try_element_at(m, F.lit("operator"))),
@@ -41,17 +40,23 @@ def rules_of(listed: Column) -> Column:
             whole = whole & value.isNotNull()
         return F.when(whole, F.struct(*[v.alias(k) for k, v in part.items()]))
 
-    items = F.try_variant_get(listed, "$", "array<variant>")
-    rules = F.transform(items, rule)
-    return F.when(F.forall(rules, lambda r: r.isNotNull()), rules).cast(RULE_TYPE)
+    # each element is opened once, not once per use
+    items = F.transform(F.try_variant_get(listed, "$", "array<variant>"), members)
+    return F.transform(items, rule).cast(RULE_TYPE)
+
+
+def whole_rules(parts: Column) -> Column:
+    """``rule_parts`` where every element is a complete rule, else NULL."""
+    return F.when(F.forall(parts, lambda r: r.isNotNull()), parts)
 
 
 def load_rules(stored: DataFrame) -> DataFrame:
     """Stored ``user_id, rules`` (JSON text) as typed rules; undecodable text gives no rules."""
     parsed = computed_once(stored, _doc=parse_document(F.col("rules")))
+    parsed = computed_once(parsed, _parts=rule_parts(F.col("_doc")))
     return parsed.withColumn(
-        "rules", F.coalesce(rules_of(F.col("_doc")), no_rules())
-    ).drop("_doc")
+        "rules", F.coalesce(whole_rules(F.col("_parts")), no_rules())
+    ).drop("_doc", "_parts")
 
 
 def upsert_config(
@@ -190,7 +195,8 @@ def evaluate_rules(ruled: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Result: user_id, device_id, rule_id, pos, time, sequence_id, value, message, triggered, and
     the ``carry`` columns. ``rule_id`` is the rule's key, so rules on one key share one alert.
     """
-    rows = explode_rules(ruled).withColumn("value", rule_value(F.col("rule.key"), F.col("extras")))
+    rows = computed_once(explode_rules(ruled), _member=rule_member(F.col("rule.key"), F.col("extras")))
+    rows = computed_once(rows, value=member_value(F.col("rule.key"), F.col("_member")))
     return rows.where(F.col("value").isNotNull()).select(
         "user_id",
         "device_id",

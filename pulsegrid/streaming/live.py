@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from pulsegrid.functions.topics import control_route
+from pulsegrid.functions.topics import control_route, match_topic_filter, user_id_from_topic
 from pulsegrid.operators import alerts, control, dead_letter, metrics, parse, rules, storing
 from pulsegrid.operators.envelope import decode_envelope, skipped_messages
 from pulsegrid.schemas import ACTIVE_ALERT, ALERT_KEYS, RULES, TELEMETRY, DomainSpec
-from pulsegrid.session import configure
+from pulsegrid.session import configure, drop_folder
 from pulsegrid.sources.tables import (
     BATCH_COLUMNS,
     Snapshots,
@@ -95,6 +95,9 @@ class Store:
         if active is not None:
             self.active(active.sparkSession).seed(active)
 
+    def scratch(self, query: str, batch_id: int) -> str:
+        return f"{self.root}/scratch/{query}-{batch_id}"
+
     def checkpoint(self, name: str) -> str:
         return f"{self.checkpoints or self.root + '/checkpoints'}/{name}"
 
@@ -196,6 +199,29 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+@contextmanager
+def _scratch(store: Store, query: str, batch_id: int) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Write tables of one micro-batch and read them back; they are removed when it is done.
+
+    Several steps read these tables. Spark plans every read of cached rows as a stage of its own, so it does
+    not see that shuffles above a cache are equal and makes them once per reader; above files it does. A
+    repeated micro-batch replaces what the failed one left.
+    """
+    folder = store.scratch(query, batch_id)
+    used = []
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        used.append(rows.sparkSession)
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    try:
+        yield written
+    finally:
+        if used:
+            drop_folder(used[0], folder)
+
+
 #: Where a message stands among those of its timestamp.
 SEQUENCE = "struct<source_topic:string,partition:int,offset:bigint>"
 
@@ -225,13 +251,16 @@ def start_alerts(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
         decoded = arrival(decode_envelope(rows).withColumn("route", control_route(F.col("topic"))))
-        with _kept(decoded) as decoded:
+        with _kept(decoded) as decoded, _scratch(store, query, batch_id) as written:
             rules_base, alerts_base = configs.before(query, batch_id), active.before(query, batch_id)
             known_rules = configs.read(rules_base)
             updates = control.parse_config_update(decoded).where(F.col("error").isNull())
-            updates = updates.select("user_id", "rules", "timestamp", "sequence_id")
+            updates = written(updates.select("user_id", "rules", "timestamp", "sequence_id"), "updates")
             changed = configs.touched(updates)
             commands = control.parse_command(decoded).where(F.col("error").isNull())
+            commands = written(
+                commands.select(*ALERT_KEYS, "timestamp", "sequence_id", "action", "duration_minutes"), "commands"
+            )
             telemetry = decoded.where(F.col("route").isNull()).withColumnRenamed("sequence_id", "place")
             readings = parse.parse_telemetry(telemetry).where(F.col("error").isNull()).select(
                 "rule_user",
@@ -245,32 +274,33 @@ def start_alerts(
                 F.col("place").alias("sequence_id"),
             )
             if changed:
-                ruled = _rules_in_batch(readings, known_rules, updates)
+                changes = written(_changes_in_batch(telemetry, known_rules, updates), "changes")
+                ruled = rules.rules_as_of(readings, changes, at="timestamp", arrival=True)
             else:
                 ruled = rules.rules_for_user(readings, known_rules)
-            with _kept(rules.evaluate_rules(ruled, carry=("timestamp",))) as evaluated:
-                keys = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
-                keys = keys.distinct()
-                buckets = active.touched(keys)
-                known_alerts = active.read(alerts_base, buckets)
-                followed = alerts.follow_alerts(
-                    evaluated,
-                    commands,
-                    known_alerts.join(keys, ALERT_KEYS, "left_semi"),
-                    clock="timestamp",
-                    order=alerts.ARRIVAL_ORDER,
-                )
-                with _kept(followed) as followed:
-                    history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
-                    history = history.withColumn("created_at", F.current_timestamp())
-                    append_batch(history, store.history, query, batch_id)
-                    if publish is not None:
-                        publish(alerts.publish_alerts(history))
-                    after = alerts.alert_state_after(followed).unionByName(
-                        known_alerts.join(keys, ALERT_KEYS, "left_anti")
-                    )
-                    if buckets:
-                        active.write(after, alerts_base, buckets, query, batch_id)
+            evaluated = written(rules.evaluate_rules(ruled, carry=("timestamp",)), "evaluated")
+            keys = evaluated.select(*ALERT_KEYS).unionByName(commands.select(*ALERT_KEYS))
+            keys = keys.distinct()
+            buckets = active.touched(keys)
+            known_alerts = active.read(alerts_base, buckets)
+            followed = alerts.follow_alerts(
+                evaluated,
+                commands,
+                known_alerts.join(keys, ALERT_KEYS, "left_semi"),
+                clock="timestamp",
+                order=alerts.ARRIVAL_ORDER,
+            )
+            followed = written(followed, "followed")
+            history = alerts.make_alert(followed.where(F.col("status").isNotNull()))
+            history = history.withColumn("created_at", F.current_timestamp())
+            append_batch(history, store.history, query, batch_id)
+            if publish is not None:
+                publish(alerts.publish_alerts(history))
+            after = alerts.alert_state_after(followed).unionByName(
+                known_alerts.join(keys, ALERT_KEYS, "left_anti")
+            )
+            if buckets:
+                active.write(after, alerts_base, buckets, query, batch_id)
             if changed:
                 renewed = rules.upsert_config(
                     configs.read(rules_base, changed), updates, ["timestamp", "sequence_id"]
@@ -280,17 +310,19 @@ def start_alerts(
     return start(messages, batch, store.checkpoint("alerts"), trigger)
 
 
-def _rules_in_batch(readings: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
-    """Rules per reading: those known before the batch, then the updates within it."""
-    users = readings.select(F.col("rule_user").alias("user_id")).distinct()
+def _changes_in_batch(telemetry: DataFrame, known: DataFrame, updates: DataFrame) -> DataFrame:
+    """Rule changes that readings may meet: the rules known before the batch, then the updates within it.
+
+    Which users the batch has is read from the topics, without looking into the payloads.
+    """
+    users = telemetry.select(user_id_from_topic(F.col("topic")).alias("user_id")).distinct()
     earlier = known.join(users, "user_id", "left_semi").select(
         "user_id",
         "rules",
         F.lit(None).cast("timestamp").alias("timestamp"),
         F.lit(None).cast(SEQUENCE).alias("sequence_id"),
     )
-    changes = earlier.unionByName(updates)
-    return rules.rules_as_of(readings, changes, at="timestamp", arrival=True)
+    return earlier.unionByName(updates)
 
 
 def _arrived(messages: DataFrame, delay: str) -> DataFrame:
