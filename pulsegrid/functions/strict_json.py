@@ -18,7 +18,7 @@ TIME_PATTERN = _CLOCK + r"([.,]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)\z"
 MEMBERS = "map<string,variant>"
 
 # Texts that may hold a number beyond double precision: a long exponent or very many digits.
-HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{200}"
+HUGE_NUMBER = r"[0-9](?:[eE]\+?[0-9]{3}|[0-9]{199})"
 NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 
 NUMBER_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"

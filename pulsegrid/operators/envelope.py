@@ -102,15 +102,19 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
         messages.withColumn("_text", text),
         _e=named_members(parse_document(F.col("_text")), ["topic", "payload"]),
     )
-    opened = opened.withColumns(
-        {"_topic": as_text(F.col("_e.topic")), "_payload": F.col("_e.payload")}
+    # the type of an object names all its members, so it is worked out once
+    opened = computed_once(
+        opened.withColumn("_payload", F.col("_e.payload")),
+        _topic=as_text(F.col("_e.topic")),
+        _kind=json_type(F.col("_e.payload")),
     )
+    opened = opened.withColumn("_inner", as_text(F.col("_payload"), F.col("_kind")))
     ok = F.col("_topic").isNotNull() & F.col("_payload").isNotNull() & ~_doubled(F.col("_text"))
-    payload = F.when(json_type(F.col("_payload")) == "VOID", F.lit("null")).otherwise(
+    payload = F.when(F.col("_kind") == "VOID", F.lit("null")).otherwise(
         F.get_json_object("_text", "$.payload")
     )
-    inner = as_text(F.col("_payload"))
-    document = F.when(inner.isNotNull(), parse_document(inner)).otherwise(F.col("_payload"))
+    text_document = F.when(F.col("_inner").isNotNull(), parse_document(F.col("_inner")))
+    document = F.when(F.col("_kind") == "STRING", text_document).otherwise(F.col("_payload"))
     keep = [c for c in messages.columns if c not in ("value", "topic", "headers", "key")]
     traceparent = (
         header_text(F.col("headers"), "traceparent")
