@@ -144,15 +144,16 @@ def start_ingest(
     def batch(rows: DataFrame, query: str, batch_id: int) -> None:
         configure(rows.sparkSession)
         decoded = decode_envelope(rows)
-        if spec is None:
-            readings = parse.parse_telemetry(decoded.where(control_route(F.col("topic")).isNull()))
-        else:
-            readings = parse.parse_domain(decoded, spec)
+        kind = spec or TELEMETRY
+        skipped, topic = F.col("skip_reason").isNotNull(), F.col("topic")
+        own = control_route(topic).isNull() if spec is None else match_topic_filter(topic, spec.topic_filter)
+        # what was skipped is kept beside the readings, so that every message is opened once
+        readings = parse.stamp_user(parse.parse_readings(decoded.where(skipped | own), kind))
         readings = readings.drop("document", "extras")
         if bounds:
             readings = parse.range_validate(readings, bounds)
-        kind = spec or TELEMETRY
-        with _kept(readings) as readings:
+        with _kept(readings) as kept:
+            readings = kept.where(~skipped)
             good, bad = storing.quarantine_split(readings, list(kind.key))
             counts = write_readings(good, store.telemetry, kind)
             counted = rows.sparkSession.createDataFrame([counts], "offered long, written long")
@@ -162,7 +163,7 @@ def start_ingest(
             append_batch(arrived, store.dead_letters, query, batch_id)
             if send_failed is not None:
                 send_failed(letters)
-            append_batch(skipped_messages(decoded), store.skipped, query, batch_id)
+            append_batch(skipped_messages(kept), store.skipped, query, batch_id)
 
     return start(messages, batch, store.checkpoint("ingest"), trigger)
 
