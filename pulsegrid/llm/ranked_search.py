@@ -1,6 +1,7 @@
 """Ranked lexical search over an index of documents grouped by their length normaliser.
 
-Documents of one normaliser ``m`` are a stratum. A stratum is cut into blocks of bounded size; a block
+Documents of one normaliser ``m`` are a stratum. A stratum is cut into blocks of bounded size, and
+neighbouring blocks are a chunk, of bounded size too; a chunk gives the best documents of an item once. A block
 holds, per term, the documents in order of falling term frequency. As ``m`` is one number per block, the
 impact of a frequency is computed once and serves all postings that have it. The largest impact of each
 item term in a stratum bounds every score there: strata are visited in the order of their bounds, the
@@ -28,6 +29,9 @@ from pulsegrid.session import fresh_folder
 FILTER_BITS = 1 << 20
 BLOCK_DOCS = 4096
 BLOCK_POSTINGS = 1 << 20
+#: A chunk is closed after the block with which it holds this many documents or postings.
+CHUNK_DOCS = 1 << 16
+CHUNK_POSTINGS = 1 << 21
 #: Documents whose scores give the first threshold of an item, about; affects speed only.
 FIRST_DOCS = 4096
 
@@ -136,11 +140,11 @@ class Index:
         return self.spark.read.parquet(self.folder)
 
 
-BLOCK = "m long, doc_ids array<long>, terms array<long>, dfs array<int>, most array<int>, places array<int>, tfs array<int>"
+BLOCK = "part int, m long, doc_ids array<long>, terms array<long>, dfs array<int>, most array<int>, places array<int>, tfs array<int>"
 
 
-def _block(m: int, docs: list) -> pa.RecordBatch:
-    """One block of documents (doc_id, terms, tfs) of normaliser ``m``."""
+def _block(part: int, m: int, docs: list) -> pa.RecordBatch:
+    """One block, in the task's chunk ``part``, of documents (doc_id, terms, tfs) of normaliser ``m``."""
     sizes = [len(d[1]) for d in docs]
     place = np.repeat(np.arange(len(docs)), sizes)
     codes = np.concatenate([d[1] for d in docs])
@@ -149,6 +153,7 @@ def _block(m: int, docs: list) -> pa.RecordBatch:
     codes, tfs, place = codes[order], tfs[order], place[order]
     new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
     row = {
+        "part": part,
         "m": m,
         "doc_ids": [d[0] for d in docs],
         "terms": codes[new],
@@ -157,13 +162,14 @@ def _block(m: int, docs: list) -> pa.RecordBatch:
         "places": place,
         "tfs": tfs,
     }
-    kinds = [pa.int64(), *[pa.list_(k) for k in (pa.int64(), pa.int64(), *[pa.int32()] * 4)]]
+    kinds = [pa.int32(), pa.int64(), *[pa.list_(k) for k in (pa.int64(), pa.int64(), *[pa.int32()] * 4)]]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
 
 def _cut(batches):
     """Documents (m, doc_id, terms, tfs) that come by m, as blocks."""
     m, docs, postings = None, [], 0
+    part, held, held_postings = 0, 0, 0
     for batch in small_batches(batches, 1024):
         lists = []
         for name in ("terms", "tfs"):
@@ -173,13 +179,16 @@ def _cut(batches):
             lists.append([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
         for here, doc_id, codes, tfs in zip(batch.column("m").to_pylist(), batch.column("doc_id").to_pylist(), *lists, strict=True):
             if docs and (here != m or len(docs) >= BLOCK_DOCS or postings >= BLOCK_POSTINGS):
-                yield _block(m, docs)
+                yield _block(part, m, docs)
+                held, held_postings = held + len(docs), held_postings + postings
+                if held >= CHUNK_DOCS or held_postings >= CHUNK_POSTINGS:
+                    part, held, held_postings = part + 1, 0, 0
                 docs, postings = [], 0
             m = here
             docs.append((doc_id, codes, tfs))
             postings += len(codes)
     if docs:
-        yield _block(m, docs)
+        yield _block(part, m, docs)
 
 
 def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
@@ -199,7 +208,8 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
     # the row number spreads a stratum that holds many of the documents over several tasks
     placed = rows.select(m, "row", "doc_id", "terms", "tfs").repartitionByRange("m", "row")
     blocks = placed.sortWithinPartitions("m", "row").drop("row").mapInArrow(_cut, BLOCK)
-    blocks.withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
+    chunk = (F.spark_partition_id().cast("long") * (1 << 32) + F.col("part")).alias("chunk")
+    blocks.select("*", chunk, F.monotonically_increasing_id().alias("block")).drop("part").write.parquet(folder)
     return Index(spark, folder, totals.n, totals.l or 0)
 
 
@@ -211,50 +221,70 @@ def _weighted(asked: DataFrame, stats: DataFrame, documents: int) -> DataFrame:
 
 
 def _scored(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Rows (item_id, doc_id, score): the k best of each visit (block, item_id, floor, terms, ws).
+    """Rows (item_id, doc_id, score): the k best of an item in each chunk, by (chunk, item_id, floor, terms, ws, blocks).
 
-    Only scores of at least ``floor`` count.
+    An item visits the ``blocks`` of the chunk that it names. Only scores of at least ``floor`` count, and
+    after k documents of the chunk only those that reach the worst of the k.
     """
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        items, ids, scores = [], [], []
-        if left.num_rows and right.num_rows:
-            m = left.column("m")[0].as_py()
-            docs, terms_, dfs, most, places, tfs = (
-                np.asarray(left.column(c).combine_chunks().flatten()) if c != "doc_ids" else left.column(c).combine_chunks().flatten()
-                for c in ("doc_ids", "terms", "dfs", "most", "places", "tfs")
-            )
-            known = docs.is_valid().to_numpy(zero_copy_only=False)
-            doc_ids = docs.fill_null(0).to_numpy()
-            ends = np.cumsum(dfs)
-            found, at = np.unique(tfs, return_inverse=True)
-            found = found.astype(np.int64)
-            impact = 1_000_000_000 * found // (1000 * found + 8 * m)
-            impacts = impact[at]
-            highest = impact[np.searchsorted(found, most)]
-            for row in right.select(["item_id", "floor", "terms", "ws"]).to_pylist():
-                codes, ws = np.array(row["terms"], np.int64), np.array(row["ws"], np.int64)
+        asked = [
+            (row["item_id"], np.array(row["terms"], np.int64), np.array(row["ws"], np.int64))
+            for row in right.select(["item_id", "terms", "ws"]).to_pylist()
+        ]
+        floors = [max(1, floor) for floor in right.column("floor").to_pylist()]
+        nothing = np.empty(0, np.int64)
+        best = [(nothing, nothing, nothing)] * len(asked)  # scores, doc_ids, 1 for a null doc_id
+        callers: dict[int, list[int]] = {}
+        for i, blocks_ in enumerate(right.column("blocks").to_pylist()):
+            for b in blocks_:
+                callers.setdefault(b, []).append(i)
+        for batch in left.to_batches():
+            for at, (block, m) in enumerate(zip(batch.column("block").to_pylist(), batch.column("m").to_pylist(), strict=True)):
+                docs = batch.column("doc_ids")[at].values
+                terms_, dfs, most, places, tfs = (
+                    np.asarray(batch.column(c)[at].values) for c in ("terms", "dfs", "most", "places", "tfs")
+                )
                 if not len(terms_):
                     continue
-                spot = np.minimum(np.searchsorted(terms_, codes), len(terms_) - 1)
-                here = terms_[spot] == codes
-                spot, ws = spot[here], ws[here]
-                if (ws * highest[spot]).sum() < row["floor"]:
-                    continue
-                total = np.zeros(len(doc_ids), np.int64)
-                for i, w in zip(spot.tolist(), ws.tolist(), strict=True):
-                    part = slice(ends[i] - dfs[i], ends[i])
-                    total[places[part]] += w * impacts[part]
-                best = np.flatnonzero(total >= max(1, row["floor"]))
-                best = best[np.lexsort((doc_ids[best], ~known[best], -total[best]))][:k]
-                items += [row["item_id"]] * len(best)
-                ids += [int(doc_ids[i]) if known[i] else None for i in best]
-                scores += total[best].tolist()
-        return pa.table([pa.array(c, pa.int64()) for c in (items, ids, scores)], ["item_id", "doc_id", "score"])
-
-    asked = visits.withColumnRenamed("block", "at")
-    touched = blocks.join(asked.select("at").distinct(), F.col("block") == F.col("at"), "left_semi")
-    pairs = touched.groupBy("block").cogroup(asked.groupBy("at"))
+                unknown = docs.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                doc_ids = docs.fill_null(0).to_numpy()
+                ends = np.cumsum(dfs)
+                found, rank = np.unique(tfs, return_inverse=True)
+                found = found.astype(np.int64)
+                impact = 1_000_000_000 * found // (1000 * found + 8 * m)
+                impacts = impact[rank]
+                highest = impact[np.searchsorted(found, most)]
+                for i in callers.get(block, ()):
+                    _, codes, ws = asked[i]
+                    spot = np.minimum(np.searchsorted(terms_, codes), len(terms_) - 1)
+                    here = terms_[spot] == codes
+                    spot, ws = spot[here], ws[here]
+                    if (ws * highest[spot]).sum() < floors[i]:
+                        continue
+                    total = np.zeros(len(doc_ids), np.int64)
+                    for j, w in zip(spot.tolist(), ws.tolist(), strict=True):
+                        part = slice(ends[j] - dfs[j], ends[j])
+                        total[places[part]] += w * impacts[part]
+                    own = np.flatnonzero(total >= floors[i])
+                    if not len(own):
+                        continue
+                    scores, ids, nulls = (
+                        np.concatenate(pair) for pair in zip(best[i], (total[own], doc_ids[own], unknown[own]), strict=True)
+                    )
+                    order = np.lexsort((ids, nulls, -scores))[:k]
+                    best[i] = scores[order], ids[order], nulls[order]
+                    if len(order) == k:
+                        floors[i] = max(floors[i], int(best[i][0][-1]))
+        sizes = [len(scores) for scores, _, _ in best]
+        items = np.repeat(np.array([item for item, _, _ in asked], np.int64), sizes)
+        scores, ids, nulls = (np.concatenate([nothing, *(b[c] for b in best)]) for c in range(3))
+        columns = [pa.array(items), pa.array(ids, mask=nulls.astype(bool)), pa.array(scores)]
+        return pa.table(columns, ["item_id", "doc_id", "score"])
+
+    asked = visits.withColumnRenamed("chunk", "at")
+    touched = blocks.join(visits.select(F.explode("blocks").alias("block")).distinct(), "block", "left_semi")
+    pairs = touched.groupBy("chunk").cogroup(asked.groupBy("at"))
     return pairs.applyInArrow(score, "item_id long, doc_id long, score long")
 
 
@@ -289,7 +319,8 @@ def search(index: Index, asked: DataFrame, k: int = 10) -> DataFrame:
     listed = listed.select("item_id", F.col("t.term").alias("terms"), F.col("t.w").alias("ws"))
 
     def visits(wanted: DataFrame) -> DataFrame:
-        where = wanted.join(blocks.select("m", "block"), "m").select("block", "item_id", "floor")
+        where = wanted.join(blocks.select("m", "chunk", "block"), "m")
+        where = where.groupBy("chunk", "item_id").agg(F.first("floor").alias("floor"), F.collect_list("block").alias("blocks"))
         return where.join(listed, "item_id")
 
     first = fresh_folder(spark, "first")

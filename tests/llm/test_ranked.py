@@ -93,6 +93,32 @@ def test_a_hot_group_of_copies(spark, monkeypatch):
     assert sorted(ranked(spark, docs, items)) == sorted(plain_ranking([(d[0], d[1]) for d in docs], items))
 
 
+def test_rows_of_a_visit_do_not_grow_with_the_lengths(spark, monkeypatch):
+    """Every document has a length, and so a block, of its own; an item gets its best of a chunk, not of a block."""
+    monkeypatch.setattr(ranked_search, "FIRST_DOCS", 1)
+    made, scored = [], ranked_search._scored
+
+    def counted(visits, blocks, k):
+        found = scored(visits, blocks, k)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(ranked_search, "_scored", counted)
+    docs = [(i, "same " + "other " * i, "en", "s", 0) for i in range(300)]
+    items = [(1, "same"), (2, "other"), (3, "same other")]
+    assert sorted(ranked(spark, docs, items, 2)) == sorted(plain_ranking([(d[0], d[1]) for d in docs], items, 2))
+    assert sum(made) <= 2 * 2 * len(items) * 8  # two phases, two of an item in each task's chunk
+
+
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_chunks_of_any_size_rank_the_same(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ranked_search, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(ranked_search, "CHUNK_DOCS", chunk)
+    docs, items = tables(spark)
+    got = ranked(spark, docs, items)
+    assert sorted(got, key=key) == sorted(plain_ranking([(d[0], d[1]) for d in docs], items), key=key)
+
+
 def test_filter_lets_every_wanted_term_through(spark):
     asked = ranked_search.item_terms(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5000)))], "item_id long, text string"))
     bits = ranked_search._filter(asked)
