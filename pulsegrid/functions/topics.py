@@ -70,6 +70,14 @@ def control_route(topic: Column) -> Column:
     )
 
 
+def maybe_control(text: Column) -> Column:
+    """Whether JSON text may name a topic on the control channel, without opening it.
+
+    Where nothing is escaped, the end of such a topic stands in the text as it is.
+    """
+    return F.contains(text, F.lit("/config")) | F.contains(text, F.lit("/alerts/manage")) | F.contains(text, F.lit("\\"))
+
+
 def config_user(topic: Column) -> Column:
     """User id of ``users/{id}/config...``, else NULL."""
     part = F.split(topic, "/", -1)

@@ -3,6 +3,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from pulsegrid.functions.topics import control_route, maybe_control
 from pulsegrid.schemas import MESSAGE_ROW
 from pulsegrid.sources.messages import file_source
 from pulsegrid.streaming import keyed, live
@@ -104,3 +108,63 @@ def test_settings_of_the_session_stay(spark, tmp_path):
     store = deliver(spark, rows, [], str(tmp_path), keyed.start_keyed_alerts)
     assert [r.status for r in spark.read.parquet(store.history).collect()] == ["Triggered"]
     assert {name: spark.conf.get(name, None) for name in keyed.STATE_SETTINGS} == before
+
+
+class Kept(dict):
+    """Map state of one key."""
+
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+
+class Handle:
+    def __init__(self):
+        self.kept = Kept()
+
+    def getMapState(self, name, key, value):
+        return self.kept
+
+
+def test_alerts_of_a_user_are_one_key(spark):
+    """Rows of all the user's alerts in one call, in any order: each alert steps by itself."""
+    rnd = random.Random(8)
+    names = [(f"d{i % 20}", f"r{i // 20}") for i in range(40)]
+    columns = ["user_id", "device_id", "rule_id", *keyed.PLACE_COLUMNS, "kind", "pos", "time", "value", "message", "triggered", "action", "until"]
+    rows = []
+    for i in range(800):
+        device, rule = rnd.choice(names)
+        place = ("u", device, rule, i // 3, "t", 0, i)
+        if rnd.random() < 0.8:
+            rows.append((*place, 0, rnd.randint(0, 3), i, float(i), "m", rnd.random() < 0.6, None, None))
+        else:
+            rows.append((*place, 1, 0, None, None, None, None, rnd.choice(["SNOOZE", "DISABLE"]), i // 3 + rnd.randint(-5, 50)))
+    want, state = [], {("d0", "r0"): keyed.Alert("Snoozed", 1, 2, 3.0, 5)}
+    for row in rows:
+        name, (clock, *_), (time, value, message, triggered, action, until) = row[1:3], row[3:7], row[9:]
+        if action is not None:
+            state[name] = keyed.commanded(state.get(name), action, until)
+            continue
+        state[name], status = keyed.evaluated(state.get(name), triggered, time, value, clock)
+        if status is not None:
+            want.append(("u", *name, time, value, message, status))
+    handle, alerts = Handle(), keyed.AlertsOfUser()
+    alerts.init(handle)
+    first = Row(user_id="u", device_id="d0", rule_id="r0", status="Snoozed", start_time=1, last_seen=2, current_value=3.0, snooze_until=5)
+    alerts.handleInitialState(("u",), first, None)
+    shuffled = [Row(*columns)(*row) for row in rnd.sample(rows, len(rows))]
+    got = list(alerts.handleInputRows(("u",), iter(shuffled), None))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+    assert {name: keyed.Alert(*kept) for name, kept in handle.kept.items()} == {n: a for n, a in state.items() if a}
+    assert got[0].asDict().keys() == set(keyed._schema(keyed.FOLLOWED).names)
+
+
+def test_only_messages_that_may_be_orders_are_opened_as_such(spark):
+    texts = [
+        ('{"topic":"users/a/config","payload":{}}', True), ('{"topic":"users\\/a\\/config","payload":{}}', True),
+        ('{"topic":"users/a/confi\\u0067","payload":{}}', True), ('{"topic":"users/a/alerts/manage","payload":{}}', True),
+        ('{"topic":"users/a/devices/d/telemetry","payload":{}}', False), ("config", False),
+    ]
+    rows = spark.createDataFrame([(t.encode(), "iot", w) for t, w in texts], "value binary, topic string, want boolean")
+    marked = rows.select("want", maybe_control(F.col("value").cast("string")).alias("got")).collect()
+    assert [r.got for r in marked] == [r.want for r in marked] == [w for _, w in texts]
+    opened = keyed.decode_envelope(rows).where(control_route(F.col("topic")).isNotNull())
+    assert opened.count() == 4
