@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
 
 A text is cut into the library's own pre-tokens with array operations over whole blocks of text, the
-distinct words of a block are looked up in a table kept by the Python worker, and only new words go
+words of a block are looked up at once in a table kept by the Python worker, and only new words go
 through the library. Character classes and case folding are asked of the tokenizer itself, one code
 point at a time. Texts the cut does not cover (special strings, text that normalising would recompose)
 go through the library as they are.
@@ -159,6 +159,48 @@ class Cutter:
         return at[keep], ends[keep]
 
 
+class Places:
+    """Open-addressed table from 64-bit keys to small numbers, asked and filled by whole arrays."""
+
+    def __init__(self, bits: int = 16):
+        self._keys = np.empty(1 << bits, np.uint64)
+        self._values = np.full(1 << bits, -1, np.int32)
+        self._bits, self._used = bits, 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(FACTOR)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of every key; -1 if it has none."""
+        slots = self._slots(keys)
+        found = self._values[slots]
+        todo = np.flatnonzero((found >= 0) & (self._keys[slots] != keys))
+        while len(todo):  # another key is there: look at the next slot
+            slots[todo] = (slots[todo] + 1) & (len(self._keys) - 1)
+            at = slots[todo]
+            found[todo] = self._values[at]
+            todo = todo[(found[todo] >= 0) & (self._keys[at] != keys[todo])]
+        return found
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add different keys that are not in the table."""
+        if 2 * (self._used + len(keys)) > len(self._keys):
+            full = np.flatnonzero(self._values >= 0)
+            keys = np.concatenate([self._keys[full], keys])
+            values = np.concatenate([self._values[full], values])
+            self.__init__((4 * len(keys)).bit_length())
+        self._used += len(keys)
+        slots, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            at = slots[todo]
+            free = self._values[at] < 0
+            # of several keys for one free slot the last stays, in both arrays
+            self._keys[at[free]] = keys[todo[free]]
+            self._values[at[free]] = values[todo[free]]
+            todo = todo[self._keys[at] != keys[todo]]
+            slots[todo] = (slots[todo] + 1) & (len(self._keys) - 1)
+
+
 class Encoder(Cutter):
     """Ids of whole texts, without added special tokens, exactly as the library gives them."""
 
@@ -170,9 +212,10 @@ class Encoder(Cutter):
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict = {}
+        self.places = Places()
+        self.long: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.words = 0
         self.at = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int64)
 
@@ -184,21 +227,26 @@ class Encoder(Cutter):
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
-    def _add(self, keys: list, words: list[str]) -> None:
-        """Words are folded pre-tokens: only the library's BPE model is left to run."""
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Places of new words, which are folded pre-tokens: only the library's BPE model is left to run."""
         tokenize = self.tokenizer.model.tokenize
-        for key, word in zip(keys, words, strict=True):
-            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
-            place = len(self.known)
-            if place == len(self.at):
-                self.at = np.resize(self.at, 2 * place)
-                self.count = np.resize(self.count, 2 * place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[place], self.count[place] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[key] = place
+        # byte 255 is in no UTF-8 text
+        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(BYTE_CHARS)
+        ids, ends = [], []
+        for word in shown.split(chr(BYTE_CHARS[255])):
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        first, last, size = self.words, self.words + len(words), self.used + len(ids)
+        while last > len(self.at):
+            self.at = np.resize(self.at, 2 * len(self.at))
+            self.count = np.resize(self.count, 2 * len(self.count))
+        while size > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : size] = ids
+        bounds = np.append(0, ends)
+        self.at[first:last], self.count[first:last] = self.used + bounds[:-1], np.diff(bounds)
+        self.used, self.words = size, last
+        return np.arange(first, last, dtype=np.int32)
 
     def _block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(texts) + "\n"
@@ -218,16 +266,19 @@ class Encoder(Cutter):
         long = np.flatnonzero(ends - starts > LONG_WORD)
         joined = points.astype("<u4", copy=False).tobytes().decode("utf-32-le")
         names = {joined[starts[i] : ends[i]] for i in long.tolist()}
-        if len(self.known) > TABLE_WORDS:
+        if self.words > TABLE_WORDS:
             self._clear()
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        new = [(k, i) for k, i in zip(unique.tolist(), first.tolist(), strict=True) if k not in self.known]
-        self._add([k for k, _ in new], [joined[starts[i] : ends[i]] for _, i in new])
-        fresh = [w for w in names if w not in self.known]
-        self._add(fresh, fresh)
-        places = np.fromiter(map(self.known.__getitem__, unique.tolist()), np.int64, len(unique))[inverse]
+        places = self.places.get(keys)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            unique, first = np.unique(keys[missing], return_index=True)
+            self.places.put(unique, self._add([joined[starts[i] : ends[i]] for i in missing[first].tolist()]))
+            places[missing] = self.places.get(keys[missing])
+        fresh = [w for w in names if w not in self.long]
+        if fresh:
+            self.long.update(zip(fresh, self._add(fresh).tolist(), strict=True))
         if len(long):
-            places[long] = [self.known[joined[starts[i] : ends[i]]] for i in long.tolist()]
+            places[long] = [self.long[joined[starts[i] : ends[i]]] for i in long.tolist()]
         counts = self.count[places]
         total = np.cumsum(counts)
         size = int(total[-1]) if len(total) else 0

@@ -139,3 +139,30 @@ def test_empty_tables(spark, tmp_path):
 def test_longest_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError, match="power of two"):
         packing.pieces(spark.createDataFrame([], SCHEMA), BYTE, longest=1000)
+
+
+def test_words_are_looked_up_by_whole_arrays():
+    rnd = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rnd.integers(0, 1 << 63, 5000), np.arange(1, 3000)]).astype(np.uint64))
+    near = np.uint64(pow(codes.FACTOR, -1, 1 << 64)) * np.arange(1, 400, dtype=np.uint64)  # all for one slot
+    keys = rnd.permutation(np.unique(np.concatenate([keys, near])))
+    table, known = codes.Places(bits=2), {}
+    for part in np.array_split(keys[: len(keys) // 2], 7):
+        assert (table.get(part) == -1).all()
+        values = np.arange(len(known), len(known) + len(part), dtype=np.int32)
+        table.put(part, values)
+        known |= dict(zip(part.tolist(), values.tolist(), strict=True))
+        assert table.get(keys).tolist() == [known.get(k, -1) for k in keys.tolist()]
+
+
+def test_known_words_cost_no_library_calls(monkeypatch):
+    code = codes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two  two, three", "", "four " * 50 + "x" * 80, "one\n\ntwo ÿ é"]
+    first = code.encode(texts)
+    monkeypatch.setattr(code, "_add", None)  # calling it would fail
+    again = code.encode(texts[::-1])
+    assert [again[0][a:b].tolist() for a, b in zip(again[1][:-1], again[1][1:])][::-1] == [
+        first[0][a:b].tolist() for a, b in zip(first[1][:-1], first[1][1:])
+    ]
+    expected = [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert first[0].tolist() == sum(expected, [])
