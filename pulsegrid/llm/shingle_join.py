@@ -4,8 +4,9 @@ Documents become sets of 64-bit shingle fingerprints; equal sets are one row of
 part of a set that a partner of enough similarity must meet is multiplied: the first
 ``n - ceil(t n) + 1`` shingles in one order for all documents, frequent shingles last. Blocks of
 shingles are multiplied apart: short columns give all their pairs, long ones give stars that connect
-groups of copies, and are then multiplied again between documents not connected yet. Pairs whose
-overlap so far cannot reach the size-derived bound are dropped; the rest are compared whole.
+groups of copies, and are then multiplied again between documents not connected yet, but for pairs whose
+sketches show that too many shingles differ. Pairs whose overlap so far cannot reach the size-derived bound
+are dropped; the rest are compared whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ SHORT_COLUMN = 8
 CONTESTS = 3
 #: At most this many shingles are moved to the end of the order; any choice gives the same links.
 FREQUENT = 1 << 18
-BLOCK_BYTES = 1 << 20
+#: 64-bit words of a set's sketch, whatever its size; speed only.
+SKETCH = 16
+BLOCK_BYTES = 1 << 18
 #: Texts of an Arrow batch that are Python strings at one time.
 TEXTS = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -104,18 +107,36 @@ def _name(shingles: np.ndarray) -> int:
     return name - (1 << 64) if name >> 63 else name
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """``SKETCH`` words per set: each bit is the parity of the shingles that fall on it.
+
+    A shingle that two sets share cancels, so at least as many shingles differ as bits do.
+    """
+    bits = 64 * SKETCH
+    if not sets:
+        return np.empty((0, SKETCH), np.int64)
+    shingles = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = np.bincount(owner * bits + (shingles >> np.uint64(40)).astype(np.int64) % bits, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(len(sets), SKETCH)
+
+
+MEMBERS = ["doc_id", "text_hash", "set_id", "n_shingles", "sketch"]
+
+
 def members(docs: DataFrame, n: int = 5) -> DataFrame:
-    """Rows (doc_id, text_hash, set_id, n_shingles), one per row of ``docs``."""
+    """Rows (doc_id, text_hash, set_id, n_shingles, sketch), one per row of ``docs``."""
 
     def run(batches):
         for batch in small_batches(batches, TEXTS):
             sets = shingle_sets(batch.column(2).to_pylist(), n)
             names = pa.array([_name(s) for s in sets], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [batch.column(0), batch.column(1), names, sizes]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set_id", "n_shingles"])
+            words = sketches(sets)
+            drawn = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * SKETCH, pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, drawn], MEMBERS)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, set_id long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, set_id long, n_shingles long, sketch array<long>")
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
@@ -413,10 +434,17 @@ def _contested(long: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     return _write(long.select(*names, "inside"), "contested")
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = None) -> DataFrame:
+def _may_be_similar(percent: int) -> Column:
+    """False where the sketches ``_s0_a``, ``_s0_b``, ... of two sets differ in more bits than similar sets in shingles."""
+    differ = sum((F.bit_count(F.col(f"_s{i}_a").bitwiseXOR(F.col(f"_s{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    return differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+
+
+def links(docs: DataFrame, named: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = None) -> DataFrame:
     """Rows (a, b): links that connect all similar sets; links inside a found group may be left out.
 
-    ``blocks`` sets how many parts the product has (by default one per shuffle partition).
+    ``named`` are the ``members`` of ``docs``. ``blocks`` sets how many parts the product has (by
+    default one per shuffle partition).
     """
     spark: SparkSession = docs.sparkSession
     blocks = blocks or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -431,12 +459,15 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int | None = N
     found = components(first)
     label = F.coalesce("component", "node").alias("component")
     long = _contested(long.join(found, "node", "left").select("shingle", "node", "size", label), met, percent)
-    sides = ("node", "size", "component", "inside", "most")
+    drawn = named.join(long.select(F.col("node").alias("set_id")).distinct(), "set_id", "left_semi")
+    drawn = drawn.groupBy(F.col("set_id").alias("node")).agg(F.first("sketch").alias("_sketch"))
+    long = long.join(drawn, "node").select(*long.columns, *[F.col("_sketch")[i].alias(f"_s{i}") for i in range(SKETCH)])
+    sides = ("node", "size", "component", "inside", "most", *[f"_s{i}" for i in range(SKETCH)])
     one, two = (long.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in sides]) for s in "ab")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     reach = F.least("inside_a", "inside_b") + F.least("most_a", "most_b")
     across = one.join(two, "shingle").filter("component_a < component_b").filter(small * 100 >= large * percent)
-    across = across.filter(reach >= _need(small, large, percent))
+    across = across.filter(reach >= _need(small, large, percent)).filter(_may_be_similar(percent))
     across = across.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     counted = across.agg(F.count(F.lit(1)).alias("_long"), F.min(small).alias("small"), F.min(large).alias("large"))
     counted = counted.join(met.select("a", "b", "met"), ["a", "b"], "left")
@@ -457,8 +488,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 75, blocks: int |
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     named = _write(members(rows, n), "members")
-    found = components(links(rows, n, percent, blocks)).withColumnRenamed("node", "set_id")
-    own = named.join(found, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
+    found = components(links(rows, named, n, percent, blocks)).withColumnRenamed("node", "set_id")
+    own = named.drop("sketch").join(found, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
     least = own.filter("n_shingles > 0").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     named = own.join(least, "_group", "left")
     label = F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id"))

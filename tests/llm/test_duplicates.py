@@ -259,3 +259,42 @@ def test_contested_entries_keep_every_pair_that_shares_enough(spark):
                 similar += 1
                 assert all((s, n) in left for s in shared for n in (a, b))
     assert similar
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(2)
+    base = np.unique(rnd.integers(0, 1 << 63, 150)).astype(np.uint64)
+    sets = [np.empty(0, np.uint64), base]
+    for k in (1, 5, 30, 60, 3000):
+        own = np.unique(rnd.integers(0, 1 << 63, k)).astype(np.uint64)
+        sets.append(np.sort(np.concatenate([base[min(k, 150) // 2 :], own])))
+    bits = np.unpackbits(shingle_join.sketches(sets).view(np.uint8), axis=1).astype(int)
+    assert bits.shape == (len(sets), 64 * shingle_join.SKETCH) and not bits[0].any()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differ = len(np.setxor1d(x, y))
+            assert np.abs(bits[i] - bits[j]).sum() <= differ
+            assert np.abs(bits[i] - bits[j]).sum() > 0.75 * differ - 2 or differ > 200
+    assert shingle_join.sketches([]).shape == (0, shingle_join.SKETCH)
+
+
+def test_unlike_sets_of_long_columns_are_not_joined(spark, monkeypatch):
+    rnd = __import__("random").Random(8)
+    base, far = sentence(rnd, 150).split(), 60
+
+    def changed(places, name):
+        own = list(base)
+        for i in places:
+            own[i] = f"{name}x{i}"
+        return " ".join(own)
+
+    # copies near the text, and such as miss the bound by a few shingles: each shares columns with all of them
+    texts = [changed([3 + 2 * (i % 60)], f"n{i}") for i in range(far)]
+    texts += [changed(sorted(rnd.sample(range(10, 140, 9), 5)), f"f{i}") for i in range(far)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    asked, whole = [], shingle_join._linked
+    monkeypatch.setattr(shingle_join, "_linked", lambda pairs, *rest: asked.append(pairs) or whole(pairs, *rest))
+    assert groups(docs) == brute_groups(list(enumerate(texts)))
+    sets = [shingles(t) for t in texts]
+    close = [(x, y) for i, x in enumerate(sets) for y in sets[:i] if 7 * len(x ^ y) <= 1.2 * (len(x) + len(y))]
+    assert asked[1].count() <= len(close)
